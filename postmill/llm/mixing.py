@@ -91,8 +91,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     cut = inside.groupBy("goal_source").agg(
         F.max(F.when(near, F.struct("key", "doc_id"))).alias("last"), F.min(F.struct("key", "doc_id")).alias("first")
     )
-    cut = stash(cut, "mix-cuts").withColumnRenamed("goal_source", "cut_source")
-    goals = goals.join(cut, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left")
+    cut = cut.withColumnRenamed("goal_source", "cut_source")
+    # one row a source, stored so that Spark knows its size and broadcasts it only if that is small
+    goals = stash(goals.join(cut, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left"), "mix-plan")
 
     own = [F.col(c) for c in plain.columns]
     here = F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"))
