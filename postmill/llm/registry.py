@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from .chat import op10_chat
 from .decontamination import op5_decontamination
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_lm import op2_lm
 from .simhash import op1_simhash
 from .substring_dedup import op6_substring_dedup
+from .url_filter import op3_url_filter
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_lm": op2_lm,
+    "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op10_chat": op10_chat,
 }
 #: op1, op2, op5 and op6 have none: their SQL is too slow on whole tables; tests hold them against brute force.
 SQL = {"op4_mixing": OP4_SQL}
