@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from .chat import op10_chat
 from .decontamination import op5_decontamination
+from .html_text import op8_html
+from .language_id import op7_language_id
+from .merkle import op9_merkle
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_lm import op2_lm
 from .simhash import op1_simhash
@@ -17,7 +20,10 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_html": op8_html,
+    "op9_merkle": op9_merkle,
     "op10_chat": op10_chat,
 }
-#: op1, op2, op5 and op6 have none: their SQL is too slow on whole tables; tests hold them against brute force.
+#: The others have none: SQL can't express them or is too slow on whole tables; tests hold them against brute force.
 SQL = {"op4_mixing": OP4_SQL}
