@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import mmap
 import os
 import tempfile
@@ -72,6 +73,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def local_path(uri: str) -> str | None:
     """The path of a ``file:`` URI or plain path, else None."""
     if uri.startswith("file:"):

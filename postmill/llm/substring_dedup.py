@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_file, new_dir, put_file, remove, slices, stash, texts
+from .common import map_file, new_dir, put_file, release, remove, slices, stash, texts
 
 #: Sketch rows, cells for each expected window, cells in a merged file.
-ROWS, CELLS_PER_WINDOW, SHARD_BITS = 2, 4, 24
+ROWS, CELLS_PER_WINDOW, SHARD_BITS = 2, 2, 24
 #: Windows that a task holds before it passes on their first places.
 HELD = 1 << 21
 
@@ -105,7 +105,7 @@ def _sketch(n: int, bits: int):
 
 
 def _sketched(key: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """The cells that are set, by range: gaps of a byte each, longer ones apart, and a bit for counts of two or more."""
+    """The cells that are set, by range: their gaps in Rice code, and a bit for counts of two or more."""
     for row, cells in enumerate(_cells(key, bits)):
         cells.sort()
         new = np.append(True, cells[1:] != cells[:-1])
@@ -116,8 +116,23 @@ def _sketched(key: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
         for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
             if a < b:
                 gap = np.diff(cells[a:b].astype(np.int64), prepend=shard << SHARD_BITS)
-                out.append((row, shard, np.minimum(gap, 255).astype(np.uint8).tobytes(), gap[gap >= 255].astype(np.uint32).tobytes(), np.packbits(more[a:b]).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["row", "shard", "gaps", "long", "more"])
+                out.append((row, shard, *riced(gap), np.packbits(more[a:b]).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["row", "shard", "many", "high", "low", "more"])
+
+
+def riced(gap: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Rice code: of each number the low bits as they are, and the rest as so many zeros before a one."""
+    k = int(np.log2(max(1.0, gap.mean())))
+    high = np.zeros(int((gap >> k).sum()) + len(gap), np.uint8)
+    high[np.cumsum((gap >> k) + 1) - 1] = 1
+    low = (gap[:, None] >> np.arange(k) & 1).astype(np.uint8)
+    return len(gap), np.packbits(high).tobytes(), bytes([k]) + np.packbits(low.ravel()).tobytes()
+
+
+def unriced(many: int, high: bytes, low: bytes) -> np.ndarray:
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8)))[:many]
+    k, low = low[0], np.unpackbits(np.frombuffer(low, np.uint8, offset=1))
+    return (np.diff(ones, prepend=-1) - 1 << k) + low[: many * k].reshape(many, k) @ (1 << np.arange(k, dtype=np.int64))
 
 
 def _merge(home: str, bits: int):
@@ -125,10 +140,8 @@ def _merge(home: str, bits: int):
         size = 1 << min(bits, SHARD_BITS)
         once, twice = np.zeros(size, bool), np.zeros(size, bool)
         row, shard = part.column("row")[0].as_py(), part.column("shard")[0].as_py()
-        for gaps, long, more in zip(*(part.column(c).to_pylist() for c in ("gaps", "long", "more"))):
-            gap = np.frombuffer(gaps, np.uint8).astype(np.int64)
-            gap[gap == 255] = np.frombuffer(long, np.uint32)
-            cells = np.cumsum(gap)
+        for many, high, low, more in zip(*(part.column(c).to_pylist() for c in ("many", "high", "low", "more"))):
+            cells = np.cumsum(unriced(many, high, low))
             twice[cells[once[cells] | np.unpackbits(np.frombuffer(more, np.uint8), count=len(cells)).astype(bool)]] = True
             once[cells] = True
         put_file(f"{home}/{row}-{shard}", np.packbits(twice, bitorder="little").tobytes())
@@ -161,7 +174,7 @@ class Sketch:
         return at
 
 
-_PLACES = pa.schema([("first", pa.int64()), ("second", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32())])
+_PLACES = pa.schema([("first", pa.int64()), ("second", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("later", pa.bool_())])
 
 
 def _candidates(home: str, n: int, bits: int):
@@ -183,7 +196,7 @@ def _candidates(home: str, n: int, bits: int):
 
 
 def _first_places(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """Each window's first place here, and, with null hashes, the places that come later."""
+    """Each window's first place here, and, under hashes of their own, the places that come later for sure."""
     first, second, doc, start = (np.concatenate(x) for x in zip(*held))
     order = np.lexsort((start, doc, second, first))
     first, second, doc, start = first[order], second[order], doc[order], start[order]
@@ -191,9 +204,12 @@ def _first_places(held: list[tuple]) -> Iterator[pa.RecordBatch]:
     lead = np.flatnonzero(~same)
     lead = np.repeat(lead, np.diff(np.append(lead, len(first))))
     later = same & ((doc != doc[lead]) | (start != start[lead]))  # a repeated row is no later place
+    own = mixed(doc.astype(np.uint64) * _PLAIN + start.astype(np.uint64)).view(np.int64)
+    kept = later | ~same
+    first, second, doc, start, later = np.where(later, own, first)[kept], second[kept], doc[kept], start[kept], later[kept]
     for a in range(0, len(first), 1 << 17):
         cut = slice(a, a + (1 << 17))
-        yield pa.RecordBatch.from_arrays([pa.array(first[cut], mask=later[cut]), pa.array(second[cut], mask=later[cut]), pa.array(doc[cut]), pa.array(start[cut])], schema=_PLACES)
+        yield pa.RecordBatch.from_arrays([pa.array(x[cut]) for x in (first, second, doc, start, later)], schema=_PLACES)
 
 
 def covered_places(docs: DataFrame, window: int) -> DataFrame:
@@ -204,17 +220,19 @@ def covered_places(docs: DataFrame, window: int) -> DataFrame:
     expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     bits = max(16, int(np.ceil(np.log2(max(1, expected * CELLS_PER_WINDOW)))))
     home = new_dir(spark, "sketch")
-    parts = docs.select("text").mapInArrow(_sketch(window, bits), "row int, shard long, gaps binary, long binary, more binary")
+    parts = docs.select("text").mapInArrow(_sketch(window, bits), "row int, shard long, many int, high binary, low binary, more binary")
     merged = parts.groupBy("row", "shard").applyInArrow(_merge(home, bits), "row int, shard long, twice long")
     merged.agg(F.sum("twice")).collect()
-    found = docs.mapInArrow(_candidates(home, window, bits), "first long, second int, doc_id long, start int")
+    del parts, merged
+    release(spark)
+    found = docs.mapInArrow(_candidates(home, window, bits), "first long, second int, doc_id long, start int, later boolean")
     block = [(F.col("start") / 64).cast("int").alias("block"), F.expr("shiftleft(1L, start % 64)").alias("bit")]
-    places = stash(found, "windows")
-    local = places.where("first is null").select("doc_id", *block)
     order = Window.partitionBy("first", "second").orderBy("doc_id", "start")
-    wide = places.where("first is not null").withColumn("turn", F.rank().over(order)).where("turn > 1").select("doc_id", *block)
-    packed = local.unionByName(wide).groupBy("doc_id", "block").agg(F.bit_or("bit").alias("bits"))
+    covered = found.withColumn("turn", F.rank().over(order)).where("turn > 1 or later").select("doc_id", *block)
+    packed = covered.groupBy("doc_id", "block").agg(F.bit_or("bit").alias("bits"))
     out = stash(packed.groupBy("doc_id").agg(F.collect_list(F.struct("block", "bits")).alias("places")), "covered")
+    del found, covered, packed
+    release(spark)
     remove(spark, home)
     return out
 
