@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_file, new_dir, put_file, slices, texts
+from .common import LOWER, map_file, new_dir, put_file, slices, stash, texts
 from .substring_dedup import mixed
 
 #: Tokens a task counts at a time, tokens for a shard, and word numbers in a range.
@@ -131,6 +131,7 @@ class Model:
     discounts: tuple[tuple[float, float, float], ...] = ()  # of continuation counts, of pair counts
     types: int = 0
     rest: float = 1.0
+    span: int = RANGE
 
 
 
@@ -178,9 +179,9 @@ class Reader:
         """Six rows by number: count, continuations, followers' count, followers seen once, twice, more often. Zeros for -1."""
         own, back = np.unique(ids, return_inverse=True)
         out = np.zeros((6, len(own)))
-        for r in np.unique(own[own >= 0] // RANGE).tolist():
-            at = np.flatnonzero((own >= r * RANGE) & (own < (r + 1) * RANGE))
-            out[:, at] = self._map("range", r)[:, own[at] - r * RANGE]
+        for r in np.unique(own[own >= 0] // self.model.span).tolist():
+            at = np.flatnonzero((own >= r * self.model.span) & (own < (r + 1) * self.model.span))
+            out[:, at] = self._map("range", r)[:, own[at] - r * self.model.span]
         return out[:, back]
 
 
@@ -222,10 +223,10 @@ def _store_pairs(model: Model):
         tails, types = _sums(word)
         rows = []
         for kind, own, values in ((0, ids, sums), (1, tails, [types])):
-            edges = np.searchsorted(own, np.arange(0, model.words // RANGE + 2, dtype=np.uint64) * np.uint64(RANGE))
+            edges = np.searchsorted(own, np.arange(0, model.words // model.span + 2, dtype=np.uint64) * np.uint64(model.span))
             for r in np.flatnonzero(np.diff(edges)).tolist():
                 cut = slice(edges[r], edges[r + 1])
-                rows.append((r, kind, pack(np.diff(own[cut], prepend=np.uint64(r * RANGE))), pack(np.concatenate([np.asarray(v[cut], np.uint64) for v in values]))))
+                rows.append((r, kind, pack(np.diff(own[cut], prepend=np.uint64(r * model.span))), pack(np.concatenate([np.asarray(v[cut], np.uint64) for v in values]))))
         none = [None] * len(rows)
         return pa.table({
             "range": pa.array([x[0] for x in rows] + [None], pa.int64()), "kind": pa.array([x[1] for x in rows] + [None], pa.int32()),
@@ -241,8 +242,8 @@ def _store_range(model: Model):
 
     def store(part: pa.Table) -> pa.Table:
         r = part.column("range")[0].as_py()
-        low = r * RANGE
-        size = min(RANGE, model.words + 1 - low)
+        low = r * model.span
+        size = min(model.span, model.words + 1 - low)
         out = np.zeros((6, size))
         for k, (first, shard) in enumerate(starts):
             last = starts[k + 1][0] if k + 1 < len(starts) else model.words
@@ -250,9 +251,9 @@ def _store_range(model: Model):
             if a < b:
                 out[0, a - low : b - low] = _halves(f"{model.home}/word-{shard}")[1][a - first : b - first]
         for kind, keys, sums in zip(*(part.column(c).to_pylist() for c in ("kind", "keys", "sums"))):
-            own = np.cumsum(unpack(keys), dtype=np.uint64).astype(np.int64) - low
-            values = unpack(sums).reshape(1 if kind else 4, -1)
-            out[1:2 if kind else 6][slice(None) if kind else slice(1, 5), own] += values
+            own = np.cumsum(unpack(keys), dtype=np.uint64).astype(np.int64)  # from the start of the range
+            rows = [1] if kind else [2, 3, 4, 5]
+            out[np.ix_(rows, own)] += unpack(sums).reshape(len(rows), -1)
         put_file(f"{model.home}/range-{r}", out.tobytes())
         types = out[1, : min(size, max(0, model.words - low))]
         return pa.table({"range": [r], "types": [int(types.sum())], "n": pa.array([[int((types == k).sum()) for k in (1, 2, 3, 4)] + [int((types > 2).sum())]], pa.list_(pa.int64()))})
@@ -268,7 +269,7 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max((k + 1) - (k + 2) * y * n[k + 1] / n[k], 0.05), k + 1.0) for k in range(3))
 
 
-def train(texts_of: DataFrame) -> Model:
+def train(texts_of: DataFrame, span: int = RANGE) -> Model:
     """Counts the column ``text`` of all rows; null is empty."""
     spark = texts_of.sparkSession
     size = texts_of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -282,13 +283,11 @@ def train(texts_of: DataFrame) -> Model:
         first[r.shard], at = at, at + r.many
     if at >= 1 << 32:
         raise ValueError("the vocabulary is beyond 2^32 words: pairs of word numbers no longer fit in 64 bits")
-    model = Model(home, bits, first, at, sum(r.total for r in words), bits)
+    model = Model(home, bits, first, at, sum(r.total for r in words), bits, span=span)
     if not at:
         return model
     out = "range long, kind int, keys binary, sums binary, shard long, of_counts array<long>"
     found = source.mapInArrow(_count(_pair_keys(model), bits), rows).groupBy("shard").applyInArrow(_store_pairs(model), out)
-    from .common import stash
-
     found = stash(found, "lm-sums")
     shards = found.where("shard is not null").select("shard", "of_counts").collect()
     ranges = found.where("range is not null").select("range", "kind", "keys", "sums").groupBy("range").applyInArrow(_store_range(model), "range long, types long, n array<long>").collect()
