@@ -1,0 +1,190 @@
+"""Text statistics as native columns: readability, vocabulary, characters, structure, repetition, buzzwords and a composite risk."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import one_of
+
+#: Closed-class words, buzzwords, and the weights of the composite.
+FUNCTION_WORDS = "i me my myself we our ours ourselves you your yours yourself he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had do does did will would shall should may might must can could the a an and but if or because as until while of at by for with about against between through during before after above below to from in out on off over under again further then once here there when where why how all both each few more most other some such no not only own same so than too very".split()
+BUZZWORDS = ["leverage", "leveraging", "leveraged", "utilize", "utilizing", "utilized", "spearhead", "spearheading", "spearheaded", "champion", "championing", "synergy", "synergize", "streamline", "streamlining", "robust", "cutting-edge", "state-of-the-art", "holistic", "seamless", "seamlessly", "transformative", "paradigm", "ecosystem", "bandwidth", "impactful", "actionable", "scalable", "best-in-class", "game-changing", "disruptive", "empower", "empowering", "facilitate", "overarching", "granular", "thought leadership", "orchestrate"]
+RISK = {"lexical_uniformity": 0.16, "low_diversity": 0.12, "repetition": 0.12, "complexity": 0.08, "low_burstiness": 0.16, "uniform_sentences": 0.16, "fn_word_deviation": 0.10, "buzzword": 0.14}
+HIGHER_IS_BETTER = ["flesch_reading_ease", "mtld", "ttr", "type_token_ratio", "distinct_1", "distinct_2", "distinct_3", "next_token_entropy", "richness_index", "structural_burstiness", "sent_len_cv", "humanization_score", "sent_len_std", "char_entropy_3gram", "char_entropy_4gram"]
+LOWER_IS_BETTER = ["flesch_kincaid_grade", "gunning_fog", "smog_index", "coleman_liau", "dale_chall", "ai_risk_score", "hapax_rate", "bigram_rep_rate", "trigram_rep_rate", "sent_4gram_overlap", "yule_k", "ai_buzzword_density", "buzzword_count"]
+GRADED = ["flesch_reading_ease", "flesch_kincaid_grade", "gunning_fog", "smog_index", "coleman_liau", "dale_chall"]
+MTLD_AT = 0.72
+
+
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z]+)\b"), 1)
+
+
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
+
+
+def sentences(text: Column) -> Column:
+    return F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: F.size(words(s)) > 2)
+
+
+def total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+
+def mean(a: Column) -> Column:
+    return F.coalesce(total(a) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an expression named in a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def std(a: Column) -> Column:
+    return let(mean(a), lambda m: F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(a, lambda x: (x - m) * (x - m))))))
+
+
+def div(a: Column, b: Column) -> Column:
+    return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+
+
+def counts(a: Column) -> Column:
+    """How often each distinct element occurs: lengths of the runs of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(first, lambda f: F.transform(f, lambda at, k: (F.coalesce(F.get(f, k + 1), F.size(s)) - at).cast("double")))
+
+    return let(F.sort_array(a), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<double>")))
+
+
+def entropy(frequencies: Column) -> Column:
+    return let(frequencies, lambda f: let(total(f), lambda n: F.aggregate(f, F.lit(0.0), lambda s, c: s - c / n * F.log2(c / n))))
+
+
+def grams(a: Column, n: int) -> Column:
+    def runs(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " "))
+
+    return let(a, lambda v: F.when(F.size(v) >= n, runs(v)).otherwise(F.array().cast("array<string>")))
+
+
+def char_grams(text: Column, n: int) -> Column:
+    """Runs of ``n`` characters, from the text cut into characters."""
+    signs = F.filter(F.split(text, ""), lambda c: c != "")
+
+    def runs(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), ""))
+
+    return let(signs, lambda v: F.when(F.size(v) >= n, runs(v)).otherwise(F.array().cast("array<string>")))
+
+
+def _factors(a: Column) -> Column:
+    start = F.struct(F.lit(0.0).alias("factors"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("types"))
+
+    def step(s: Column, t: Column) -> Column:
+        none = F.array().cast("array<string>")
+        ended = lambda types, n: F.when(F.size(types) / n <= MTLD_AT, F.struct((s["factors"] + 1).alias("factors"), F.lit(0).alias("n"), none.alias("types"))).otherwise(F.struct(s["factors"].alias("factors"), n.alias("n"), types.alias("types")))
+        return let(F.when(F.array_contains(s["types"], t), s["types"]).otherwise(F.array_append(s["types"], t)), lambda types: ended(types, s["n"] + 1))
+
+    factors = F.aggregate(a, start, step, lambda s: s["factors"] + F.when(s["n"] > 0, (1 - F.size(s["types"]) / s["n"]) / (1 - MTLD_AT)).otherwise(0.0))
+    return F.coalesce(F.size(a) / F.nullif(factors, F.lit(0.0)), F.size(a).cast("double"))
+
+
+def families(rows: DataFrame, text: str) -> DataFrame:
+    """Adds a struct column for each family, and ``composite``; null text counts as empty. The graded readability scores are null."""
+    body, none = F.coalesce(F.col(text), F.lit("")), F.lit(None).cast("double")
+    rows = rows.withColumns({"_text": body, "_tokens": tokens(body), "_sentences": sentences(body), "_words": words(body)})
+    t, s, toks, wds = F.col("_text"), F.col("_sentences"), F.col("_tokens"), F.col("_words")
+    rows = rows.withColumns({"_lengths": F.transform(s, lambda x: F.size(words(x)).cast("double")), "_counts": counts(toks), "_wide": F.transform(toks, lambda x: F.length(x).cast("double"))})
+    lens, freq, n, v = F.col("_lengths"), F.col("_counts"), F.size("_tokens"), F.size("_counts")
+    r = F.round
+    readability = {
+        "avg_sentence_length": r(n / F.greatest(F.size(s), F.lit(1)), 2), "avg_word_length": r(mean(F.col("_wide")), 2), "sentence_count": F.size(s), "word_count": n,
+        "char_count": F.length(F.regexp_replace(t, r"\P{L}+", "")), "sent_len_std": r(std(lens), 2), "type_token_ratio": r(div(v, n), 4), **{g: none for g in GRADED},
+    }
+    squares = F.aggregate(freq, F.lit(0.0), lambda a, x: a + x * x)
+    ln = F.ln(n)
+    lexical = {
+        "token_count": n, "type_count": v, "ttr": r(div(v, n), 4), "mtld": F.when(n < 10, 0.0).otherwise(r((_factors(toks) + _factors(F.reverse(toks))) / 2, 2)),
+        "yule_k": r(div(10000 * (squares - n), n * n), 4), "maas_a2": F.when((n > 1) & (v > 1), r((ln - F.ln(v)) / (ln * ln), 6)).otherwise(0.0),
+        "hapax_rate": r(div(F.size(F.filter(freq, lambda x: x == 1)), v), 4), "dis_legomena_rate": r(div(F.size(F.filter(freq, lambda x: x == 2)), v), 4), "richness_index": r(div(v, F.sqrt(n)), 4),
+    }
+    left = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
+    bare = F.filter(F.transform(wds, lambda w: F.length(F.regexp_replace(w, r"""^[.,;:!?"'()-]+|[.,;:!?"'()-]+$""", "")).cast("double")), lambda x: x > 0)
+    chars = F.length(t)
+    character = {
+        "digit_ratio": r(div(left(r"\p{Nd}+"), chars), 4), "symbol_ratio": r(div(left(r"""[.,;:!?'"()\-–—]+"""), chars), 4), "capitalization_ratio": r(left(r"\p{Lu}+") / F.greatest(left(r"\p{L}+"), F.lit(1)), 4),
+        "whitespace_ratio": r(div(left(r"(?U)\s+"), chars), 4), "avg_word_len_chars": r(mean(bare), 2), "char_entropy_3gram": r(entropy(counts(char_grams(F.lower(t), 3))), 4),
+        "char_entropy_4gram": r(entropy(counts(char_grams(F.lower(t), 4))), 4), "long_word_rate": r(F.size(F.filter(bare, lambda x: x > 8)) / F.greatest(F.size(bare), F.lit(1)), 4),
+    }
+    own = F.when(F.size(lens) > 0, lens).otherwise(F.array(F.lit(0.0)))
+    paragraphs = F.filter(F.split(t, "\n\n"), lambda p: F.size(words(p)) > 0)
+    plens = F.when(F.size(paragraphs) > 0, F.transform(paragraphs, lambda p: F.size(words(p)).cast("double"))).otherwise(F.array(F.lit(0.0)))
+    short, long = F.size(F.filter(own, lambda x: x < 8)) / F.size(own), F.size(F.filter(own, lambda x: x > 25)) / F.size(own)
+    structure = {
+        "sentence_count": F.size(s), "avg_sent_len": r(mean(own), 2), "sent_len_std": r(std(own), 2), "sent_len_min": F.array_min(own).cast("int"), "sent_len_max": F.array_max(own).cast("int"),
+        "sent_len_cv": r(div(std(own), mean(own)), 4), "pct_short_sents": r(short, 4), "pct_medium_sents": r(1 - short - long, 4), "pct_long_sents": r(long, 4),
+        "structural_burstiness": r(div(std(own) - mean(own), std(own) + mean(own)), 4), "paragraph_count": F.size(paragraphs), "avg_para_len": r(mean(plens), 2), "para_len_std": r(std(plens), 2),
+    }
+    closed = F.filter(toks, lambda x: x.isin(FUNCTION_WORDS))
+    fn, least = F.size(closed), F.greatest(n, F.lit(1))
+    top = let(closed, lambda own: F.transform(F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct(own), lambda w: F.struct(F.size(F.filter(own, lambda x: x == w)).alias("n"), w.alias("word"))))), 1, 5), lambda x: x["word"]))
+    function_content = {"function_word_ratio": r(fn / least, 4), "content_word_ratio": r((n - fn) / least, 4), "stopword_ratio": r(fn / least, 4), "fn_content_balance": r(div(fn, n - fn), 4), "top_function_words": top}
+    twos, threes = grams(toks, 2), grams(toks, 3)
+    distinct = lambda a: F.size(F.array_distinct(a)) / F.greatest(F.size(a), F.lit(1))
+    fours = F.transform(s, lambda x: F.array_distinct(grams(tokens(x), 4)))
+    shared = let(fours, lambda g: total(F.transform(g, lambda a, i: total(F.transform(g, lambda b, j: F.when((i != j) & F.arrays_overlap(a, b), 1.0).otherwise(0.0))))))
+    repetition = {
+        "distinct_1": r(v / least, 4), "distinct_2": r(distinct(twos), 4), "distinct_3": r(distinct(threes), 4), "bigram_rep_rate": r(F.when(F.size(twos) > 0, 1 - distinct(twos)).otherwise(0.0), 4),
+        "trigram_rep_rate": r(F.when(F.size(threes) > 0, 1 - distinct(threes)).otherwise(0.0), 4), "next_token_entropy": r(entropy(freq), 4),
+        "sent_4gram_overlap": r(shared / F.greatest(F.size(s) * (F.size(s) - 1), F.lit(1)), 4),
+    }
+    hits = F.regexp_count(t, F.lit(rf"(?i)\b(?:{one_of(BUZZWORDS)})\b"))
+    buzzword = {"buzzword_count": hits, "ai_buzzword_density": r(hits * 100 / F.greatest(F.size(wds), F.lit(1)), 4)}
+    every = {"readability": readability, "lexical": lexical, "character": character, "structure": structure, "function_content": function_content, "repetition": repetition, "buzzword": buzzword}
+    rows = rows.withColumns({name: F.struct(*[c.alias(k) for k, c in family.items()]) for name, family in every.items()})
+    return rows.withColumn("composite", risk()).drop("_text", "_tokens", "_sentences", "_words", "_lengths", "_counts", "_wide")
+
+
+def risk() -> Column:
+    """From the families: ``ai_risk_score, humanization_score, band, drivers``; weights of missing parts are shared out among the others."""
+    c, zero = F.col, F.lit(0.0)
+    part = {
+        "lexical_uniformity": F.greatest(zero, 100 - F.least(F.coalesce(c("lexical.mtld"), zero) / 2, F.lit(100.0))), "low_diversity": F.greatest(zero, (1 - c("repetition.distinct_2")) * 100),
+        "repetition": F.least(F.lit(100.0), F.coalesce(c("repetition.trigram_rep_rate"), zero) * 500), "complexity": F.when(c("readability.flesch_kincaid_grade").isNotNull(), F.least(F.lit(100.0), F.greatest(zero, (c("readability.flesch_kincaid_grade") - 10) * 8))),
+        "low_burstiness": F.greatest(zero, 100 - (c("structure.structural_burstiness") + 1) * 50), "uniform_sentences": F.greatest(zero, 100 - F.least(c("structure.sent_len_cv") * 200, F.lit(100.0))),
+        "fn_word_deviation": F.greatest(zero, 100 - F.abs(c("function_content.function_word_ratio") - 0.30) * 400), "buzzword": F.least(F.lit(100.0), F.coalesce(c("buzzword.ai_buzzword_density"), zero) * 25),
+    }
+    score = weighted_mean([(RISK[k], v) for k, v in part.items()])
+    ranked = F.array_sort(F.filter(F.array(*[F.struct((-v).alias("minus"), F.lit(i).alias("i"), F.lit(k).alias("factor")) for i, (k, v) in enumerate(part.items())]), lambda x: x["minus"].isNotNull()))
+    drivers = F.transform(F.slice(ranked, 1, 3), lambda x: F.struct(x["factor"].alias("factor"), F.round(-x["minus"], 2).alias("score")))
+    band = F.when(score < 35, "good").when(score < 60, "warning").otherwise("serious")
+    return F.struct(F.round(score, 2).alias("ai_risk_score"), F.round(100 - score, 2).alias("humanization_score"), band.alias("band"), drivers.alias("drivers"))
+
+
+def weighted_mean(terms: list[tuple[float, Column]]) -> Column:
+    """Over the terms that are not null."""
+    value = reduce(Column.__add__, [F.coalesce(F.lit(w) * v, F.lit(0.0)) for w, v in terms])
+    weight = reduce(Column.__add__, [F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for w, v in terms])
+    return value / F.nullif(weight, F.lit(0.0))
+
+
+def delta(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """``metric, before, after`` to the same with ``delta`` and ``direction``: better, worse or neutral."""
+    d = F.round(F.col(after) - F.col(before), 4)
+    same = F.col(before).isNull() | F.col(after).isNull() | (F.abs(F.col(after) - F.col(before)) < 1e-6)
+    rising = F.col(after) > F.col(before)
+    up, down = F.col("metric").isin(HIGHER_IS_BETTER), F.col("metric").isin(LOWER_IS_BETTER)
+    direction = F.when(same | ~(up | down), "neutral").when(rising == up, "better").otherwise("worse")
+    return rows.withColumns({"delta": d, "direction": direction})
+
+
+def ungrounded_numbers(made: Column, source: Column) -> Column:
+    """Numbers in a made text that its source lacks, 12 at most."""
+    found = lambda x: F.array_distinct(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"(\d+(?:[.,]\d+)*%?)"), 1))
+    return F.slice(F.array_except(found(made), found(source)), 1, 12)

@@ -1,0 +1,347 @@
+"""The verdict of a posting under a profile: hard rejects, a weighted fit, flags and ranks, all as column expressions.
+
+The profile is known when the plan is made, so its rules become constants of the expressions. Only the fuzzy
+comparison of skills is a join, of distinct skills, done beforehand; see ``skills.overlap``.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import lists, text
+from . import eligibility, skills
+
+WEIGHTS = {"skills": 0.35, "title": 0.25, "semantic": 0.20, "seniority": 0.10, "interest": 0.05, "remote": 0.05}
+APPLY, CLOSE, YEARS_CAP = 0.6, 0.75, 5
+RANK = lists.SENIORITY_RANK
+#: Care occupations, degrees, and the words around years of experience.
+CARE = r"(?i)\b(?:registered nurse|licensed practical nurse|licensed vocational nurse|nurse practitioner|nurse manager|nursing assistant|graduate practical nurse|medical assistant|physician assistant|pharmacist|pharmacy technician|care partner|patient care technician|mental health technician|radiologic technologist|respiratory therapist|physical therapist|occupational therapist|clinical research coordinator)\b"
+DEGREES = {3: r"\b(?:ph\.?\s*d\.?|doctorate|doctoral)\b", 2: r"\b(?:master(?:'s)?|m\.?\s*s\.?|m\.?\s*eng\.?|mba)\b", 1: r"\b(?:bachelor(?:'s)?|b\.?\s*s\.?|b\.?\s*eng\.?|b\.?tech\.?)\b"}
+CUES = r"\b(?:minimum qualifications?|required qualifications?|requirements?|qualifications?|must have|required|candidate|you (?:have|bring|need)|proven track record|degree)\b"
+PREFIX, QUALIFIER = r"\b(?:at least|minimum(?: of)?|min\.?)\s+", r"\s*(?:\+|[-–—]\s*\d{1,2})"
+OF_EXPERIENCE = r"\s*years?\s+(?:of\s+)?(?:[a-z][a-z0-9+/#.\-]*\s+){0,5}?experience\b"
+EXPERIENCE_OF = r"\bexperience(?:\s+(?:of|level))?\s*:?\s*"
+
+
+@dataclass
+class Profile:
+    id: str = "default"
+    label: str = ""
+    target_titles: list[str] = field(default_factory=list)
+    interests: list[str] = field(default_factory=list)
+    skills: list[str] = field(default_factory=list)
+    resume_text: str | None = None
+    seniority_max: str = "mid"
+    yoe_max: int = 3
+    needs_sponsorship: bool = False
+    reject_clearance: bool = True
+    reject_citizenship_only: bool = True
+    countries: list[str] = field(default_factory=lambda: ["us"])
+    excluded_companies: list[str] = field(default_factory=list)
+    remote_preference: str = "any"
+    prefer_cap_exempt: bool = False
+
+
+def _like(c: Column, pattern: str) -> Column:
+    return F.regexp_like(c, F.lit(pattern if pattern.startswith("(?i)") else "(?i)" + pattern))
+
+
+def _compact(*parts: Column) -> Column:
+    return F.array_compact(F.array(*parts).cast("array<string>"))
+
+
+def rank_of(level: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in RANK.items() for x in pair]), level)
+
+
+def title_seniority(title: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, pattern in reversed(lists.TITLE_SENIORITY.items()):
+        out = F.when(_like(text.empty(title), pattern), F.lit(name)).otherwise(out)
+    return out
+
+
+def effective_seniority(title: Column, stored: Column) -> Column:
+    """The higher of the title's level and the stored one; of equals the title's."""
+    shown, known = title_seniority(title), F.when(stored.isin(list(RANK)), stored)
+    return F.when(shown.isNull(), F.coalesce(known, F.lit("unclear"))).when(known.isNull() | (rank_of(shown) >= rank_of(known)), shown).otherwise(known)
+
+
+def families(title: Column) -> Column:
+    return _compact(*[F.when(_like(text.empty(title), p), F.lit(name)) for name, p in lists.ROLE_FAMILIES.items()])
+
+
+def families_of(title: str) -> set[str]:
+    return {name for name, p in lists.ROLE_FAMILIES.items() if re.search(p, title, re.I)}
+
+
+def _share(words: set[str], of: Column) -> Column:
+    """The share of the words that an array holds."""
+    return F.size(F.array_intersect(F.array(*[F.lit(w) for w in sorted(words)]), of)) / len(words)
+
+
+def _words(s: str) -> set[str]:
+    return set(re.findall(r"[a-z0-9+#]+", s))
+
+
+def title_score(title: Column, p: Profile) -> Column:
+    if not p.target_titles:
+        return F.lit(0.5)
+    name = F.lower(F.trim(text.empty(title)))
+    words, own, scores, same = F.regexp_extract_all(name, F.lit(r"([a-z0-9+#]+)"), 1), families(name), [F.lit(0.0)], F.lit(False)
+    for target in (t.strip().lower() for t in p.target_titles):
+        if target:
+            same = same | F.contains(name, F.lit(target)) | F.contains(F.lit(target), name)
+            if mine := families_of(target):
+                scores.append(F.when(F.arrays_overlap(own, F.array(*[F.lit(f) for f in sorted(mine)])), 0.85).otherwise(0.0))
+            if _words(target):
+                scores.append(_share(_words(target), words))
+    return F.when(name == "", 0.0).when(same, 1.0).otherwise(F.array_max(F.array(*scores)))
+
+
+def interest_score(title: Column, description: Column, p: Profile) -> Column:
+    if not p.interests:
+        return F.lit(0.5)
+    hay = F.trim(F.lower(F.concat(text.empty(title), F.lit(" "), F.left(text.empty(description), F.lit(6000)))))
+    words, same, scores = F.regexp_extract_all(hay, F.lit(r"([a-z0-9+#]+)"), 1), F.lit(False), [F.lit(0.0)]
+    for interest in (i.strip().lower() for i in p.interests):
+        if interest:
+            same = same | F.contains(hay, F.lit(interest))
+            if _words(interest):
+                scores.append(_share(_words(interest), words))
+    return F.when(same, 1.0).otherwise(F.array_max(F.array(*scores)))
+
+
+def stated_years(description: Column, resume: str | None) -> Column:
+    """The years of experience that a description asks for: by degree where it names some, else by explicit phrases."""
+    plain = text.plain_text(description)
+    any_degree = "|".join(DEGREES.values())
+    years = lambda block: F.regexp_extract(block, r"(?i)\b(\d{1,2})\s*\+?\s*years?\b", 1).try_cast("int")
+    of = {}
+    for rank, pattern in DEGREES.items():
+        blocks = F.regexp_extract_all(plain, F.lit(rf"(?i)(?:{pattern})((?:(?!{any_degree})[\s\S]){{0,180}})"), 1)
+        of[rank] = F.filter(F.transform(blocks, years), lambda n: n <= 30)
+    every = F.flatten(F.array(*of.values()))
+    own = max((r for r, p in DEGREES.items() if re.search(p, resume or "", re.I)), default=None)
+    fitting = F.array_min(F.flatten(F.array(*[v for r, v in of.items() if r <= own]))) if own else F.lit(None).cast("int")
+    positive = F.array_min(F.filter(every, lambda n: n > 0))
+    by_degree = F.coalesce(fitting, positive, F.array_min(every))
+    number, context = r"(?<!\d)(\d{1,2})", rf"(?<=(?:{CUES})[\s\S]{{0,230}})"
+    phrases = [
+        rf"(?:{PREFIX}){number}(?:{QUALIFIER})?{OF_EXPERIENCE}", rf"{number}{QUALIFIER}{OF_EXPERIENCE}", rf"{context}{number}{OF_EXPERIENCE}", rf"{number}{OF_EXPERIENCE}(?=[\s\S]{{0,90}}?(?:{CUES}))",
+        rf"{EXPERIENCE_OF}{number}{QUALIFIER}\s*years?\b", rf"{context}{EXPERIENCE_OF}{number}\s*years?\b", rf"{EXPERIENCE_OF}{number}\s*years?\b(?=[\s\S]{{0,90}}?(?:{CUES}))",
+    ]
+    found = F.filter(F.transform(F.flatten(F.array(*[F.regexp_extract_all(plain, F.lit("(?i)" + x), 1) for x in phrases])), lambda n: n.try_cast("int")), lambda n: n <= 30)
+    asks = _like(plain, r"\d\s*(?:\+|[-–—]\s*\d{1,2})?\s*years?\b")
+    return F.when(asks, F.coalesce(by_degree, F.array_max(found)))
+
+
+def unsupported_specialties(title: Column, p: Profile) -> Column:
+    own = " ".join([*p.target_titles, *p.interests, *p.skills, p.resume_text or ""]).lower()
+    lacking = {name: trigger for name, (trigger, words) in lists.SPECIALTIES.items() if not any(w in own for w in words)}
+    return _compact(*[F.when(_like(text.empty(title), t), F.lit(name)) for name, t in lacking.items()])
+
+
+def candidate(p: Profile) -> Column:
+    """The cheap gate before enrichment: false only for what can't fit."""
+    c = F.col
+    own = set().union(*(families_of(t) for t in p.target_titles)) if p.target_titles else set()
+    theirs, gates = families(c("title")), []
+    if p.needs_sponsorship:
+        gates.append(F.coalesce(c("visa_sponsorship") != "no", F.lit(True)))
+    if p.reject_citizenship_only:
+        gates.append(~F.coalesce(c("citizenship_required"), F.lit(False)))
+    if p.reject_clearance:
+        gates.append(F.coalesce(c("security_clearance") != "required", F.lit(True)))
+    if own:
+        gates.append((F.size(theirs) == 0) | F.arrays_overlap(theirs, F.array(*[F.lit(f) for f in sorted(own)])))
+        if not any(re.search(CARE, t) for t in p.target_titles):
+            gates.append((F.size(theirs) > 0) | ~_like(text.empty(c("title")), CARE))
+    if p.seniority_max in RANK:
+        gates.append(F.coalesce(rank_of(title_seniority(c("title"))) <= RANK[p.seniority_max] + 1, F.lit(True)))
+    return reduce(Column.__and__, gates, F.lit(True))
+
+
+def with_evidence(postings: DataFrame, p: Profile) -> DataFrame:
+    """Adds ``_job_skills, _matched, _gaps``. Skills that the résumé names are supported; postings without skills count those of the profile that their text names."""
+    own = [s for s in p.skills if s]
+    backed = skills.overlap(postings, own) if own else None
+    listed = F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda s: s != "")
+    rows = postings.withColumn("_job_skills", listed).withColumn("_named", skills.mentioned(F.col("description"), own))
+    no = F.array().cast("array<string>")
+    if backed is None and not p.resume_text:
+        return rows.withColumns({"_matched": no, "_gaps": F.slice(F.array_sort(F.array_distinct(F.transform("_job_skills", lambda s: F.trim(s)))), 1, 8)})
+    if backed is None:
+        rows = rows.withColumns({"matched": no, "gaps": F.transform("_job_skills", lambda s: F.trim(s))})
+    else:
+        rows = rows.join(backed, "job_id", "left").withColumns({"matched": F.coalesce("matched", no), "gaps": F.coalesce("gaps", no)})
+    if p.resume_text:  # a listed skill that the résumé names as a whole word is supported
+        resume = " " + p.resume_text.casefold() + " "
+        name = lambda s: F.lower(F.trim(s))
+        in_resume = lambda s: (F.length(F.regexp_replace(name(s), "[^a-z0-9+#]", "")) >= 3) & F.regexp_like(F.lit(resume), F.concat(F.lit(r"(?<![a-z0-9])\Q"), name(s), F.lit(r"\E(?![a-z0-9])")))
+        proven = F.filter("gaps", in_resume)
+        ordered = F.filter(F.transform("_job_skills", lambda s: F.trim(s)), lambda s: F.array_contains(F.concat("matched", proven), s))
+        rows = rows.withColumns({"gaps": F.array_except("gaps", proven), "matched": F.array_distinct(ordered)})
+    matched = F.when(F.size("_job_skills") > 0, F.col("matched")).otherwise(F.col("_named"))
+    return rows.withColumns({"_matched": matched, "_gaps": F.when(F.size("_job_skills") > 0, F.col("gaps")).otherwise(no)}).drop("matched", "gaps")
+
+
+def skill_score(p: Profile) -> Column:
+    """The share of the skills that are supported; below three skills drawn towards a half, which also stands for nothing to compare."""
+    many = F.when(F.size("_job_skills") > 0, F.size("_job_skills")).otherwise(F.size("_named"))
+    if not p.skills and not p.resume_text:
+        return F.lit(0.5)
+    share = F.size("_matched") / many
+    return F.when(many == 0, 0.5).when(many < 3, 0.5 + (share - 0.5) * (many / 3)).otherwise(share)
+
+
+def with_verdict(postings: DataFrame, p: Profile, semantic: str | None = None) -> DataFrame:
+    """Adds ``verdict, score, reasons, red_flags, matched, gaps, recommendable`` under a profile; ``semantic`` names a column of 0 to 1, null where unknown."""
+    c, yes = F.col, lambda x: F.coalesce(x, F.lit(False))
+    given = postings.columns
+    rows = with_evidence(postings, p)
+    said = eligibility.evidence(F.concat_ws(" ", F.nullif("work_auth_required", F.lit("")), F.nullif("restrictions", F.lit("")), F.nullif("description", F.lit(""))))
+    top = RANK.get(p.seniority_max)
+    own = set().union(*(families_of(t) for t in p.target_titles)) if p.target_titles else set()
+    rows = rows.withColumns({
+        "_said": said, "_title": title_score(c("title"), p), "_level": effective_seniority(c("title"), c("seniority")), "_years": F.greatest("yoe_min", stated_years(c("description"), p.resume_text)),
+        "_defence": F.when(~yes(c("citizenship_required")), eligibility.defence(c("title"), c("description"), c("company"))), "_interest": interest_score(c("title"), c("description"), p), "_skill": skill_score(p),
+    }).withColumn("_rank", rank_of(c("_level")))
+    years, level, rank, title = c("_years"), c("_level"), c("_rank"), c("_title")
+
+    allowed = {x.strip().lower() for x in p.countries if x}
+    if allowed and allowed <= set(lists.US_NAMES):
+        abroad = F.when(~text.is_us(c("country"), c("location_raw"), c("remote_mode"), c("title")), F.concat(F.lit("Outside target countries ("), F.coalesce(F.nullif("location_raw", F.lit("")), F.nullif("country", F.lit("")), F.lit("unknown location")), F.lit(")")))
+    elif allowed:
+        abroad = F.when(yes(c("country") != "") & ~F.lower(F.trim("country")).isin(sorted(allowed)), F.concat(F.lit("Outside target countries ("), F.upper("country"), F.lit(")")))
+    else:
+        abroad = F.lit(None)
+    outside = F.when(title < 0.5, "Job title is outside the profile's target roles").when((title < CLOSE) & _like(text.empty(c("title")), CARE), "Clinical occupation is outside the profile's target roles") if p.target_titles else F.lit(None)
+    excluded = sorted({x.strip().lower() for x in p.excluded_companies})
+    first = _compact(
+        outside,
+        F.when(F.lit(p.needs_sponsorship) & (yes(c("visa_sponsorship") == "no") | yes(c("_said.visa_sponsorship") == "no")), "Explicitly no visa sponsorship"),
+        F.when(F.lit(p.reject_clearance) & (yes(c("security_clearance") == "required") | yes(c("_said.security_clearance") == "required")), "Requires a security clearance"),
+        F.when(F.lit(p.reject_citizenship_only) & (yes(c("citizenship_required")) | c("_said.citizenship_required")), "Requires US citizenship / GC / ITAR eligibility"),
+        abroad,
+        F.when(years >= YEARS_CAP, F.concat(F.lit("Requires "), years, F.lit("+ years of experience"))),
+        F.when((years >= 4) & ~yes(c("new_grad_program")) & ~yes(c("seniority").isin("intern", "junior")), F.concat(F.lit("Requires "), years, F.lit("+ years for a non-entry-level role"))),
+        F.when(level == "intern", "Internship-only role"),
+        F.when(yes(F.lower(F.trim("company")).isin(excluded)), F.concat(F.lit("Excluded company ("), "company", F.lit(")"))) if excluded else F.lit(None),
+        F.when(c("_defence").isNotNull(), F.concat(F.lit('Defense/weapons domain ("'), "_defence", F.lit('") — near-certain US-person/ITAR requirement'))) if p.needs_sponsorship else F.lit(None),
+    )
+    rows = rows.withColumn("_first", first)
+    borderline = yes((F.size("_first") == 0) & (years > p.yoe_max))
+    above = yes(rank > top) if top is not None else F.lit(False)
+    second = _compact(
+        F.when(borderline & (years > p.yoe_max + 1), F.concat(F.lit("Requires "), years, F.lit(f"+ years (well above target {p.yoe_max})"))),
+        F.when(yes(rank > top + 1), F.concat(F.initcap(F.replace(level, F.lit("_"), F.lit(" "))), F.lit(f" role is above the {p.seniority_max} target"))) if top is not None else F.lit(None),
+        F.when((F.size(families(c("title"))) > 0) & ~F.arrays_overlap(families(c("title")), F.array(*[F.lit(f) for f in sorted(own)])), "Role family is outside the profile's target roles") if own else F.lit(None),
+    )
+    rows = rows.withColumn("_rejects", F.concat("_first", second)).withColumn("_near_years", borderline)
+
+    seniority = F.when(rank.isNull(), 0.6).when(rank <= top, 1.0).when(rank == top + 1, 0.5).otherwise(0.0) if top is not None else F.lit(0.6)
+    liked = p.remote_preference
+    remote = F.lit(1.0) if liked == "any" else F.when(c("remote_mode") == "unknown", 0.5).when(c("remote_mode") == liked, 1.0).otherwise(0.0)
+    terms = {"skills": c("_skill"), "title": title, "interest": c("_interest"), "seniority": seniority, "remote": remote}
+    near = c(semantic).cast("double") if semantic else F.lit(None).cast("double")
+    total = sum((F.lit(WEIGHTS[k]) * v for k, v in terms.items()), F.lit(0.0)) + F.coalesce(F.lit(WEIGHTS["semantic"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), near)), F.lit(0.0))
+    weight = F.lit(sum(WEIGHTS[k] for k in terms)) + F.when(near.isNotNull(), F.lit(WEIGHTS["semantic"])).otherwise(0.0)
+    rows = rows.withColumns({"_fit": total / weight, "_seniority": seniority})
+
+    n, gaps = F.size("_matched"), F.least(F.size("_gaps"), F.lit(8))
+    seen = F.least(n, F.lit(12)) + gaps
+    described, entry = F.size("_job_skills") == 0, yes(c("new_grad_program")) | yes(title_seniority(c("title")).isin("intern", "junior")) | yes(c("seniority").isin("intern", "junior"))
+    exempt, quiet = yes(c("cap_exempt").isin("yes", "likely")), yes(c("visa_sponsorship").isin("not_mentioned", "unclear")) & F.lit(p.needs_sponsorship)
+    positive = exempt | yes(c("known_h1b_sponsor"))
+    unstated = years.isNull() & ~entry
+    unfinished = unstated & yes(c("enrichment_status").isin("pending", "failed"))
+    unsaid = unstated & ~unfinished & F.lit(top is not None and top <= RANK["junior"])
+    thin, weak = described & (n < 2), ~described & (n > 0) & ((F.least(n, F.lit(12)) / seen < 0.5) | ((seen >= 4) & (n < 2)))
+    curated = thin & yes(c("new_grad_program")) & (title >= CLOSE)
+    none = F.lit(not p.skills)
+    lacking = unsupported_specialties(c("title"), p)
+    elsewhere = F.lit(liked != "any") & yes((c("remote_mode") != "unknown") & (c("remote_mode") != liked))
+    unmatched = ~none & ~described & (n == 0)
+    early = _compact(
+        F.when(title >= 1, "Title matches a target role"), F.when((n > 0) & (c("_skill") >= 0.5), "Strong skill overlap with profile"),
+        F.when(years <= p.yoe_max, "Experience requirement is within profile range"), F.when(near >= 0.65, "Overall resume background is semantically aligned"),
+        F.when(F.lit(bool(p.interests)) & (c("_interest") >= 0.75), "Aligns with stated interests"), F.when(c("_seniority") >= 1, "Seniority within target range"),
+        F.when(F.lit(liked != "any") & (remote >= 1), "Matches work-mode preference"), F.when(exempt, F.concat(F.lit("Likely H-1B cap-exempt ("), "employer_type", F.lit(")"))),
+    )
+    late = _compact(F.when(~none & described & ~thin, "Verified profile skills are explicitly named in the job description"), F.when(quiet & positive, "Employer has a positive sponsorship signal"))
+    # text, when it holds, whether it forces a flag, whether it blocks a recommendation
+    far, loose = F.lit(bool(p.target_titles)) & (title < CLOSE), yes(level.isin("junior", "mid", "unclear")) & (title >= CLOSE) & (n >= 2)
+    flags: list[tuple[Column, Column, bool, Column | bool]] = [
+        (F.concat(F.lit("Seniority above target ("), level, F.lit(f" vs {p.seniority_max})")), above, True, True),
+        (F.lit("Title is not a close match to a target role"), far, True, True),
+        (F.lit("Profile has no verified skills for matching"), none, True, True),
+        (F.lit("Feed carries no skill text — verify requirements on the posting"), ~none & curated, True, False),
+        (F.lit("Job has insufficient extracted skill evidence"), ~none & thin & ~curated, True, True),
+        (F.lit("Verified skill coverage is below the recommendation bar"), ~none & weak, True, True),
+        (F.concat(F.lit("No resume evidence for central specialty: "), F.array_join(lacking, ", ")), F.size(lacking) > 0, True, True),
+        (F.lit("Confirm sponsorship policy during application"), quiet & positive, False, False),
+        (F.lit("Sponsorship not stated - verify before applying"), quiet & ~positive, True, False),
+        (F.concat(F.lit("Slightly above target YoE ("), years, F.lit(")")), c("_near_years"), True, True),
+        (F.lit("Experience requirements are unverified because enrichment is incomplete"), unfinished, True, True),
+        (F.lit("Experience level is not stated for this junior-targeted profile"), unsaid, True, ~loose),
+        (F.concat(F.lit("Work mode does not match preference ("), "remote_mode", F.lit(f" vs {liked})")), elsewhere, True, True),
+        (F.lit("Recruiter/aggregator post — prefer the direct employer"), yes(c("is_recruiter_post")), False, False),
+        (F.concat(F.lit("Defense/weapons domain ("), "_defence", F.lit(") — check for US-person/clearance requirements")), c("_defence").isNotNull() & F.lit(not p.needs_sponsorship), False, False),
+    ]
+    force = reduce(Column.__or__, [when for _, when, f, _ in flags if f])
+    block = reduce(Column.__or__, [when & (b if isinstance(b, Column) else F.lit(b)) for _, when, _, b in flags]) | F.lit(not p.target_titles) | (title < CLOSE)
+    hard, empty = F.size("_rejects") > 0, F.array().cast("array<string>")
+    scored = rows.withColumns({
+        "verdict": F.when(hard | unmatched, "reject").when((c("_fit") >= APPLY) & ~force, "apply").otherwise("flag"),
+        "score": F.when(hard, 0.0).otherwise(F.round("_fit", 3)), "reasons": F.when(hard, empty).when(unmatched, early).otherwise(F.concat(early, late)),
+        "red_flags": F.when(hard, c("_rejects")).when(unmatched, F.array(F.lit("No verified overlap with the job's technical skills"))).otherwise(_compact(*[F.when(when, what) for what, when, _, _ in flags])),
+        "matched": F.when(hard | unmatched, empty).otherwise(F.slice("_matched", 1, 12)), "gaps": F.when(hard, empty).otherwise(F.slice("_gaps", 1, 8)),
+        "recommendable": ~hard & ~unmatched & (c("_fit") >= APPLY) & ~block,
+    })
+    return scored.select(*given, "verdict", "score", "reasons", "red_flags", "matched", "gaps", "recommendable")
+
+
+def _tiers() -> list[Column]:
+    return [F.when(F.col("verdict") == "apply", 0).when(F.col("verdict") == "reject", 2).otherwise(1), F.when(F.col("recommendable"), 0).otherwise(1)]
+
+
+def _exempt() -> Column:
+    return F.when(F.col("cap_exempt").isin("yes", "likely"), 0).when(F.col("cap_exempt") == "no", 2).otherwise(1)
+
+
+def priority_order(prefer_cap_exempt: bool = False) -> list[Column]:
+    fit = F.col("score").desc()
+    return [*_tiers(), *([_exempt(), fit] if prefer_cap_exempt else [fit, _exempt()]), F.col("job_id")]
+
+
+def match_order(prefer_cap_exempt: bool = False) -> list[Column]:
+    fit = F.bround(F.col("score") * 100).desc()
+    return [*_tiers(), *([_exempt(), fit] if prefer_cap_exempt else [fit, _exempt()]), F.col("job_id")]
+
+
+def review_order() -> list[Column]:
+    """Analysed postings by tier: apply, borderline, not analysed, skip; then by score."""
+    return [F.when(F.col("verdict") == "apply", 0).when(F.col("verdict") == "borderline", 1).when(F.col("verdict").isNull(), 2).otherwise(3), F.col("score").desc_nulls_last(), F.col("job_id")]
+
+
+def profile_fits(posting: DataFrame, profiles: list[Profile]) -> DataFrame:
+    """Each posting under each of a user's profiles, which are few and known when the plan is made."""
+    out = None
+    for p in profiles:
+        one = with_verdict(posting, p).select("job_id", F.lit(p.id).alias("profile_id"), F.lit(p.label).alias("label"), "verdict", "score", "recommendable")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def fresh_ladder(postings: DataFrame, p: Profile, age_hours: Column, rungs: list[int], target: int, keys: list[Column]) -> DataFrame:
+    """The first rung with ``target`` recommendable roles, each once: scored once, for the widest rung."""
+    from .search import ladder
+
+    scored = with_verdict(postings.where(age_hours < rungs[-1]), p).where("recommendable")
+    return ladder(scored, age_hours, rungs, target, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]))
