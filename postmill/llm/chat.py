@@ -28,15 +28,20 @@ def _level(line: Column) -> Column:
 def passages(text: Column) -> Column:
     """Runs of lines of one quote level, in order: ``level, text`` without the marks."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.struct(_level(x).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")))
-    return F.transform(
-        _edges(lines), lambda e: F.struct(F.get(lines, e["first"])["level"].alias("level"), F.array_join(F.transform(F.slice(lines, e["first"] + 1, e["many"]), lambda x: x["body"]), "\n").alias("text"))
-    )
+    return _let(lines, lambda own: F.transform(_edges(own), lambda e: F.struct(
+        F.get(own, e["first"])["level"].alias("level"), F.array_join(F.transform(F.slice(own, e["first"] + 1, e["many"]), lambda x: x["body"]), "\n").alias("text")
+    )))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an expression named in a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def _edges(lines: Column) -> Column:
     """First line and number of lines of each run."""
     first = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
-    return F.transform(first, lambda s, k: F.struct(s.alias("first"), (F.coalesce(F.get(first, k + 1), F.size(lines)) - s).alias("many")))
+    return _let(first, lambda f: F.transform(f, lambda s, k: F.struct(s.alias("first"), (F.coalesce(F.get(f, k + 1), F.size(lines)) - s).alias("many"))))
 
 
 def normal(text: Column) -> Column:
