@@ -8,13 +8,14 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import lists, text
 
 RATIO = 0.9
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _alike(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() >= RATIO for x, y in zip(a, b)], dtype=bool)
 

@@ -250,7 +250,7 @@ def with_verdict(postings: DataFrame, p: Profile, semantic: str | None = None) -
     remote = F.lit(1.0) if liked == "any" else F.when(c("remote_mode") == "unknown", 0.5).when(c("remote_mode") == liked, 1.0).otherwise(0.0)
     terms = {"skills": c("_skill"), "title": title, "interest": c("_interest"), "seniority": seniority, "remote": remote}
     near = c(semantic).cast("double") if semantic else F.lit(None).cast("double")
-    total = sum((F.lit(WEIGHTS[k]) * v for k, v in terms.items()), F.lit(0.0)) + F.coalesce(F.lit(WEIGHTS["semantic"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), near)), F.lit(0.0))
+    total = sum((F.lit(WEIGHTS[k]) * v for k, v in terms.items()), F.lit(0.0)) + F.when(near.isNotNull(), F.lit(WEIGHTS["semantic"]) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), near))).otherwise(0.0)
     weight = F.lit(sum(WEIGHTS[k] for k in terms)) + F.when(near.isNotNull(), F.lit(WEIGHTS["semantic"])).otherwise(0.0)
     rows = rows.withColumns({"_fit": total / weight, "_seniority": seniority})
 

@@ -4,18 +4,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-POSTING = T.StructType.fromDDL("""
+_TYPES = {
+    "string": T.StringType(), "double": T.DoubleType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "array<string>": T.ArrayType(T.StringType()), "array<float>": T.ArrayType(T.FloatType()),
+}
+
+
+def _schema(fields: str) -> T.StructType:
+    """``name type, ...``; Spark's own parser needs a running session."""
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
+POSTING = _schema("""
 job_id string, source string, source_job_id string, title string, company string, location_raw string, city string, country string, remote_mode string, description string, url string,
 salary_min double, salary_max double, salary_currency string, posted_date timestamp, posted_date_est boolean, ingested_at timestamp, is_active boolean, last_seen_at timestamp, closed_at timestamp,
 yoe_min int, yoe_max int, visa_sponsorship string, work_auth_required string, restrictions string, company_size_bucket string, skills array<string>, seniority string,
 citizenship_required boolean, security_clearance string, known_h1b_sponsor boolean, known_everify boolean, is_recruiter_post boolean, eligibility_evidence array<string>,
 employer_type string, cap_exempt string, new_grad_program boolean, category string, employment_type string, enrichment_status string, raw_payload string, embedding array<float>
 """)
-PROFILE = T.StructType.fromDDL("""
+PROFILE = _schema("""
 id string, label string, target_titles array<string>, interests array<string>, skills array<string>, resume_text string, seniority_max string, yoe_max int, needs_sponsorship boolean,
 reject_clearance boolean, reject_citizenship_only boolean, countries array<string>, excluded_companies array<string>, remote_preference string, prefer_cap_exempt boolean
 """)
-TABLES = {name: T.StructType.fromDDL(ddl) for name, ddl in {
+TABLES = {name: _schema(ddl) for name, ddl in {
     "runs": "id string, source string, started_at timestamp, finished_at timestamp, count_ingested int, count_failed int, count_seen int, count_filtered int, count_closed int, error string, status string",
     "board_job_presence": "ats string, board_slug string, job_id string, first_seen timestamp, last_seen timestamp, closed_at timestamp",
     "job_sources": "job_id string, source string, url string, posted_date timestamp",

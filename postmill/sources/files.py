@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..schemas import POSTING
@@ -72,13 +73,13 @@ def ranked_csv(rows: DataFrame, order: list, path: str) -> None:
     rows.orderBy(*order).write.mode("overwrite").csv(path, header=True)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_entities(raw: pd.Series) -> pd.Series:
     """All character references of HTML, for texts beyond ``functions.text.unescape``."""
     return raw.map(lambda x: None if x is None else html.unescape(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fix_mojibake(raw: pd.Series) -> pd.Series:
     """Undoes UTF-8 that was read as Windows-1252 or Latin-1, as often as it makes text shorter and valid."""
 
@@ -98,7 +99,7 @@ def fix_mojibake(raw: pd.Series) -> pd.Series:
     return raw.map(fix)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def flatten_json(raw: pd.Series) -> pd.Series:
     """Keys and leaves of JSON, a line each."""
 
@@ -123,7 +124,7 @@ def flatten_json(raw: pd.Series) -> pd.Series:
     return raw.map(flat)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resume_text(path: pd.Series, content: pd.Series) -> pd.Series:
     """Text of résumé files by their extension: txt, md, json and docx; null for others and for broken ones."""
 
