@@ -1,16 +1,41 @@
 """Connected components of an undirected graph by alternating large and small stars.
 
 Every step is a grouped minimum, which combines before the shuffle, and a join, which Spark may split where a node
-has very many neighbours. Each round is stored in the shared folder, so a lost executor costs a round at most.
+has very many neighbours. Each round is stored in the shared folder, so a lost executor costs a round at most. What is
+left, once it is few edges by count, is joined in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 
+#: Edges that one task finishes: about 100 MB of its memory. More are contracted by stars, which leave fewer, until they fit or are stars.
+ONE_TASK = 1 << 20
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of one task."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = up = root[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    found = [(x, find(x)) for x in root]
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, r in found if x != r], pa.int64()), pa.array([r for x, r in found if x != r], pa.int64())], names=["node", "root"])
+
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     """Joins each node's neighbours to the least of them: the larger ones (both ways) or the smaller ones and the node."""
@@ -36,6 +61,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stash(edges.where("u <> v").select(larger, smaller).distinct(), "edges")
     seen = _print_of(now)
     while seen[0]:
+        if seen[0] <= ONE_TASK:
+            return stash(now.coalesce(1).mapInArrow(_joined, "node long, root long"), "roots")
         now = stash(_stars(_stars(now, True), False), "edges")
         before, seen = seen, _print_of(now)
         if before == seen:
