@@ -11,6 +11,7 @@ places, packed 64 to a number, to their documents and cuts the words.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import map_file, new_dir, put_file, release, remove, slices, stash, texts
 
-#: Sketch rows, cells for each expected window, cells in a merged file.
-ROWS, CELLS_PER_WINDOW, SHARD_BITS = 2, 2, 24
+#: Sketch rows, cells for each expected window, cells in a merged file. A table of fewer cells has one file, of a power of two.
+ROWS, CELLS_PER_WINDOW, SHARD_BITS = 2, 5, 24
 #: Windows that a task holds before it passes on their first places.
 HELD = 1 << 21
 
@@ -84,38 +85,55 @@ def _windows(batch: pa.RecordBatch, n: int, second: bool):
     return row, start, first, mixed(rolled(mixed(h), n, _OTHER)[at]) if second else None
 
 
-def _cells(key: np.ndarray, bits: int) -> list[np.ndarray]:
-    shift = np.uint64(64 - bits)
-    return [mixed(key ^ np.uint64(row)) >> shift for row in range(ROWS)]
+def _size(expected: float) -> tuple[int, int]:
+    """Files of a sketch row and bits of a file's cells: the load of a cell stays the same at every size."""
+    cells = expected * CELLS_PER_WINDOW
+    if cells > 1 << SHARD_BITS:
+        return math.ceil(cells / (1 << SHARD_BITS)), SHARD_BITS
+    return 1, max(16, math.ceil(math.log2(max(1, cells))))
 
 
-def _sketch(n: int, bits: int):
+def _cells(key: np.ndarray, size: tuple[int, int], row: int) -> np.ndarray:
+    """Cells of a row: the file by the upper half of a hash, the place in it by the lower."""
+    shards, bits = size
+    h = mixed(key ^ np.uint64(row))
+    shard = (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return shard << np.uint64(bits) | h & np.uint64((1 << bits) - 1)
+
+
+def _edges(cells: np.ndarray, size: tuple[int, int]) -> np.ndarray:
+    """Where the files begin and end in sorted cells."""
+    return np.searchsorted(cells, np.arange(size[0] + 1, dtype=np.uint64) << np.uint64(size[1]))
+
+
+def _sketch(n: int, size: tuple[int, int]):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, count = [], 0
         for batch in slices(batches, "text"):
             held.append(_windows(batch, n, False)[2])
             count += len(held[-1])
             if count >= 2 * HELD:
-                yield from _sketched(np.concatenate(held), bits)
+                yield from _sketched(np.concatenate(held), size)
                 held, count = [], 0
         if count:
-            yield from _sketched(np.concatenate(held), bits)
+            yield from _sketched(np.concatenate(held), size)
 
     return sketch
 
 
-def _sketched(key: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _sketched(key: np.ndarray, size: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """The cells that are set, by range: their gaps in Rice code, and a bit for counts of two or more."""
-    for row, cells in enumerate(_cells(key, bits)):
+    for row in range(ROWS):
+        cells = _cells(key, size, row)
         cells.sort()
         new = np.append(True, cells[1:] != cells[:-1])
         more = np.append(np.diff(np.flatnonzero(new)) > 1, cells[-1:] == cells[-2:-1] if len(cells) > 1 else False)
         cells = cells[new]
-        edges = np.searchsorted(cells, np.arange((1 << max(bits - SHARD_BITS, 0)) + 1, dtype=np.uint64) << np.uint64(SHARD_BITS))
+        edges = _edges(cells, size)
         out = []
         for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
             if a < b:
-                gap = np.diff(cells[a:b].astype(np.int64), prepend=shard << SHARD_BITS)
+                gap = np.diff(cells[a:b].astype(np.int64), prepend=shard << size[1])
                 out.append((row, shard, *riced(gap), np.packbits(more[a:b]).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["row", "shard", "many", "high", "low", "more"])
 
@@ -137,8 +155,7 @@ def unriced(many: int, high: bytes, low: bytes) -> np.ndarray:
 
 def _merge(home: str, bits: int):
     def merge(part: pa.Table) -> pa.Table:
-        size = 1 << min(bits, SHARD_BITS)
-        once, twice = np.zeros(size, bool), np.zeros(size, bool)
+        once, twice = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
         row, shard = part.column("row")[0].as_py(), part.column("shard")[0].as_py()
         for many, high, low, more in zip(*(part.column(c).to_pylist() for c in ("many", "high", "low", "more"))):
             cells = np.cumsum(unriced(many, high, low))
@@ -153,22 +170,22 @@ def _merge(home: str, bits: int):
 class Sketch:
     """The merged bit files, mapped as they are needed."""
 
-    def __init__(self, home: str, bits: int):
-        self.home, self.bits, self.maps = home, bits, {}
+    def __init__(self, home: str, size: tuple[int, int]):
+        self.home, self.size, self.maps = home, size, {}
 
     def twice(self, key: np.ndarray) -> np.ndarray:
         """Positions in ``key`` whose cells are all counted twice or more."""
         at = np.arange(len(key))
         for row in range(ROWS):
-            cells = _cells(key[at], self.bits)[row]
+            cells = _cells(key[at], self.size, row)
             order = np.argsort(cells)
             cells, kept = cells[order], np.zeros(len(at), bool)
-            edges = np.searchsorted(cells, np.arange((1 << max(self.bits - SHARD_BITS, 0)) + 1, dtype=np.uint64) << np.uint64(SHARD_BITS))
+            edges = _edges(cells, self.size)
             for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if a < b:
                     if (row, shard) not in self.maps:
                         self.maps[row, shard] = np.frombuffer(map_file(f"{self.home}/{row}-{shard}"), np.uint8)
-                    low = cells[a:b] & np.uint64((1 << SHARD_BITS) - 1)
+                    low = cells[a:b] & np.uint64((1 << self.size[1]) - 1)
                     kept[order[a:b]] = self.maps[row, shard][low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1
             at = at[kept]
         return at
@@ -177,9 +194,9 @@ class Sketch:
 _PLACES = pa.schema([("first", pa.int64()), ("second", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int32()), ("later", pa.bool_())])
 
 
-def _candidates(home: str, n: int, bits: int):
+def _candidates(home: str, n: int, size: tuple[int, int]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, count = Sketch(home, bits), [], 0
+        sketch, held, count = Sketch(home, size), [], 0
         for batch in slices(batches, "text"):
             row, start, first, second = _windows(batch, n, True)
             at = sketch.twice(first)
@@ -218,14 +235,14 @@ def covered_places(docs: DataFrame, window: int) -> DataFrame:
     docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     # a word takes about six bytes; a longer text only fills the sketch more
     expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
-    bits = max(16, int(np.ceil(np.log2(max(1, expected * CELLS_PER_WINDOW)))))
+    size = _size(expected)
     home = new_dir(spark, "sketch")
-    parts = docs.select("text").mapInArrow(_sketch(window, bits), "row int, shard long, many int, high binary, low binary, more binary")
-    merged = parts.groupBy("row", "shard").applyInArrow(_merge(home, bits), "row int, shard long, twice long")
+    parts = docs.select("text").mapInArrow(_sketch(window, size), "row int, shard long, many int, high binary, low binary, more binary")
+    merged = parts.groupBy("row", "shard").applyInArrow(_merge(home, size[1]), "row int, shard long, twice long")
     merged.agg(F.sum("twice")).collect()
     del parts, merged
     release(spark)
-    found = docs.mapInArrow(_candidates(home, window, bits), "first long, second int, doc_id long, start int, later boolean")
+    found = docs.mapInArrow(_candidates(home, window, size), "first long, second int, doc_id long, start int, later boolean")
     block = [(F.col("start") / 64).cast("int").alias("block"), F.expr("shiftleft(1L, start % 64)").alias("bit")]
     order = Window.partitionBy("first", "second").orderBy("doc_id", "start")
     covered = found.withColumn("turn", F.rank().over(order)).where("turn > 1 or later").select("doc_id", *block)
