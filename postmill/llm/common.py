@@ -65,10 +65,10 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as a table in the shared folder and reads it back, which cuts its lineage."""
+def stash(df: DataFrame, name: str, home: str | None = None) -> DataFrame:
+    """Writes ``df`` as a table in the shared folder, or in ``home`` below it, and reads it back, which cuts its lineage."""
     spark = df.sparkSession
-    path = new_dir(spark, name)
+    path = f"{home}/{name}-{uuid.uuid4().hex}" if home else new_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
