@@ -146,6 +146,13 @@ def test_decontamination(spark, docs):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_substrings_of_many_files(spark, docs, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_BITS", 12)
+    assert substring_dedup._size(30_000)[0] > 30
+    found = substring_dedup.dedup_substrings(docs.unionByName(docs.where("doc_id = 9").withColumn("doc_id", F.lit(19).cast("long"))), keep=["doc_id"], as_digest=True)
+    assert rows(found) == sorted(substring_dedup.brute_force([*pairs(), (19, LONG)]), key=str)
+
+
 def test_substrings(spark, docs):
     found = substring_dedup.dedup_substrings(docs.withColumn("kept", F.lit("clash")), keep=["doc_id"], as_digest=True)
     assert rows(found) == sorted(substring_dedup.brute_force(pairs()), key=str)
