@@ -69,6 +69,24 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_duplicates_of_a_template(spark):
+    rng, words = np.random.default_rng(3), lambda name, n: [f"{name}{k}" for k in range(n)]
+    shared, table = words("template", 80), []
+    for k in range(40):  # members alike at about 0.7; every other one is copied at 0.8 or a little more
+        text = shared + words(f"own{k}x", 16)
+        table.append((2 * k, " ".join(text)))
+        if k % 2:
+            text[int(rng.integers(10, 70))] = "changed"
+            text += words(f"more{k}x", 5 + k % 3)
+        table.append((2 * k + 1, " ".join(text)))
+    for k in range(30):  # short texts, of which 4 of 5 shingles are shared, or 3 of 4
+        text = words(f"short{k}x", 8)
+        table += [(200 + 2 * k, " ".join(text)), (201 + 2 * k, " ".join([*text, "end"] if k % 3 else [*text[1:], "end"]))]
+    wanted = neardup.brute_force(table)
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert found == wanted and len(set(wanted.values())) > 40
+
+
 def test_lm(spark, docs):
     train = {d for d, _ in pairs() if zlib.crc32(str(d).encode()) % 7 != 2}
     marked = docs.withColumn("held_out", ngram_lm.held_out(F.col("doc_id"))).withColumn("score", F.lit("clash"))
