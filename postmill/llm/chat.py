@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import stash
 
-#: Normalised characters that a piece needs to be looked up: shorter ones say too little.
+#: Normalised characters that a part of a passage needs to be looked up: shorter ones say too little. The whole passage needs none.
 LEAST = 12
 #: A line that only introduces a quotation.
 ATTRIBUTION = r"(?m)^[^\n]*\b(?:wrote|writes|said|schrieb|schreibt|a écrit|écrit|escribió|escribe)\s*:[ \t]*$"
@@ -48,14 +48,15 @@ def normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}]+", " "))
 
 
-def pieces(text: Column) -> Column:
-    """The normalised whole, paragraphs, lines and sentences that are long enough."""
-    parts = F.concat(F.array(text), F.split(text, r"\n[ \t]*\n"), F.split(text, r"\n"), F.split(text, r"(?<=[.!?])\s+"))
-    return F.filter(F.array_distinct(F.transform(parts, normal)), lambda x: F.length(x) >= LEAST)
+def pieces(text: Column, least: int) -> Column:
+    """The normalised whole, and its paragraphs, lines and sentences of ``least`` characters or more."""
+    parts = F.concat(F.split(text, r"\n[ \t]*\n"), F.split(text, r"\n"), F.split(text, r"(?<=[.!?])\s+"))
+    some = F.filter(F.transform(parts, normal), lambda x: F.length(x) >= least)
+    return F.filter(F.array_distinct(F.concat(F.array(normal(text)), some)), lambda x: x != "")
 
 
-def _rows(df: DataFrame, text: Column, *more: Column) -> DataFrame:
-    piece = df.select("conv_id", "_at", *more, F.explode(pieces(text)).alias("piece"))
+def _rows(df: DataFrame, text: Column, least: int, *more: Column) -> DataFrame:
+    piece = df.select("conv_id", "_at", *more, F.explode(pieces(text, least)).alias("piece"))
     return piece.select("conv_id", "_at", *[c for c in piece.columns if c not in ("conv_id", "_at", "piece")], F.length("piece").alias("long"), F.md5(F.col("piece").cast("binary")).alias("hash"))
 
 
@@ -63,10 +64,10 @@ def links(messages: DataFrame) -> DataFrame:
     """``conv_id, _at, runs, own`` to ``conv_id, _at, passage, level, source``: the turn that a passage is from, or null."""
     quoting = messages.where(F.exists("runs", lambda r: r["level"] > 0))
     quoted = quoting.select("conv_id", "_at", F.posexplode(F.filter("runs", lambda r: (r["level"] > 0) & (F.trim(r["text"]) != ""))).alias("passage", "run"))
-    asked = _rows(quoted, F.col("run.text"), F.col("passage"), F.col("run.level").alias("level"))
+    asked = _rows(quoted, F.col("run.text"), LEAST, F.col("passage"), F.col("run.level").alias("level"))
     asking = asked.groupBy(F.col("conv_id").alias("_c")).agg(F.max("_at").alias("_last"))
     candidates = messages.join(asking, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_at") < F.col("_last")), "left_semi")
-    said = _rows(candidates, F.col("own")).select("conv_id", "_at", "hash").distinct()
+    said = _rows(candidates, F.col("own"), 1).select("conv_id", "_at", "hash").distinct()
     both = asked.withColumn("said", F.lit(None).cast("long")).unionByName(said.withColumn("said", F.col("_at")), allowMissingColumns=True)
     before = Window.partitionBy("conv_id", "hash").orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("source", F.last("said", ignorenulls=True).over(before)).where("passage is not null")

@@ -251,5 +251,12 @@ def test_chat(spark):
     assert [r.reply_order for r in plain.where("conv_id = 1").orderBy("turn").collect()] == [1, 2, 3]
 
 
+def test_short_quotations(spark):
+    said = ["Shall I send it?", "Yes, please.", "Which colour?", "好的。", "> Yes, please.\nSent.", "> 好的。\nGood.", "No. Wait.\nOK", "> ok\nFine", "> No.\nWhy?", "> Maybe\nSo", "> Never did I say this\n> OK\nhm"]
+    table = [(1, k, "user", t) for k, t in enumerate(said)]
+    found = {r.turn: r for r in chat.format_chats(spark.createDataFrame(table, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(found[k].reply_to, found[k].linked, found[k].n_linked) for k in range(4, 11)] == [(1, True, 1), (3, True, 1), (5, False, 0), (6, True, 1), (6, True, 1), (8, False, 0), (9, False, 0)]
+
+
 def test_registry():
     assert {f"op{k}" for k in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(SQL) <= set(QUERIES)
