@@ -40,7 +40,7 @@ BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|m
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
-SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH = 70, 200, 1 / 3, 0.10, 0.25
+SHORT, LONG, LINKS, STOPS_LOW, STOPS_HIGH, UNKNOWN = 70, 200, 1 / 3, 0.10, 0.25, 0.05
 
 
 @dataclass
@@ -127,9 +127,24 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _density(text: str) -> float:
+    """The share of stop words."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def _foreign(text: str) -> bool:
+    """Most letters are of a script that none of the stop words is written in."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" for c in letters) > len(letters)
+
+
 def judge(found: list[Block]) -> None:
-    """Pass 1. Where a page marks its article, what is outside is none of it."""
+    """Pass 1. Where a page marks its article, what is outside is none of it. Where stop words can't tell, since the page has hardly any, or a
+    block's script has none, length and link density decide."""
     marked = any(b.inside and not b.beside for b in found)
+    prose = [b for b in found if len(b.text) >= SHORT and not b.beside and b.linked <= LINKS * len(b.text)]
+    unknown = sum(_density(b.text) * len(b.text) for b in prose) < UNKNOWN * sum(len(b.text) for b in prose)
     for b in found:
         size = len(b.text)
         if b.beside or marked and not b.inside or b.linked > LINKS * size or b.text.startswith("©"):
@@ -137,12 +152,11 @@ def judge(found: list[Block]) -> None:
         elif size < SHORT:
             b.label = None if not b.linked or b.inside else False
         else:
-            words = b.text.lower().split()
-            density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+            density = _density(b.text)
             if density >= STOPS_HIGH or b.inside or density >= STOPS_LOW and size >= LONG:
                 b.label = True
-            else:  # few stop words: open if they are some, else no prose
-                b.label = None if density >= STOPS_LOW else False
+            else:  # few stop words: lists, tables and the like, which their neighbours decide
+                b.label = True if density < STOPS_LOW and (unknown or _foreign(b.text)) else None
 
 
 def settle(found: list[Block]) -> None:

@@ -224,6 +224,20 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_of_other_languages():
+    russian = "Сегодня утром жители города вышли на улицы, чтобы встретить весну и посмотреть на большой праздник у реки."
+    polish = "Dzisiaj rano mieszkańcy miasta wyszli na ulice, żeby powitać wiosnę oraz zobaczyć wielkie święto nad rzeką."
+    chinese = "今天早上城里的居民走上街头迎接春天，观看河边举行的盛大节日活动。" * 3
+    for text in (russian, polish, chinese):
+        page = f"<nav><a href=x>{text}</a></nav><div><h2>{text[:20]}</h2><p>{text[:30]}</p><p>{text}</p></div><ul><li><a href=y>{text}</a></ul><footer>{text}</footer>"
+        assert html_text.main_text(page) == f"{text[:20].strip()} {text[:30].strip()} {text}"
+    # a table between paragraphs in a covered language, and a paragraph in another script below an English one
+    english = "This is the first paragraph of the article and it has many of the usual words that are in the language."
+    table = "Length 20 cm, width 30 cm, height 40 cm, weight 5 kg, colour green, material oak, price 100 dollars"
+    assert html_text.main_text(f"<p>{english}</p><table><tr><td>{table}</td></tr></table><p>{english}</p>") == f"{english} {table} {english}"
+    assert html_text.main_text(f"<p>{english * 5}</p><nav>x</nav><p>{russian}</p><nav>x</nav>") == f"{english * 5} {russian}"
+
+
 def test_merkle(spark, docs):
     assert rows(merkle.compare_with_next(docs.select("doc_id", "text"))) == sorted(merkle.brute_force(pairs()), key=str)
     one = merkle.compare_with_next(docs.where("doc_id = 5")).first()
