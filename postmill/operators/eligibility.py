@@ -10,9 +10,13 @@ from ..functions import lists, text
 EVIDENCE = 4
 
 
-def evidence(raw: Column) -> Column:
-    """``visa_sponsorship, citizenship_required, security_clearance, evidence`` of a text. Sentences are cut only in texts that match as a whole."""
-    plain = F.regexp_replace(F.left(text.strip_tags(raw), F.lit(20_000)), r"(?i)\bu\.s\.", "US")
+def evidence(raw: Column, limit: int | None = 20_000) -> Column:
+    """``visa_sponsorship, citizenship_required, security_clearance, evidence`` of a text. Sentences are cut only in texts that match as a whole.
+
+    Characters after ``limit`` are not read, as in the reference; None reads all.
+    """
+    plain = text.strip_tags(raw)
+    plain = F.regexp_replace(plain if limit is None else F.left(plain, F.lit(limit)), r"(?i)\bu\.s\.", "US")
     has = lambda t, p: F.regexp_like(t, F.lit(p))
     every = [lists.NO_SPONSORSHIP, lists.CITIZENSHIP, lists.CLEARANCE]
     sentences = F.split(plain, r"(?<=[.!?])\s+|\n+")

@@ -316,7 +316,7 @@ def html_to_text(spark, d):
 
 @query()
 def eligibility_scan(spark, d):
-    said = eligibility.evidence(F.col("text"))
+    said = eligibility.evidence(F.col("text"), limit=None)
     return read(spark, d, "documents").select("doc_id", said.alias("s")).select("doc_id", "s.visa_sponsorship", "s.citizenship_required", "s.security_clearance", "s.evidence")
 
 

@@ -105,3 +105,12 @@ def test_metrics(spark):
     assert rows[0].composite.ai_risk_score < rows[1].composite.ai_risk_score and rows[1].buzzword.buzzword_count == 15
     assert rows[1].repetition.sent_4gram_overlap == 1.0 and rows[2].readability.word_count == 0 and rows[0].structure.sentence_count == 2
     assert rows[1].lexical.type_count == 8 and rows[1].lexical.hapax_rate == 0.0 and rows[0].readability.flesch_kincaid_grade is None
+
+
+def test_eligibility_reads_whole_texts(spark, tmp_path):
+    from postmill.plans.queries import QUERIES
+
+    said = "You must be a U.S. citizen. Active security clearance required."
+    spark.createDataFrame([(1, "word " * 5000 + ". " + said), (2, said)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in QUERIES["eligibility_scan"](spark, str(tmp_path)).collect()}
+    assert found[2].security_clearance == "required" and tuple(found[1])[1:4] == tuple(found[2])[1:4]
