@@ -20,22 +20,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_file, new_dir, put_file, slices, texts
+from .common import map_file, new_dir, put_file, slices, stash, texts
 
 #: The vocabulary file: lines of base64 piece and rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-#: Texts of a language that are learned from at most, and the bytes of the longest one.
+#: Texts of a language that are learned from at most, and the bytes of the longest one; a language of longer texts only is learned from its shortest.
 SAMPLE, SAMPLE_BYTES = 250, 1 << 16
 #: Bytes of the longest piece; longer words are cut in parts of so many bytes; words scored at a time; words a worker remembers.
 PIECE, WORD_BYTES, AT_ONCE, HELD = 12, 48, 1 << 13, 1 << 18
 ROUNDS, SMOOTH = 3, 0.02
+#: The least probability of a piece. Each byte's share is scaled by ``BYTE``, so a word's sum is within 1e-288 and 1e288 whatever its bytes.
+FLOOR, BYTE = 1e-12, 1e6
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[bytes]:
-    """Lower-cased runs of letters, each after the space that word-initial pieces begin with."""
-    out = []
-    for word in LETTERS.findall(text.lower()):
+    """Lower-cased runs of letters, each after the space that word-initial pieces begin with. Number signs such as fractions are no letters."""
+    out, runs = [], LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, runs)):
+        runs = [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
+    for word in runs:
         word = b" " + word.encode("utf-8", "replace")
         if len(word) <= WORD_BYTES:
             out.append(word)
@@ -54,7 +58,7 @@ class Trie:
         self.kind[known] = np.arange(len(known))
         children, ends = [{}], [-1]
         self.single = np.full(256, -1, np.int32)
-        self.size = len(pieces)
+        self.size, self.bytes = len(pieces), np.array([len(p) for p in pieces])
         for number, piece in enumerate(pieces):
             if len(piece) == 1:
                 self.single[piece[0]] = number
@@ -112,13 +116,18 @@ def _blocks(own: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
 
 class Model:
     def __init__(self, languages: list[str], trie: Trie, p: np.ndarray):
-        self.languages, self.trie, self.p = languages, trie, p
+        self.languages, self.trie = languages, trie
+        self.learn(p)
+
+    def learn(self, p: np.ndarray) -> None:
+        self.p = np.maximum(p, FLOOR)
+        self.scaled = self.p * BYTE ** self.trie.bytes[:, None].astype(float)
 
     def forward(self, block: np.ndarray, sizes: np.ndarray, keep: list | None = None) -> np.ndarray:
         alpha = np.zeros((block.shape[1] + 1, len(block), self.p.shape[1]))
         alpha[0] = 1
         for start, size, rows, piece in self.trie.matches(block, sizes):
-            alpha[start + size, rows] += alpha[start, rows] * self.p[piece]
+            alpha[start + size, rows] += alpha[start, rows] * self.scaled[piece]
             if keep is not None:
                 keep.append((start, size, rows, piece))
         return alpha
@@ -127,7 +136,7 @@ class Model:
         out = np.zeros((len(own), self.p.shape[1]))
         for part, block, sizes in _blocks(own):
             alpha = self.forward(block, sizes)
-            out[part] = np.log(alpha[sizes, np.arange(len(part))])
+            out[part] = np.log(alpha[sizes, np.arange(len(part))]) - np.log(BYTE) * sizes[:, None]
         return out
 
     def expected(self, own: list[bytes], counts: np.ndarray) -> np.ndarray:
@@ -140,7 +149,7 @@ class Model:
             beta = np.zeros_like(alpha)
             beta[sizes, at] = counts[part] / alpha[sizes, at]
             for start, size, rows, piece in reversed(steps):
-                flow = self.p[piece] * beta[start + size, rows]
+                flow = self.scaled[piece] * beta[start + size, rows]
                 beta[start, rows] += flow
                 flow *= alpha[start, rows]
                 for k in range(out.shape[1]):
@@ -165,15 +174,27 @@ def fit(samples: list[tuple[str, str]], path: str = VOCABULARY) -> Model:
     model = Model(languages, trie, np.full((trie.size, len(languages)), 1 / trie.size))
     for _ in range(ROUNDS):
         used = model.expected(own, counts)
-        model.p = (used + SMOOTH) / (used.sum(0) + SMOOTH * trie.size)
+        model.learn((used + SMOOTH) / (used.sum(0) + SMOOTH * trie.size))
     return model
 
 
 def sample(labelled: DataFrame, per_language: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str, str]]:
-    """The ``per_language`` rows of each language that are least by hash; each partition passes on no more than these."""
-    rows = labelled.where("lang is not null and text is not null").where(F.octet_length("text") <= most_bytes).select("text", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return [(r.text, r.lang) for r in rows.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= per_language).collect()]
+    """At most ``per_language`` rows of each language, those of the least draw by a hash of id and text.
+
+    A language's rows are counted first, and only draws below four times its share go on to be ordered: about 1,000 a language, however
+    many it has. Languages whose texts are all above ``most_bytes`` give their shortest text. What the driver gets is bounded by the number of languages.
+    """
+    rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang").withColumn("_bytes", F.octet_length("text"))
+    short = F.col("_bytes") <= most_bytes
+    counts = stash(rows.groupBy("lang").agg(F.count_if(short).alias("_many"), F.min("_bytes").alias("_least")), "languages")
+    drawn = rows.where(short).select("text", "lang", "doc_id", F.xxhash64("doc_id", "text").alias("_draw")).join(counts, "lang")
+    few = drawn.where(F.pmod("_draw", F.lit(1 << 40)) / F.lit(float(1 << 40)) < 4.0 * per_language / F.col("_many"))
+    order = Window.partitionBy("lang").orderBy(F.pmod("_draw", F.lit(1 << 40)), "doc_id", "text")
+    out = [(r.text, r.lang) for r in few.withColumn("_turn", F.row_number().over(order)).where(F.col("_turn") <= per_language).select("text", "lang").collect()]
+    if counts.where("_many = 0").limit(1).count():
+        long = rows.join(counts.where("_many = 0"), "lang").where("_bytes = _least")
+        out += [(r.text, r.lang) for r in long.groupBy("lang").agg(F.min("text").alias("text")).collect()]
+    return out
 
 
 _loaded: tuple[str, Model] | None = None
@@ -228,7 +249,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify_languages(docs: DataFrame, keep: list[str] | None = None, path: str = VOCABULARY) -> DataFrame:
-    """Learns from rows (doc_id, text, lang) that are not held out, and predicts all rows; see ``predict``."""
+    """Learns from rows (doc_id, text, lang) that are not held out, and predicts all rows; see ``predict``.
+
+    Rows that repeat are predicted alike, and each may be learned from. Of languages that are equally likely the first by code point is named. Texts
+    are read whole, whatever their length; words are scored in parts of ``WORD_BYTES``. An empty table gives an empty
+    result. Input columns named ``lang_pred`` or ``score`` are replaced.
+    """
     docs = docs.drop("lang_pred", "score")
     model = fit(sample(docs.where(~held_out(F.col("doc_id")))), path)
     return predict(docs, model, docs.columns if keep is None else keep)

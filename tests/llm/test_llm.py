@@ -191,6 +191,30 @@ def test_languages(spark):
     assert language_id.identify_languages(docs.limit(0)).count() == 0
 
 
+def test_languages_of_odd_texts(spark, monkeypatch):
+    odd = ["q" * 47, "\u1681" * 16, "w" * 5000, "\u16a0\u16a1" * 400, "x\u00b2", "\u0130stanbul"]
+    table = [(1, "the cat and the dog are in the house", "en"), (2, "die katze und der hund sind in dem haus", "de"), (3, "the end", "en"), (3, "the end", "en")]
+    table += [(10 + k, t, None) for k, t in enumerate(odd)] + [(30 + k, t, None) for k, t in enumerate(["\u00bd \u00b2", "\u2460 \u2167 12", "", "_ - _"])]
+    long = [(50 + k, "le chien et le chat sont dans la maison de mon ami " * (40 + k), "fr") for k in range(9)]
+    monkeypatch.setattr(language_id.sample, "__defaults__", (250, 1000))
+    docs = spark.createDataFrame(table + long, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in language_id.identify_languages(docs).collect()}
+    assert all(0 < found[10 + k].score <= 1 and found[10 + k].lang_pred in ("de", "en", "fr") for k in range(len(odd)))
+    assert all((found[30 + k].lang_pred, found[30 + k].score) == ("und", 0) for k in range(4)) and {found[50 + k].lang_pred for k in range(9)} == {"fr"}
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("the same text").alias("text"), F.when(F.col("id") < 3000, "en").when(F.col("id") < 4990, "de").otherwise("fr").alias("lang"))
+    found = language_id.sample(docs, 50)
+    assert {lang: sum(x == lang for _, x in found) for lang in ("en", "de", "fr")} == {"en": 50, "de": 50, "fr": 10}
+
+
+def test_languages_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    found = language_id.identify_languages(docs, ["doc_id", "held_out", "lang"]).where("held_out and lang_pred <> 'und'").select((F.col("lang") == F.col("lang_pred")).alias("right")).collect()
+    assert len(found) > 150 and sum(r.right for r in found) > 0.97 * len(found)
+
+
 def test_forward_sums_all_segmentations():
     model = language_id.fit([("the cat the dog", "en"), ("der hund die katze", "de")])
     kinds = {p for p in language_id.vocabulary(language_id.VOCABULARY) if 0 < len(p) <= language_id.PIECE and p == p.lower() and re.fullmatch(rb" ?[a-z\x80-\xff]*", p)} | {bytes([b]) for b in range(256)}
@@ -202,6 +226,9 @@ def test_forward_sums_all_segmentations():
     for w in (b" the", b" katze", " étés".encode(), b" qzx"):
         assert np.allclose(np.log(every(w)), model.log_probabilities([w])[0])
     assert np.allclose(model.p.sum(0), 1)
+    text = "the dog and die katze"
+    total = sum(np.log(every(w)) for w in language_id.words(text))
+    assert np.allclose(total, model.log_probabilities(language_id.words(text)).sum(0))
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=x>Home</a></nav><script>var t="</p>";</script><!-- <p>no</p> -->
