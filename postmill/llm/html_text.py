@@ -25,18 +25,20 @@ le la les de des du et un une est que qui dans en pour par sur pas au aux ce il
 el los las del y que en un una es por con no para su al lo como más pero sus este ya o si porque cuando muy sin sobre
 il di che e per non una sono con del della le da si dei nel alla o em do dos das na no os as uma mais het een van en niet dat op te zijn voor met
 """.split())
-#: Elements whose content is no text of the page.
-DROPPED = re.compile(r"<(script|style|noscript|template|svg|math|iframe|object|canvas|audio|video|select|textarea|button|title)\b[^>]*+(?:/>|>.*?(?:</\1\s*>|\Z))", re.S | re.I)
-COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+[^<>]*+)(?:>|\Z)""")
+#: Elements whose content is raw text and none of the page, up to their end tag or that of the page; then those whose content is left out only if they end.
+RAW, DROPPED = frozenset("script style title textarea iframe noembed noframes xmp".split()), frozenset("noscript template svg math object canvas audio video select button".split())
+#: Comments, declarations, then tags: what begins first counts, so a tag in a comment is none.
+TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'<]++|"[^"<]*+"|'[^'<]*+')*+[^<>]*+)(?:>|\Z)""", re.S)
+END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for name in RAW | DROPPED}
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are kept on the stack, for what they say of the blocks inside.
 HOLDERS = BLOCKS - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6"} | {"span"}
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words in a class or id that tell of something beside the article.
-BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|navi?|navbar|navigation|sidebar|side|footer|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|shar(?:e|ing)|social|related|recommend\w*|comments?|respond|replies|disqus|widget|toolbar|pag(?:er|ination)|copyright|disclaimer|teasers?|hidden|skip)(?:$|[\s_-])", re.I)
+#: Words in a class or id that tell of something beside the article; of the second kind only outside an article, inside one they leave the block to its densities.
+BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|navi?|navbar|navigation|sidebar|footer|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|newsletter|subscribe|shar(?:e|ing)|social|comments?|respond|replies|disqus|pag(?:er|ination)|hidden)(?:$|[\s_-])", re.I)
+MAYBE = re.compile(r"(?:^|[\s_-])(?:side|alert|modal|overlay|signup|login|related|recommend\w*|widget|toolbar|copyright|disclaimer|teasers?|skip)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -48,39 +50,44 @@ class Block:
     text: str
     linked: int
     beside: bool
+    maybe: bool
     inside: bool
     heading: bool
     label: bool | None = None
 
 
-def _beside(tag: str, attributes: str) -> bool:
+def _beside(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is beside the article for sure, or maybe, by its name and attributes."""
     if tag in ASIDE:
-        return True
+        return True, True
+    maybe = False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes.strip() else ():
         value = "".join(values)
         name = name.lower()
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and BESIDE.search(CAMEL.sub("-", value)):
-            return True
-    return False
+            return True, True
+        if name in ("class", "id"):
+            value = CAMEL.sub("-", value)
+            if BESIDE.search(value):
+                return True, True
+            maybe = maybe or MAYBE.search(value) is not None
+    return False, maybe
 
 
 def blocks(page: str) -> list[Block]:
-    page = DROPPED.sub(" ", COMMENT.sub("", page))
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, beside, inside an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, beside, maybe beside, inside an article
     parts: list[str] = []
-    linked, link, heading, at = 0, 0, False, 0
+    linked, link, heading, at, seek = 0, 0, False, 0, 0
+    unended: set[str] = set()  # elements of which no end tag follows
 
     def close() -> None:
         nonlocal linked, parts
         text = " ".join("".join(parts).split())
         if text:
-            beside, inside = stack[-1][1:] if stack else (False, False)
-            out.append(Block(text, min(linked, len(text)), beside, inside, heading))
+            out.append(Block(text, min(linked, len(text)), *(stack[-1][1:] if stack else (False, False, False)), heading))
         parts, linked = [], 0
 
     def say(raw: str) -> None:
@@ -91,10 +98,23 @@ def blocks(page: str) -> list[Block]:
             if link:
                 linked += len(" ".join(text.split()))
 
-    for m in TAG.finditer(page):
+    while m := TOKEN.search(page, seek):
         say(page[at : m.start()])
-        at = m.end()
+        at = seek = m.end()
+        if m[2] is None:  # a comment or declaration
+            continue
         end, tag, attributes = m[1], m[2].lower(), m[3]
+        if tag in END and not end:
+            alone = attributes.endswith("/")
+            ended = None if tag in unended or alone and tag not in RAW else END[tag].search(page, at)
+            if ended:
+                at = seek = ended.end()
+            elif tag in RAW and not alone:
+                at = seek = len(page)
+            elif tag in RAW or not alone:
+                unended.add(tag)
+            parts.append(" ")
+            continue
         if tag == "a":
             link = 0 if end else 1
         elif tag == "br":
@@ -115,13 +135,13 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
         else:
-            before = stack[-1][1:] if stack else (False, False)
-            root = tag in ("html", "body", "article", "main", "head")
-            own = not root and _beside(tag, attributes)
-            own = own or tag == "header" and not before[1]
-            if tag == "span" and own:
+            beside, maybe, inside = stack[-1][1:] if stack else (False, False, False)
+            if tag not in ("html", "body", "article", "main", "head"):
+                own = _beside(tag, attributes)
+                beside, maybe = beside or own[0] or tag == "header" and not inside or own[1] and not inside, maybe or own[1]
+            if tag == "span" and beside and not (stack and stack[-1][1]):
                 close()
-            stack.append((tag, before[0] or own, before[1] or tag in ("article", "main")))
+            stack.append((tag, beside, maybe, inside or tag in ("article", "main")))
     say(page[at:])
     close()
     return out
@@ -147,8 +167,10 @@ def judge(found: list[Block]) -> None:
     unknown = sum(_density(b.text) * len(b.text) for b in prose) < UNKNOWN * sum(len(b.text) for b in prose)
     for b in found:
         size = len(b.text)
-        if b.beside or marked and not b.inside or b.linked > LINKS * size or b.text.startswith("©"):
+        if b.beside or marked and not b.inside or b.linked > LINKS * size or b.text.startswith("©") and size < SHORT:
             b.label = False
+        elif b.maybe:  # named as if beside, in an article: prose by its densities stays
+            b.label = size >= SHORT and (unknown or _foreign(b.text) or _density(b.text) >= STOPS_HIGH)
         elif size < SHORT:
             b.label = None if not b.linked or b.inside else False
         else:
@@ -194,7 +216,8 @@ def main_text(page: str) -> str:
 
 
 def extract_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Adds ``text, n_chars`` to each row of ``pages`` (html, ...). Null or empty html has an empty text; rows that repeat give equal rows.
+    """Adds ``text, n_chars`` to each row of ``pages`` (html, ...). Null or empty html has an empty text; rows that repeat give equal rows;
+    an empty table gives an empty result. Pages are read whole, whatever their length, and markup that never ends is read as far as it goes.
 
     ``keep`` names the input columns to return (default all); those with the names of added ones are replaced.
     """

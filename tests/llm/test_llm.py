@@ -3,6 +3,7 @@
 import re
 import zlib
 from functools import reduce
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -251,6 +252,51 @@ def test_html(spark):
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
+def test_html_of_odd_markup():
+    prose = "This is the first paragraph of the article and it has many of the usual words that are in the language."
+    kept = {
+        f'<article><svg width="1"/><p>{prose}</p></article>': prose, f'<script>var a="<!--";</script><p>{prose}</p>': prose, f"<!-- <script> --><p>{prose}</p><!-- </script> -->": prose,
+        f"<article><p>{prose}</p><button>Go<p>{prose}</p></article>": f"{prose} Go {prose}", f"<article><p>{prose}</p><button>Go</button><p>{prose}</p></article>": f"{prose} {prose}",
+        f'<article><div class="related-work"><p>{prose}</p></div><div class="teaser"><a href=x>{prose}</a></div><p>© in a sentence: {prose}</p></article>': f"{prose} © in a sentence: {prose}",
+        f'<article><p>{prose}</p></article><div class="related-work"><p>{prose}</p></div>': prose, f'<article><p>{prose}</p><div class="comments"><p>{prose}</p></div></article>': prose,
+        f"<p>{prose}</p><SCRIPT>never ends <p>{prose}</p>": prose, f"<p title='>'>{prose}</p><!--> <p>{prose}</p>": f"{prose} {prose}", f"<article><p>{prose}</p><svg><title>x</title></svg><math><mi>x</mi></math></article>": prose,
+    }
+    assert {page: html_text.main_text(page) for page in kept} == kept
+    for unit in ("<script/>", "<button>", "<div class='a'>", "<!--", "<a href='", "&amp;<", "<p><b>"):  # long malformed pages take time in proportion
+        assert html_text.main_text(unit * 40_000) is not None
+    assert html_text.main_text(f"<article>{f'<p>{prose}</p>' * 5000}</article>") == " ".join([prose] * 5000)
+
+
+class Article(HTMLParser):
+    """Another reading of pages that mark their article: what the standard library's parser says is in it."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.inside, self.skip = [], 0, 0
+        self.feed(page)
+        self.close()
+        self.text = " ".join("".join(self.parts).split())
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag in ("article", "main")
+        self.skip += tag in ("script", "style", "nav", "form", "aside", "footer")
+        self.handle_data(" " if tag in ("p", "br", "h1", "h2", "div", "li") else "")
+
+    def handle_endtag(self, tag):
+        self.handle_data(" " if tag in ("p", "h1", "h2", "div", "li") else "")
+        self.inside -= tag in ("article", "main")
+        self.skip -= tag in ("script", "style", "nav", "form", "aside", "footer")
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.parts.append(data)
+
+
+def test_html_of_all_pages():
+    pages = duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    assert len(pages) == 250 and all(html_text.main_text(page) == Article(page).text for (page,) in pages)
+
+
 def test_html_of_other_languages():
     russian = "Сегодня утром жители города вышли на улицы, чтобы встретить весну и посмотреть на большой праздник у реки."
     polish = "Dzisiaj rano mieszkańcy miasta wyszli na ulice, żeby powitać wiosnę oraz zobaczyć wielkie święto nad rzeką."
