@@ -13,7 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Java and RE2 pattern of a white-space separated word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,6 +74,23 @@ def stash(df: DataFrame, name: str, home: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns of ``df`` in one, so that none of their names meets an operator's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("_row")
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    return [F.col("_row")[c].alias(c) for c in names]
+
+
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
     gc.collect()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stash
+from .common import WORD, stash, unpacked, whole
 
 #: Rows of a source that share a bucket of keys.
 BUCKET_ROWS = 5_000
@@ -38,7 +38,7 @@ def targets(sums: DataFrame, weights: tuple[float, ...], cap: float) -> DataFram
     """``source, source_size, n_rows`` to ``source, source_size, n_rows, epochs, rest, target``: water-filling in one sorted pass.
 
     Sorted by cap over weight, the sources that stop at their cap come first, so running sums tell the
-    level of all others. One row a source, so the window over all of them is small.
+    level of all others. The windows over all sources sort one narrow row a source in one task: some millions of sources are well within its memory.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     turn = (F.row_number().over(by_name) - 1) % len(weights)
@@ -59,16 +59,19 @@ def targets(sums: DataFrame, weights: tuple[float, ...], cap: float) -> DataFram
     return s.select("source", "source_size", "n_rows", "epochs", rest.alias("rest"), "target")
 
 
-def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3, seed: str = "mix", keep: list[str] | None = None, quality: Column | None = None) -> DataFrame:
     """Adds ``size, source_size, target, taken`` to each row of ``docs`` (doc_id, text, source, ...).
 
+    ``quality`` is a document's weight, above 0, of its columns; by default the share of letters in the text stands in for a quality label.
     Null text has size 0; null sources are one source, which sorts last; an empty table gives an empty result;
     rows that repeat a doc_id are drawn together; input columns with the names of the added ones are replaced.
-    A source's taken words differ from its target by less than its largest boundary document.
+    A source's taken words differ from its target by less than its largest boundary document. ``keep`` names the input columns to
+    return (default all): they are stored with sizes and keys, so texts are read and counted once.
     """
-    key = -F.ln(draw_of(F.col("doc_id"), seed)) / quality_of(F.col("text"))
     plain = docs.drop("size", "source_size", "target", "taken")
-    narrow = stash(plain.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key")), "mix-keys")
+    keep = plain.columns if keep is None else list(keep)
+    key = -F.ln(draw_of(F.col("doc_id"), seed)) / (quality_of(F.col("text")) if quality is None else quality)
+    narrow = stash(plain.select(whole(plain.select(*keep)), "doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("key")), "mix-keys")
     sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows"))
     goals = stash(targets(sums, weights, cap), "mix-targets").withColumnRenamed("source", "goal_source")
     same = F.col("source").eqNullSafe(F.col("goal_source"))
@@ -95,18 +98,16 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     # one row a source, stored so that Spark knows its size and broadcasts it only if that is small
     goals = stash(goals.join(cut, F.col("goal_source").eqNullSafe(F.col("cut_source")), "left"), "mix-plan")
 
-    own = [F.col(c) for c in plain.columns]
-    here = F.struct(key.alias("key"), F.col("doc_id").alias("doc_id"))
+    here = F.struct("key", "doc_id")
     # with no cut in a source that has words left to take, rounding made the budget the whole source
     extra = F.when(F.col("rest") <= 0, False).when(F.col("first").isNull(), True).when(F.col("last").isNull(), here < F.col("first")).otherwise(here <= F.col("last"))
-    out = plain.withColumn("size", size_of(F.col("text"))).join(goals, same)
     taken = F.col("size") * (F.col("epochs") + extra.cast("long"))
-    return out.select(*own, "size", "source_size", "target", taken.alias("taken"))
+    return narrow.join(goals, same).select(*unpacked(keep), "size", "source_size", "target", taken.alias("taken"))
 
 
 def op4_mixing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, keep=["doc_id"])
 
 
 #: The same rows by plain windows over whole sources.
