@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_file, new_dir, put_file, release, remove, slices, stash, texts
+from .common import fresh, map_file, new_dir, put_file, release, remove, slices, stash, texts
 
 #: Sketch rows, cells for each expected window, cells in a merged file. A table of fewer cells has one file, of a power of two.
 ROWS, CELLS_PER_WINDOW, SHARD_BITS = 2, 5, 24
@@ -257,11 +257,11 @@ def covered_places(docs: DataFrame, window: int) -> DataFrame:
 ADDED = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
 
-def _cut(n: int, keep: list[str], as_digest: bool):
+def _cut(n: int, keep: list[str], as_digest: bool, covered: str):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             total, removed, kept = [], [], []
-            for text, places in zip(texts(batch, "text"), batch.column("_places").to_pylist()):
+            for text, places in zip(texts(batch, "text"), batch.column(covered).to_pylist()):
                 words = text.split()
                 gone = 0
                 if places:
@@ -295,10 +295,11 @@ def dedup_substrings(docs: DataFrame, window: int = 20, keep: list[str] | None =
     """
     plain = docs.drop(*ADDED.names)
     keep = plain.columns if keep is None else keep
-    covered = covered_places(plain, window).select(F.col("doc_id").alias("_doc"), F.col("places").alias("_places"))
     need = plain.select(*dict.fromkeys([*keep, "doc_id", "text"]))
-    joined = need.hint("shuffle_hash").join(covered.hint("shuffle_hash"), F.col("doc_id") == F.col("_doc"), "left").drop("_doc")
-    return joined.mapInArrow(_cut(window, list(keep), as_digest), T.StructType([need.schema[c] for c in keep] + ADDED.fields))
+    doc, places = fresh("_doc", need), fresh("_places", need)
+    covered = covered_places(plain, window).select(F.col("doc_id").alias(doc), F.col("places").alias(places))
+    joined = need.hint("shuffle_hash").join(covered.hint("shuffle_hash"), F.col("doc_id") == F.col(doc), "left").drop(doc)
+    return joined.mapInArrow(_cut(window, list(keep), as_digest, places), T.StructType([need.schema[c] for c in keep] + ADDED.fields))
 
 
 def op6_substring_dedup(spark, sf_dir):
