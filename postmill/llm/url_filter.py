@@ -2,7 +2,7 @@
 
 All is in DataFrame operations and Spark's own tree learner; nothing runs in Python on the executors. The urls that a rule
 decides are the labelled ones. The trees are fitted on a bounded sample of them, the ``SAMPLE`` least by a hash of the
-url; suffix statistics are over all rows. The fitted trees become one SQL expression.
+url; suffix statistics are over all rows, those of labels for a labelled row from the half it isn't in. The fitted trees become one SQL expression.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unpacked, whole
 
 #: Rows that the trees are fitted on at most, and what they are grown to.
 SAMPLE, TREES, DEPTH = 5_000, 12, 3
@@ -86,6 +86,19 @@ def features(url: Column) -> dict[str, Column]:
 SUFFIX = ["suffix_urls", "suffix_length", "suffix_blocked"]
 
 
+def suffix_stats(base: DataFrame) -> DataFrame:
+    """``_own_suffix, suffix_urls, suffix_length`` and, of each half of the labelled rows, how many there are and how many are blocked."""
+    halves = [(F.count(F.when(F.col("_half") == k, F.col("_label"))).alias(f"_many{k}"), F.coalesce(F.sum(F.when(F.col("_half") == k, F.col("_label"))), F.lit(0.0)).alias(f"_blocked{k}")) for k in (0, 1)]
+    return base.groupBy(F.col("_suffix").alias("_own_suffix")).agg(F.count("*").cast("double").alias("suffix_urls"), F.coalesce(F.avg(F.length("_url")), F.lit(0.0)).alias("suffix_length"), *halves[0], *halves[1])
+
+
+def suffix_blocked() -> Column:
+    """A labelled row's from the half that it isn't in, so that its own label has no part; the others' from both."""
+    use = [F.when(F.col("_label").isNull() | (F.col("_half") != k), 1).otherwise(0) for k in (0, 1)]
+    total = lambda c: F.col(f"{c}0") * use[0] + F.col(f"{c}1") * use[1]
+    return (total("_blocked") + 50) / (total("_many") + 100)
+
+
 def _tree(node, names: list[str]) -> Column:
     if node.subtreeDepth() == 0:
         return F.lit(float(node.prediction()))
@@ -111,36 +124,30 @@ def boosted(rows: DataFrame, names: list[str], sample: int, seed: int = 17) -> C
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule] = RULES, sample: int = SAMPLE) -> DataFrame:
-    """Adds ``host, path, rule, verdict`` to each row of ``pages`` (url, ...).
+    """Adds ``host, path, rule, verdict, learned`` to each row of ``pages`` (url, ...); ``learned`` is what the trees say, also where a rule decides.
 
     A null url, or one without ``://``, has empty host and path; no rule fits an empty host. Without labelled rows of both kinds
-    the trees can't be fitted: all else gets the one known verdict, or allow. Rows that repeat are judged alike.
-    Input columns with the names of the added ones are replaced.
+    the trees can't be fitted: all else gets the one known verdict, or allow. Rows that repeat are judged alike. An empty table gives an
+    empty result; urls are read whole, whatever their length. Input columns with the names of the added ones are replaced.
     """
-    plain = pages.drop("host", "path", "rule", "verdict")
-    own = {c: F.col(c) for c in plain.columns}
-    base = plain.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    base = base.withColumn("_rule", fitting(rules)).withColumn("_suffix", suffix_of(F.col("host")))
-    verdicts = F.array(*[F.lit(r.verdict) for r in rules])
-    verdict = F.get(verdicts, F.col("_rule"))
-    label = (verdict == "block").cast("double")
-    stats = base.groupBy("_suffix").agg(
-        F.count("*").cast("double").alias("suffix_urls"), F.coalesce(F.avg(F.length("url")), F.lit(0.0)).alias("suffix_length"),
-        ((F.coalesce(F.sum(label), F.lit(0.0)) + 50) / (F.count(label) + 100)).alias("suffix_blocked"),
-    )
-    stats = stash(stats, "url-suffixes").withColumnRenamed("_suffix", "_own_suffix")  # stored: Spark knows its size, and broadcasts it only if small
-    made = {f"_{k}": v.cast("double") for k, v in features(F.col("url")).items()}
+    plain = pages.drop("host", "path", "rule", "verdict", "learned")
+    url = F.col("_url")
+    base = plain.select(whole(plain), F.col("url").alias("_url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    base = base.withColumns({"_rule": fitting(rules), "_suffix": suffix_of(F.col("host")), "_half": F.pmod(F.xxhash64(url, F.lit("half")), F.lit(2))})
+    verdict = F.get(F.array(*[F.lit(r.verdict) for r in rules]), F.col("_rule"))
+    base = base.withColumn("_label", (verdict == "block").cast("double"))
+    stats = stash(suffix_stats(base), "url-suffixes")  # stored: Spark knows its size, and broadcasts it only if small
+    made = {f"_{k}": v.cast("double") for k, v in features(url).items()}
     names = [*made, *SUFFIX]
-    rows = base.join(stats, F.col("_suffix") == F.col("_own_suffix")).withColumns(made)
-    labelled = rows.where("_rule is not null").withColumn("label", label).withColumn("order", F.xxhash64("url"))
-    blocked = boosted(labelled, names, sample)
-    decided = F.when(F.col("_rule").isNotNull(), verdict).when(blocked, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select(*own.values(), "host", "path", F.get(F.array(*[F.lit(r.name) for r in rules]), F.col("_rule")).alias("rule"), decided.alias("verdict"))
+    rows = base.join(stats, F.col("_suffix") == F.col("_own_suffix")).withColumns({**made, "suffix_blocked": suffix_blocked()})
+    labelled = rows.where("_rule is not null").withColumns({"label": F.col("_label"), "order": F.xxhash64(url)})
+    learned = F.when(boosted(labelled, names, sample), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select(*unpacked(plain.columns), "host", "path", F.get(F.array(*[F.lit(r.name) for r in rules]), F.col("_rule")).alias("rule"), F.coalesce(verdict, learned).alias("verdict"), learned.alias("learned"))
 
 
 def op3_url_filter(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+    return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "learned")
 
 
 def brute_force(url: str | None, rules: list[Rule] = RULES) -> tuple[str, str, str | None, str | None]:
