@@ -4,6 +4,7 @@ import re
 import zlib
 from functools import reduce
 from html.parser import HTMLParser
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -345,5 +346,60 @@ def test_short_quotations(spark):
     assert [(found[k].reply_to, found[k].linked, found[k].n_linked) for k in range(4, 11)] == [(1, True, 1), (3, True, 1), (5, False, 0), (6, True, 1), (6, True, 1), (8, False, 0), (9, False, 0)]
 
 
+def test_long_conversations(spark):
+    """Turns of one conversation over many ranges, against a plain walk."""
+    table = []
+    for k in range(300):
+        quote = f"> The statement of message number {k * 7 % 50} here.\n" if k % 3 == 0 and k > 60 else ""
+        table.append((1, k, "user", f"{quote}The statement of message number {k} here."))
+    table += [(None, k % 4, None, "same") for k in range(40)]
+    messages = spark.createDataFrame(table, "conv_id long, turn long, role string, text string").repartition(7)
+    found = chat.format_chats(messages).collect()
+    one = {r.turn: r for r in found if r.conv_id == 1}
+    replies = {k: (k * 7 % 50 if k % 3 == 0 and k > 60 else k - 1 if k else None) for k in range(300)}
+    assert {k: r.reply_to for k, r in one.items()} == replies and all(one[k].linked == (k % 3 == 0 and k > 60) for k in one)
+    path, last = {}, None
+    for k in range(300):
+        if replies[k] is not None and replies[k] != k - 1:
+            last = (*path[replies[k]][:-1], replies[k], k)
+        path[k] = (*(last or ()), k)
+    assert [k for k, _ in sorted(path.items(), key=lambda x: x[1])] == sorted(one, key=lambda k: one[k].reply_order)
+    assert sorted(r.reply_order for r in found if r.conv_id is None) == list(range(1, 41)) and sorted(r.reply_order for r in one.values()) == list(range(1, 301))
+
+
+TURNS = [(1, 0, "user", "How do I install it?"), (1, 1, "assistant", "Run the installer first."), (1, None, "user", "x"), (1, 2, "user", "> Run the installer first.\nDone."), (1, 3, "user", "> How do I install it?\nAgain.")]
+APPLIED = {
+    "urls": (url_filter, lambda s: s.createDataFrame([(k, u) for k, u in enumerate(URLS)], "page_id long, url string"), url_filter.filter_urls),
+    "mixing": (mixing, None, mixing.mix_sources), "substrings": (substring_dedup, None, substring_dedup.dedup_substrings), "languages": (language_id, None, language_id.identify_languages),
+    "decontamination": (decontamination, None, lambda d: decontamination.decontaminate(d, d.sparkSession.createDataFrame([(1, " ".join(LOREM[2:14])), (2, "one")], "item_id long, text string"))),
+    "html": (html_text, lambda s: s.createDataFrame([(1, PAGE), (2, None)], "page_id long, html string"), html_text.extract_text), "chats": (chat, lambda s: s.createDataFrame(TURNS, "conv_id long, turn long, role string, text string"), chat.format_chats),
+}
+
+
+@pytest.mark.parametrize("name", APPLIED)
+def test_clashing_columns(spark, docs, name):
+    """Whatever name a module uses may also be that of an input column: it stays as it is, or is replaced by an added column of that name."""
+    module, make, apply = APPLIED[name]
+    rows_in = make(spark) if make else docs
+    names = {x for x in re.findall(r"[\"' .]([a-z_][a-z_0-9]*)[\"']", Path(module.__file__).read_text()) if x not in rows_in.columns}
+    plain = apply(rows_in)
+    added = [c for c in plain.columns if c not in rows_in.columns]
+    clash = apply(rows_in.withColumns({c: F.lit("clash") for c in sorted(names)}))
+    assert len(names) > 3 and rows(clash.select(plain.columns)) == rows(plain)
+    kept = [c for c in names if c not in added]
+    assert kept and {tuple(r) for r in clash.select(kept).distinct().collect()} == {("clash",) * len(kept)}
+
+
+def test_url_trees_on_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    found = url_filter.filter_urls(pages.select("page_id", "url"), sample=500).withColumn("draw", F.xxhash64("url")).orderBy("draw").collect()
+    labelled = [r for r in found if r.rule]
+    right = [r.learned == r.verdict for r in labelled[500:]]
+    most = max(sum(r.verdict == v for r in labelled[500:]) for v in ("allow", "block")) / len(right)
+    print("held-out", len(right), sum(right) / len(right), "commonest", most)
+    assert len(right) > 300 and sum(right) / len(right) >= most - 0.02
+    assert all(r.verdict == r.learned for r in found if not r.rule)
+
+
 def test_registry():
     assert {f"op{k}" for k in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(SQL) <= set(QUERIES)
