@@ -8,7 +8,8 @@ import mmap
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,6 +138,29 @@ def map_file(uri: str) -> memoryview:
         return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+class Held:
+    """Parsed files of the shared folder. The least recently used are let go beyond ``limit`` bytes read into memory, or ``files`` mapped ones, whose pages the system may drop."""
+
+    def __init__(self, limit: int = 256 << 20, files: int = 1 << 12):
+        self.limit, self.files, self.own, self.bytes = limit, files, OrderedDict(), 0
+
+    def get(self, uri: str, parse: Callable[[memoryview], object]):
+        """The parsed file, or what ``parse`` makes of no bytes where there is none."""
+        if uri in self.own:
+            self.own.move_to_end(uri)
+            return self.own[uri][0]
+        try:
+            data = map_file(uri)
+        except FileNotFoundError:
+            data = memoryview(b"")
+        size = 0 if local_path(uri) else len(data)
+        self.own[uri] = parse(data), size
+        self.bytes += size
+        while len(self.own) > 1 and (self.bytes > self.limit or len(self.own) > self.files):
+            self.bytes -= self.own.popitem(last=False)[1][1]
+        return self.own[uri][0]
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds about ``limit`` bytes of text, or one row."""
     for batch in batches:

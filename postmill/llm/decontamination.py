@@ -3,189 +3,194 @@
 Items are cut into windows of ``window`` consecutive words. A window's tokens are its word shingles, ordered
 by how often they occur in all documents. Containment must be whole, so the necessary prefix of a window
 is its one rarest shingle: documents are joined to windows on that shingle only. Where it occurs, the window can
-start at one place; length and position bounds discard starts outside the document, and the words are compared.
-The benchmark is cut into blocks of bounded size, each an index file in the shared folder.
+start at one place; length and position bounds discard starts outside the document, and the words are compared, by 64 bits of hash each.
+Documents are read twice, whatever the benchmark's size: to count its shingles, and to be judged. Its shingles, then its windows by
+their prefix, are sorted arrays in files of the shared folder that workers map as they need them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, map_file, new_dir, put_file, slices, texts
+from .common import ALNUM, Held, new_dir, put_file, slices, stash, texts
+from .substring_dedup import mixed, rolled
 
-#: Bytes of benchmark text in a block; below it, three word numbers fit in 63 bits.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text for each index file, and shingles that a task counts before it passes them on.
+PART_BYTES, COUNTED = 16 << 20, 1 << 21
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-@dataclass
-class Index:
-    """Windows of a block of items. Shingle tables are by shingle length: 3, or fewer for items of fewer words."""
-
-    vocabulary: dict[bytes, int] = field(default_factory=dict)
-    windows: np.ndarray = None  # a window a row, padded with -2
-    lengths: np.ndarray = None
-    owners: list[list[str]] = field(default_factory=list)  # item ids of each window
-    keys: dict[int, np.ndarray] = field(default_factory=dict)  # all shingles, sorted
-    counts: dict[int, np.ndarray] = field(default_factory=dict)
-    prefix: dict[int, tuple[np.ndarray, ...]] = field(default_factory=dict)  # key, first, last; window, offset
-
-    def shingles(self, ids: np.ndarray, n: int) -> np.ndarray:
-        """A number for each run of ``n`` known words, -1 for others."""
-        if len(ids) < n:
-            return np.empty(0, np.int64)
-        base, many = len(self.vocabulary) + 1, len(ids) - n + 1
-        key, known = np.zeros(many, np.int64), np.ones(many, bool)
-        for k in range(n):
-            part = ids[k : k + many]
-            key, known = key * base + part, known & (part >= 0)
-        return np.where(known, key, -1)
-
-
-def build(items: list[tuple[str, bytes]], window: int, shingle: int) -> Index:
-    found: dict[tuple[int, ...], set[str]] = {}
-    index = Index()
-    number = index.vocabulary.setdefault
-    for item, text in items:
-        ids = [number(w, len(index.vocabulary)) for w in text.translate(ALNUM).split()]
-        for at in range(max(1, len(ids) - window + 1) if ids else 0):
-            found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-    index.windows = np.full((len(found), window), -2, np.int64)
-    for at, w in enumerate(found):
-        index.windows[at, : len(w)] = w
-    index.lengths = np.array([len(w) for w in found], np.int64)
-    index.owners = [sorted(x) for x in found.values()]
-    for n in {min(shingle, len(w)) for w in found}:
-        own = [index.shingles(w[:size], n) for w, size in zip(index.windows, index.lengths) if min(shingle, size) == n]
-        index.keys[n] = np.unique(np.concatenate(own))
-        index.counts[n] = np.zeros(len(index.keys[n]), np.int64)
-    return index
-
-
-def order_by_rarity(index: Index, shingle: int) -> None:
-    """Chooses each window's rarest shingle from ``counts``; of equally rare ones, the smallest key."""
-    rows: dict[int, list[tuple[int, int, int]]] = {}
-    for at, (w, size) in enumerate(zip(index.windows, index.lengths)):
-        n = min(shingle, int(size))
-        keys = index.shingles(w[:size], n)
-        count = index.counts[n][np.searchsorted(index.keys[n], keys)]
-        offset = int(np.lexsort((np.arange(len(keys)), keys, count))[0])
-        rows.setdefault(n, []).append((int(keys[offset]), at, offset))
-    for n, found in rows.items():
-        key, at, offset = (np.array(x, np.int64) for x in zip(*sorted(found)))
-        own, first = np.unique(key, return_index=True)
-        index.prefix[n] = own, first, np.append(first[1:], len(key)), at, offset
-
-
-_loaded: tuple[str, Index] | None = None
-
-
-def load(uri: str) -> Index:
-    """A block; the worker holds one at a time."""
-    global _loaded
-    if _loaded is None or _loaded[0] != uri:
-        _loaded = uri, pickle.loads(map_file(uri))
-    return _loaded[1]
-
-
-def _tokens(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
-    """Words of a slice, a None between documents, and the number of each document's words."""
-    flat: list = []
-    sizes = []
-    for text in texts(batch, "text"):
+def hashes(batch: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a slice, and the number of each text's words."""
+    flat, sizes, digest = [], [], xxhash.xxh3_64_intdigest
+    for text in texts(batch, column):
         words = text.translate(ALNUM).split()
         sizes.append(len(words))
         flat += words
-        flat.append(None)
-    return flat, np.array(sizes, np.int64)
-
-
-def _ids(index: Index, flat: list) -> np.ndarray:
-    return np.fromiter(map(index.vocabulary.get, flat, repeat(-1)), np.int64, len(flat))
-
-
-def hits(index: Index, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and window of every occurrence. ``ids`` holds the documents' words with one -1 after each document."""
-    ends = np.cumsum(sizes + 1) - 1
-    starts, which = [], []
-    for n, (key, first, last, window, offset) in index.prefix.items():
-        own = index.shingles(ids, n)
-        at = np.flatnonzero(own >= 0)
-        slot = np.searchsorted(key, own[at])
-        slot[slot == len(key)] = 0
-        found = key[slot] == own[at]
-        at, slot = at[found], slot[found]
-        many = last[slot] - first[slot]
-        turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        row = np.repeat(first[slot], many) + turn
-        w, start, at = window[row], np.repeat(at, many) - offset[row], np.repeat(at, many)
-        doc = np.searchsorted(ends, at)
-        inside = (start >= ends[doc] - sizes[doc]) & (start + index.lengths[w] <= ends[doc])
+    return np.fromiter(map(digest, flat), np.uint64, len(flat)), np.array(sizes, np.int64)
+
+
+def rooms(sizes: np.ndarray) -> np.ndarray:
+    """Of each word: how many there are from it to its text's end."""
+    return np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+
+
+def shingles(h: np.ndarray, room: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and keys of all runs of ``n`` words of one text."""
+    if len(h) < n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.flatnonzero(room[: len(h) - n + 1] >= n)
+    return at, mixed(rolled(h, n, _FACTOR)[at] + np.uint64(n)).view(np.int64)
+
+
+def by_part(keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of the keys of each file that has any."""
+    if parts == 1:
+        yield 0, np.arange(len(keys))
+        return
+    own = keys % parts
+    order = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[order], np.arange(parts + 1))
+    for part in np.flatnonzero(np.diff(edges)).tolist():
+        yield part, order[edges[part] : edges[part + 1]]
+
+
+def _windows(window: int):
+    """Rows of a window's word hashes and its item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            h, sizes = hashes(batch)
+            room = rooms(sizes)
+            item, size = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.minimum(sizes, window), sizes)
+            at = np.flatnonzero(room >= size)
+            words = [h[a : a + n].tobytes() for a, n in zip(at.tolist(), size[at].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("item_id").take(pa.array(item[at]))], names=["words", "item_id"])
+
+    return run
+
+
+def _shingled(shingle: int, parts: int):
+    """Of each window: its shingles' length, keys and places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            lengths = np.array([min(shingle, len(x)) for x in h])
+            found = [shingles(x, np.arange(len(x), 0, -1), n) for x, n in zip(h, lengths.tolist())]
+            many = np.array([len(at) for at, _ in found])
+            keys = np.concatenate([k for _, k in found]) if found else np.empty(0, np.int64)
+            at = np.concatenate([a for a, _ in found]).astype(np.int32) if found else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("words").take(pa.array(np.repeat(np.arange(len(h)), many))), pa.array(np.repeat(lengths, many).astype(np.int32)), pa.array(keys), pa.array(keys % parts), pa.array(at)], names=["words", "n", "key", "part", "place"])
+
+    return run
+
+
+def _store_keys(uri: str):
+    def store(part: pa.Table) -> pa.Table:
+        put_file(f"{uri}/keys-{part.column('part')[0].as_py()}", np.sort(np.asarray(part.column("key"))).tobytes())
+        return part.select(["part"]).slice(0, 1)
+
+    return store
+
+
+def _store_index(uri: str, window: int):
+    """Windows in the order of their prefix, as an Arrow file."""
+
+    def store(part: pa.Table) -> pa.Table:
+        part = part.sort_by("key")
+        words = part.column("words").to_pylist()
+        padded = pa.array([w.ljust(8 * window, b"\0") for w in words], pa.binary(8 * window))
+        table = pa.table({"key": part.column("key"), "place": part.column("place"), "long": pa.array([len(w) // 8 for w in words], pa.int32()), "words": padded, "items": part.column("items")}).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_file(sink, table.schema) as out:
+            out.write_table(table)
+        put_file(f"{uri}/index-{part.column('part')[0].as_py()}", sink.getvalue().to_pybytes())
+        return part.select(["part"]).slice(0, 1)
+
+    return store
+
+
+class Index:
+    """A mapped index file."""
+
+    def __init__(self, data: memoryview, window: int):
+        table = pa.ipc.open_file(pa.py_buffer(data)).read_all() if len(data) else None
+        none = np.empty(0, np.int64)
+        self.key, self.place, self.long = (np.asarray(table.column(c)) for c in ("key", "place", "long")) if table else (none,) * 3
+        words = table.column("words").combine_chunks() if table else None
+        self.words = np.frombuffer(words.buffers()[1], np.uint64).reshape(-1, window)[words.offset :][: len(words)] if table else np.empty((0, window), np.uint64)
+        self.items = table.column("items") if table else None
+
+    def hits(self, keys: np.ndarray, at: np.ndarray, h: np.ndarray, room: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and window of every occurrence. ``begin``: of each word, where its text begins."""
+        first = np.searchsorted(self.key, keys)
+        found = np.flatnonzero(self.key[np.minimum(first, len(self.key) - 1)] == keys) if len(self.key) else np.empty(0, np.int64)
+        first, at = first[found], at[found]
+        many = np.searchsorted(self.key, keys[found], "right") - first
+        w = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+        at = np.repeat(at, many)
+        start = at - self.place[w]
+        inside = (start >= begin[at]) & (self.place[w] + room[at] >= self.long[w])
         w, start = w[inside], start[inside]
-        for k in range(index.windows.shape[1]):
-            right = (index.lengths[w] <= k) | (ids[np.minimum(start + k, len(ids) - 1)] == index.windows[w, k])
+        for k in range(self.words.shape[1]):
+            right = (self.long[w] <= k) | (h[np.minimum(start + k, len(h) - 1)] == self.words[w, k])
             w, start = w[right], start[right]
-        starts.append(start)
-        which.append(w)
-    return (np.concatenate(starts), np.concatenate(which)) if starts else (np.empty(0, np.int64),) * 2
-
-
-def _counter(uris: list[str]):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[int, int], np.ndarray] = {}
-        for batch in slices(batches, "text", 16 << 20 if len(uris) > 1 else 4 << 20):
-            flat, _ = _tokens(batch)
-            for block, uri in enumerate(uris):
-                index = load(uri)
-                ids = _ids(index, flat)
-                for n, keys in index.keys.items():
-                    own = index.shingles(ids, n)
-                    own = own[own >= 0]
-                    slot = np.searchsorted(keys, own)
-                    slot[slot == len(keys)] = 0
-                    got = np.bincount(slot[keys[slot] == own], minlength=len(keys))
-                    totals[block, n] = totals.get((block, n), 0) + got
-        for (block, n), got in totals.items():
-            slot = np.flatnonzero(got)
-            yield pa.RecordBatch.from_pydict({"block": np.full(len(slot), block), "n": np.full(len(slot), n), "slot": slot, "many": got[slot]})
-
-    return count
-
-
-def build_blocks(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_bytes: int) -> list[str]:
-    """Index files of the benchmark, with rarity counted over all ``docs``."""
-    spark = docs.sparkSession
+        return start, w
+
+
+def _counter(uri: str, parts: int, lengths: list[int]):
+    """Of the benchmark's shingles: those that documents hold, and how often."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, held, many = Held(), [], 0
+        for batch in slices(batches, "text"):
+            h, sizes = hashes(batch)
+            room = rooms(sizes)
+            for n in lengths:
+                _, keys = shingles(h, room, n)
+                for part, own in by_part(keys, parts):
+                    known, own = files.get(f"{uri}/keys-{part}", lambda x: np.frombuffer(x, np.int64)), keys[own]
+                    if len(known):
+                        held.append(own[known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own])
+                        many += len(held[-1])
+            if many >= COUNTED:
+                yield _counts(held)
+                held, many = [], 0
+        if many:
+            yield _counts(held)
+
+    return run
+
+
+def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), return_counts=True)], names=["key", "many"])
+
+
+def build_index(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, part_bytes: int) -> tuple[str, int, list[int]]:
+    """The folder of the index, its number of files, and the lengths of shingles in it. Rarity is counted over all ``docs``, in one pass."""
+    uri = new_dir(docs.sparkSession, "benchmark")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, home = max(1, -(-size // block_bytes)), new_dir(spark, "benchmark")
-    indexes, uris = [], []
-    for block in range(blocks):  # each collects about block_bytes, whatever the benchmark's size
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        indexes.append(build([(r.item_id, r.text.encode()) for r in part], window, shingle))
-        uris.append(f"{home}/block-{block}")
-        put_file(uris[-1], pickle.dumps(indexes[-1]))
-        if blocks > 1:
-            indexes[-1] = None
-    counts = docs.select("text").mapInArrow(_counter(uris), "block long, n long, slot long, many long")
-    counts = counts.groupBy("block", "n", "slot").agg(F.sum("many").alias("many"))
-    counts = counts.repartitionByRange(blocks, "block").sortWithinPartitions("block") if blocks > 1 else counts
-    for block, uri in enumerate(uris):
-        index = indexes[block] or pickle.loads(map_file(uri))
-        for r in counts.where(F.col("block") == block).collect():  # no more rows than the block has shingles
-            index.counts[r.n][r.slot] = r.many
-        order_by_rarity(index, shingle)
-        uris[block] = f"{uri}-ordered"
-        put_file(uris[block], pickle.dumps(index))
-    return uris
+    parts = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / part_bytes))
+    windows = items.mapInArrow(_windows(window), "words binary, item_id string").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = stash(windows, "benchmark-windows")
+    keyed = stash(windows.select("words").mapInArrow(_shingled(shingle, parts), "words binary, n int, key long, part long, place int"), "benchmark-shingles")
+    lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
+    keyed.select("part", "key").distinct().groupBy("part").applyInArrow(_store_keys(uri), "part long").count()
+    counts = docs.select("text").mapInArrow(_counter(uri, parts, lengths), "key long, many long").groupBy("key").agg(F.sum("many").alias("many"))
+    rarest = keyed.join(stash(counts, "benchmark-counts"), "key", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "key", "place", "part")).alias("its"))
+    chosen = rarest.join(windows, "words").select("its.key", "its.place", "its.part", "words", "items")
+    chosen.groupBy("part").applyInArrow(_store_index(uri, window), "part long").count()
+    return uri, parts, lengths
 
 
 ADDED = T.StructType([
@@ -197,39 +202,41 @@ ADDED = T.StructType([
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 3, keep: list[str] | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Adds ``n_words, n_hit, item_ids, hit_spans`` to each row of ``docs`` (text, ...); spans are in words, merged.
 
     An item of fewer than ``window`` words is one window; one without words, or with a null id or text, is none.
     Null and empty documents have no words; rows that repeat are judged alike; an empty benchmark hits nothing;
-    items that repeat an id count once. ``keep`` names the input columns to return (default all); those
+    items that repeat an id count once. Texts are read whole, whatever their length. ``keep`` names the input columns to return (default all); those
     with the names of added ones are replaced.
     """
     plain = docs.drop(*ADDED.names)
     keep = [c for c in (plain.columns if keep is None else keep)]
-    uris = build_blocks(plain, benchmark, window, shingle, block_bytes)
+    uri, parts, lengths = build_index(plain, benchmark, window, shingle, part_bytes)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 16 << 20 if len(uris) > 1 else 4 << 20):
-            flat, sizes = _tokens(batch)
-            begins = np.cumsum(sizes + 1) - sizes - 1
-            edge, items = np.zeros(len(flat) + 1, np.int64), [set() for _ in sizes]
-            for uri in uris:
-                index = load(uri)
-                start, w = hits(index, _ids(index, flat), sizes)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + index.lengths[w], -1)
-                doc = np.searchsorted(begins, start, "right") - 1
-                for d, own in np.unique(np.stack([doc, w], 1), axis=0).tolist() if len(w) else ():
-                    items[d].update(index.owners[own])
-            hit = np.cumsum(edge)[:-1] > 0
-            total = np.append(0, np.cumsum(hit))
-            n_hit = total[begins + sizes] - total[begins]
-            spans = [None] * len(sizes)
+        files = Held()
+        for batch in slices(batches, "text"):
+            h, sizes = hashes(batch)
+            room, begins = rooms(sizes), np.cumsum(sizes) - sizes
+            begin, edge, items = np.repeat(begins, sizes), np.zeros(len(h) + 1, np.int64), {}
+            for n in lengths:
+                at, keys = shingles(h, room, n)
+                for part, own in by_part(keys, parts):
+                    index = files.get(f"{uri}/index-{part}", lambda x: Index(x, window))
+                    start, w = index.hits(keys[own], at[own], h, room, begin)
+                    if len(w):
+                        np.add.at(edge, start, 1)
+                        np.add.at(edge, start + index.long[w], -1)
+                        doc = np.searchsorted(begins, start, "right") - 1
+                        for d, k in np.unique(np.stack([doc, w], 1), axis=0).tolist():
+                            items.setdefault(d, set()).update(index.items[k].as_py())
+            total = np.append(0, np.cumsum(np.cumsum(edge)[:-1] > 0))
+            n_hit, hit, spans = total[begins + sizes] - total[begins], np.diff(total), [[]] * len(sizes)
             for d in np.flatnonzero(n_hit).tolist():
-                own = np.diff(np.concatenate([[0], hit[begins[d] : begins[d] + sizes[d]].astype(np.int8), [0]]))
+                own = np.diff(np.concatenate([[0], hit[begins[d] : begins[d] + sizes[d]], [0]]))
                 spans[d] = [{"start": a, "stop": b} for a, b in zip(np.flatnonzero(own == 1).tolist(), np.flatnonzero(own == -1).tolist())]
-            columns = [batch.column(c) for c in keep] + [pa.array(sizes), pa.array(n_hit), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([x or [] for x in spans], _SPANS)]
+            columns = [batch.column(c) for c in keep] + [pa.array(sizes), pa.array(n_hit), pa.array([sorted(items.get(d, ())) for d in range(len(sizes))], pa.list_(pa.string())), pa.array(spans, _SPANS)]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *ADDED.names])
 
     need = plain.select(*dict.fromkeys([*keep, "text"]))

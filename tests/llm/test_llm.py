@@ -158,7 +158,7 @@ def test_decontamination(spark, docs):
     items = [(1, " ".join(LOREM[2:14])), (2, "one"), (3, None), (4, "-"), (5, "x x x x x x x x x x x"), (2, "two"), (10, " ".join(LOREM[:10]))]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     for size in (4 << 20, 60):
-        found = decontamination.decontaminate(docs.withColumn("n_hit", F.lit("clash")), benchmark, keep=["doc_id"], block_bytes=size)
+        found = decontamination.decontaminate(docs.withColumn("n_hit", F.lit("clash")), benchmark, keep=["doc_id"], part_bytes=size)
         digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
         out = found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long"), digest, F.col("n_hit") > 0)
         assert rows(out) == sorted(decontamination.brute_force(pairs(), items), key=str)
@@ -166,6 +166,21 @@ def test_decontamination(spark, docs):
     assert decontamination.decontaminate(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 60])
+def test_decontamination_reads_documents_twice(spark, docs, part_bytes):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    items = [(k, " ".join(LOREM[k : k + 12])) for k in range(12)]
+    counted = docs.select("doc_id", "text").mapInArrow(count, "doc_id long, text string")
+    decontamination.decontaminate(counted, spark.createDataFrame(items, "item_id long, text string"), part_bytes=part_bytes).write.format("noop").mode("overwrite").save()
+    assert read.value == 2 * len(DOCS)
+
+
 def test_substrings_of_many_files(spark, docs, monkeypatch):
     monkeypatch.setattr(substring_dedup, "SHARD_BITS", 12)
     assert substring_dedup._size(30_000)[0] > 30
