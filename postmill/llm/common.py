@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 #: Java and RE2 pattern of a white-space separated word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Text bytes that a worker handles at a time.
-SLICE_BYTES = 4 << 20
+#: Text bytes that a worker handles at a time, and bytes that it is sent at a time.
+SLICE_BYTES, SENT_BYTES = 4 << 20, 4 << 20
 
 LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 #: A-Z lower-cased; all ASCII but digits and letters becomes a space.
@@ -138,6 +138,12 @@ def map_file(uri: str) -> memoryview:
         return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes: 10,000 rows of text, Spark's own bound, are many MB on either side."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SENT_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 class Held:
     """Parsed files of the shared folder. The least recently used are let go beyond ``limit`` bytes read into memory, or ``files`` mapped ones, whose pages the system may drop."""
 

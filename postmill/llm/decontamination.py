@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, Held, new_dir, put_file, slices, stash, texts
+from .common import ALNUM, Held, mapped, new_dir, put_file, slices, stash, texts
 from .substring_dedup import mixed, rolled
 
 #: Bytes of benchmark text for each index file, and shingles that a task counts before it passes them on.
@@ -181,12 +181,12 @@ def build_index(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int
     uri = new_dir(docs.sparkSession, "benchmark")
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     parts = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / part_bytes))
-    windows = items.mapInArrow(_windows(window), "words binary, item_id string").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    windows = mapped(items, _windows(window), "words binary, item_id string").groupBy("words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     windows = stash(windows, "benchmark-windows")
-    keyed = stash(windows.select("words").mapInArrow(_shingled(shingle, parts), "words binary, n int, key long, part long, place int"), "benchmark-shingles")
+    keyed = stash(mapped(windows.select("words"), _shingled(shingle, parts), "words binary, n int, key long, part long, place int"), "benchmark-shingles")
     lengths = sorted(r.n for r in keyed.select("n").distinct().collect())
     keyed.select("part", "key").distinct().groupBy("part").applyInArrow(_store_keys(uri), "part long").count()
-    counts = docs.select("text").mapInArrow(_counter(uri, parts, lengths), "key long, many long").groupBy("key").agg(F.sum("many").alias("many"))
+    counts = mapped(docs.select("text"), _counter(uri, parts, lengths), "key long, many long").groupBy("key").agg(F.sum("many").alias("many"))
     rarest = keyed.join(stash(counts, "benchmark-counts"), "key", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "key", "place", "part")).alias("its"))
     chosen = rarest.join(windows, "words").select("its.key", "its.place", "its.part", "words", "items")
     chosen.groupBy("part").applyInArrow(_store_index(uri, window), "part long").count()
@@ -240,7 +240,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *ADDED.names])
 
     need = plain.select(*dict.fromkeys([*keep, "text"]))
-    return need.mapInArrow(judge, T.StructType([need.schema[c] for c in keep] + ADDED.fields))
+    return mapped(need, judge, T.StructType([need.schema[c] for c in keep] + ADDED.fields))
 
 
 def op5_decontamination(spark, sf_dir):

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices, texts
+from .common import mapped, slices, texts
 
 #: Function words of common languages of the web.
 STOP_WORDS = frozenset("""
@@ -230,7 +230,7 @@ def extract_text(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=[*keep, "text", "n_chars"])
 
     need = plain.select(*dict.fromkeys([*keep, "html"]))
-    return need.mapInArrow(run, T.StructType([*(need.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return mapped(need, run, T.StructType([*(need.schema[c] for c in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
 
 
 def op8_html(spark, sf_dir):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_file, new_dir, put_file, slices, stash, texts
+from .common import map_file, mapped, new_dir, put_file, slices, stash, texts
 
 #: The vocabulary file: lines of base64 piece and rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -197,16 +197,6 @@ def sample(labelled: DataFrame, per_language: int = SAMPLE, most_bytes: int = SA
     return out
 
 
-_loaded: tuple[str, Model] | None = None
-
-
-def load(uri: str) -> Model:
-    global _loaded
-    if _loaded is None or _loaded[0] != uri:
-        _loaded = uri, pickle.loads(map_file(uri))
-    return _loaded[1]
-
-
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """Adds ``lang_pred, score`` to the columns ``keep`` of every row: the language and its probability among those learned.
 
@@ -216,8 +206,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     put_file(uri, pickle.dumps(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, numbers, known = load(uri), {}, np.empty((0, 0))
-        for batch in slices(batches, "text", 8 << 20):
+        model, numbers, known = pickle.loads(map_file(uri)), {}, np.empty((0, 0))
+        for batch in slices(batches, "text"):
             if len(numbers) > HELD:
                 numbers, known = {}, np.empty((0, 0))
             have, flat, sizes = len(numbers), [], []
@@ -240,7 +230,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(names, pa.string()), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
     need = docs.select(*dict.fromkeys([*keep, "text"]))
-    return need.mapInArrow(run, T.StructType([*(need.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return mapped(need, run, T.StructType([*(need.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stash, texts
+from .common import mapped, slices, stash, texts
 
 PIECE, ROOT, LEAF = 64, 16, 2
 _digest, _root = xxhash.xxh3_64_digest, xxhash.xxh3_128_digest
@@ -115,13 +115,13 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("_hash")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_hash"))
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
-    walked = stash(rows.mapInArrow(_walk, ENDS), "merkle")
+    walked = stash(mapped(rows, _walk, ENDS), "merkle")
     ends = walked.where("part is not null").select("doc_id", "part", "head", "tail")
     by_part = Window.orderBy("part")  # one row a range, and no texts
     parts = ends.select("part").withColumn("following", F.coalesce(F.lead("part").over(by_part), F.min("part").over(Window.partitionBy())))
     heads = ends.select(F.col("part").alias("following"), F.col("head").alias("next_head"))
     pairs = ends.join(parts, "part").join(heads, "following").select("doc_id", "tail", "next_head")
-    every = walked.where("part is null").select(*ROW.names).unionByName(pairs.mapInArrow(_pair, ROW))
+    every = walked.where("part is null").select(*ROW.names).unionByName(mapped(pairs, _pair, ROW))
     text = lambda c: F.lower(F.hex(c))
     return every.select(
         "doc_id", "n_chars", text("edited").alias("edited_sha256"), text("own").alias("fingerprint"), text("own_edited").alias("edited_fingerprint"), "near_edited", "near_next"

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_file, new_dir, put_file, slices, stash, texts
+from .common import LOWER, map_file, mapped, new_dir, put_file, slices, stash, texts
 from .substring_dedup import mixed
 
 #: Tokens a task counts at a time, tokens for a shard, and word numbers in a range.
@@ -277,7 +277,7 @@ def train(texts_of: DataFrame, span: int = RANGE) -> Model:
     home = new_dir(spark, "lm")
     rows = "shard long, keys binary, counts binary"
     source = texts_of.select("text")
-    words = source.mapInArrow(_count(_word_keys, bits), rows).groupBy("shard").applyInArrow(_store(home, "word"), "shard long, many long, total long").collect()
+    words = mapped(source, _count(_word_keys, bits), rows).groupBy("shard").applyInArrow(_store(home, "word"), "shard long, many long, total long").collect()
     first, at = {}, 0
     for r in sorted(words, key=lambda r: r.shard):
         first[r.shard], at = at, at + r.many
@@ -287,7 +287,7 @@ def train(texts_of: DataFrame, span: int = RANGE) -> Model:
     if not at:
         return model
     out = "range long, kind int, keys binary, sums binary, shard long, of_counts array<long>"
-    found = source.mapInArrow(_count(_pair_keys(model), bits), rows).groupBy("shard").applyInArrow(_store_pairs(model), out)
+    found = mapped(source, _count(_pair_keys(model), bits), rows).groupBy("shard").applyInArrow(_store_pairs(model), out)
     found = stash(found, "lm-sums")
     shards = found.where("shard is not null").select("shard", "of_counts").collect()
     ranges = found.where("range is not null").select("range", "kind", "keys", "sums").groupBy("range").applyInArrow(_store_range(model), "range long, types long, n array<long>").collect()
@@ -342,7 +342,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     need = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = ", ".join([*(f"`{c}` {need.schema[c].dataType.simpleString()}" for c in keep), "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return need.mapInArrow(run, schema)
+    return mapped(need, run, schema)
 
 
 def held_out(doc_id: Column, of: int = 7, turn: int = 2) -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, slices, stash, texts
+from .common import LOWER, mapped, slices, stash, texts
 from .components import components
 
 #: Reference patterns a block, and fingerprints that share a key before it is refined.
@@ -57,7 +57,7 @@ def with_fingerprint(docs: DataFrame, shingle: int, keep: list[str]) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), found], names=[*keep, "fp"])
 
     need = docs.select(*dict.fromkeys([*keep, "text"]))
-    return need.mapInArrow(run, T.StructType([*(need.schema[c] for c in keep), T.StructField("fp", T.LongType())]))
+    return mapped(need, run, T.StructType([*(need.schema[c] for c in keep), T.StructField("fp", T.LongType())]))
 
 
 def _signed(x: int) -> int:

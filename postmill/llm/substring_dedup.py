@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_file, new_dir, put_file, release, remove, slices, stash, texts
+from .common import fresh, map_file, mapped, new_dir, put_file, release, remove, slices, stash, texts
 
 #: Sketch rows, cells for each expected window, cells in a merged file. A table of fewer cells has one file, of a power of two.
 ROWS, CELLS_PER_WINDOW, SHARD_BITS = 2, 5, 24
@@ -237,12 +237,12 @@ def covered_places(docs: DataFrame, window: int) -> DataFrame:
     expected = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 6
     size = _size(expected)
     home = new_dir(spark, "sketch")
-    parts = docs.select("text").mapInArrow(_sketch(window, size), "row int, shard long, many int, high binary, low binary, more binary")
+    parts = mapped(docs.select("text"), _sketch(window, size), "row int, shard long, many int, high binary, low binary, more binary")
     merged = parts.groupBy("row", "shard").applyInArrow(_merge(home, size[1]), "row int, shard long, twice long")
     merged.agg(F.sum("twice")).collect()
     del parts, merged
     release(spark)
-    found = docs.mapInArrow(_candidates(home, window, size), "first long, second int, doc_id long, start int, later boolean")
+    found = mapped(docs, _candidates(home, window, size), "first long, second int, doc_id long, start int, later boolean")
     block = [(F.col("start") / 64).cast("int").alias("block"), F.expr("shiftleft(1L, start % 64)").alias("bit")]
     order = Window.partitionBy("first", "second").orderBy("doc_id", "start")
     covered = found.withColumn("turn", F.rank().over(order)).where("turn > 1 or later").select("doc_id", *block)
@@ -299,7 +299,7 @@ def dedup_substrings(docs: DataFrame, window: int = 20, keep: list[str] | None =
     doc, places = fresh("_doc", need), fresh("_places", need)
     covered = covered_places(plain, window).select(F.col("doc_id").alias(doc), F.col("places").alias(places))
     joined = need.hint("shuffle_hash").join(covered.hint("shuffle_hash"), F.col("doc_id") == F.col(doc), "left").drop(doc)
-    return joined.mapInArrow(_cut(window, list(keep), as_digest, places), T.StructType([need.schema[c] for c in keep] + ADDED.fields))
+    return mapped(joined, _cut(window, list(keep), as_digest, places), T.StructType([need.schema[c] for c in keep] + ADDED.fields))
 
 
 def op6_substring_dedup(spark, sf_dir):
