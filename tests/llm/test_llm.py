@@ -333,8 +333,32 @@ def test_merkle(spark, docs):
     assert one.near_next == 1.0 and merkle.compare_with_next(docs.limit(0)).count() == 0
     tied = merkle.compare_with_next(docs.where("doc_id < 4").withColumn("doc_id", F.lit(None).cast("long")))
     assert tied.count() == 3
-    assert merkle.locate_edits(b"a\n\nb\nc", b"a\n\nb\nd") == [(1, 1)] and merkle.locate_edits(b"a", b"a") == []
-    assert merkle.fingerprint(b"a\nb") != merkle.fingerprint(b"a\n\nb")
+    assert merkle.fingerprint(b"a\nb") != merkle.fingerprint(b"a\n\nb") and merkle.fingerprint(b"") != merkle.fingerprint(b"\n")
+
+
+def test_merkle_trees():
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(f"{LOREM[k % 24]}{k}" for k in rng.integers(0, 100_000, n)).encode()
+    near = lambda a, b: merkle.likeness(merkle.tree(a), merkle.tree(b))
+    a, b = prose(130_000), prose(130_000)
+    assert len(a) > 1_000_000 and near(a, b) < 0.02 and near(a, b"x" + a) > 0.9 and near(a, a[:500_000] + b"y" + a[500_000:]) > 0.99
+    assert 0.3 < near(a, a[: len(a) // 2] + b[len(b) // 2 :]) < 0.7 and near(a, a) == 1
+    paragraphs = [prose(100) for _ in range(12)]
+    whole = b"\n".join(paragraphs)
+    assert near(whole, b"\n".join(reversed(paragraphs))) > 0.98 and near(whole, whole.replace(b"\n", b"\n\n")) > 0.98  # moved or regrouped
+    for text in (b"", b"\n", b"one", a, whole, whole.replace(b"\n", b"\n\n"), "é\n\n \n".encode() * 300, b"a" * 5000):
+        assert merkle.decode(merkle.fingerprint(text)) == merkle.tree(text)
+    # sections of four paragraphs: the branches are the edited ones, as a comparison of all pieces has it
+    sections = [[prose(int(rng.integers(1, 60))) for _ in range(4)] for _ in range(9)]
+    text = lambda x: b"\n\n".join(b"\n".join(p) for p in x)
+    for s, p in ((0, 0), (4, 2), (8, 3)):
+        edited = [list(x) for x in sections]
+        edited[s][p] += b" more"
+        found = merkle.branches(merkle.decode(merkle.fingerprint(text(sections))), merkle.tree(text(edited)))
+        assert len(found) == 1 and (*found[0][0], found[0][1])[:2] == (s, p)
+    edited = sections[:3] + [[b"new"] * 4] + sections[3:]
+    assert merkle.branches(merkle.tree(text(sections)), merkle.tree(text(edited))) == [((), 3, 0, 1)]
+    assert merkle.branches(merkle.tree(text(edited)), merkle.tree(text(sections))) == [((), 3, 1, 0)] and merkle.branches(merkle.tree(a), merkle.tree(a)) == []
 
 
 def test_chat(spark):
