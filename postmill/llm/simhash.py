@@ -1,8 +1,8 @@
 """SimHash near-dedup with pivot distance tables.
 
 Fingerprints of 64 bits link at few differing bits. The table holds each fingerprint's Hamming distances to many
-reference fingerprints. References come in pairs that agree on one block of bits and are opposite elsewhere, so the
-sum of the two distances tells the distance on that block alone: a block's coordinates. Of ``distance + 2`` blocks,
+reference fingerprints; it is made once for each distinct fingerprint and stored. Some references come in pairs that agree on one block of bits and are opposite
+elsewhere, so the sum of the two distances tells the distance on that block alone: a block's coordinates. Of ``distance + 2`` blocks,
 two at least are the same in a linked pair, so pairs are joined on the coordinates of two blocks and lose none.
 A pair is discarded if any coordinate in the whole table differs by more than the distance, by the
 triangle inequality; the survivors are verified on their bits. Where very many fingerprints share two blocks, the
@@ -90,13 +90,19 @@ def _coordinates(fp: Column, pairs: list[tuple[int, int]], block: int) -> list[C
     return [((_far(fp, p) + _far(fp, q) - outside) / 2).cast("byte") for p, q in pairs]
 
 
-def _keyed(nodes: DataFrame, free: int, distance: int, level: int) -> tuple[DataFrame, list[int]]:
-    """``key, fp, turn`` for each two of the blocks of the ``free`` bits, and the bits then left free, by turn."""
+def _located(nodes: DataFrame, free: int, distance: int, level: int) -> DataFrame:
+    """Adds the coordinates of each block of the ``free`` bits."""
     blocks = split(free, distance + 2)
     parts = [F.array(*_coordinates(F.col("fp"), pairs, block)).alias(f"part{k}") for k, (pairs, block) in enumerate(zip(references(blocks, level + 1), blocks))]
+    return nodes.select("key", "fp", "near", "wide", *parts)
+
+
+def _keyed(located: DataFrame, free: int, distance: int, level: int) -> tuple[DataFrame, list[int]]:
+    """``key, fp, near, wide, turn`` for each two blocks' coordinates, and the bits then left free, by turn."""
+    blocks = split(free, distance + 2)
     twos = [(a, b) for a in range(len(blocks)) for b in range(a)]
     keys = [F.xxhash64("key", F.lit(level * 64 + a * 8 + b), f"part{a}", f"part{b}") for a, b in twos]
-    rows = nodes.select("key", "fp", *parts).select("fp", F.posexplode(F.array(*keys)).alias("turn", "key"))
+    rows = located.select("fp", "near", "wide", F.posexplode(F.array(*keys)).alias("turn", "key"))
     return rows, [free & ~(blocks[a] | blocks[b]) for a, b in twos]
 
 
@@ -118,23 +124,32 @@ def _within(x: str, y: str, distance: int) -> Column:
     return out
 
 
+def meeting(keyed: DataFrame) -> DataFrame:
+    """Pairs of rows that share a key, each with both rows of the pivot table."""
+    return keyed.alias("x").join(keyed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")))
+
+
 def _pairs(keyed: DataFrame, distance: int) -> DataFrame:
-    row = keyed.select("key", "fp", *_table(F.col("fp")))
-    x, y = row.alias("x"), row.alias("y")
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
-    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _within("x", "y", distance) & near)
-    return joined.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
+    """Pairs that the table leaves, verified on their bits."""
+    left = meeting(keyed).where(_within("x", "y", distance)).select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v"))
+    return left.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= distance)
+
+
+def pivots(nodes: DataFrame, distance: int = 2) -> DataFrame:
+    """The table of distances, once for each ``fp``: 16 to references of any bits, and the coordinates of each block."""
+    rows = nodes.select(F.lit(0).cast("long").alias("key"), "fp", *_table(F.col("fp")))
+    return stash(_located(rows, (1 << 64) - 1, distance, 0), "pivots")
 
 
 def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     """Distinct ``fp`` to all pairs ``u, v`` at ``distance`` bits or fewer."""
-    found, todo = [], [(nodes.select(F.lit(0).cast("long").alias("key"), "fp"), (1 << 64) - 1)]
+    found, todo = [], [(pivots(nodes, distance), (1 << 64) - 1)]
     level = 0
     while todo:
         every, frees = None, []
-        for rows, bits in todo:
-            part, left = _keyed(rows, bits, distance, level)
-            part = part.select("key", "fp", (F.col("turn") + len(frees)).alias("free"))
+        for located, bits in todo:
+            part, left = _keyed(located, bits, distance, level)
+            part = part.select("key", "fp", "near", "wide", (F.col("turn") + len(frees)).alias("free"))
             every, frees = part if every is None else every.unionByName(part), frees + left
         every = stash(every, "pivot-keys")
         many = every.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
@@ -145,8 +160,8 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
             break
         crowded = stash(every.join(many.where(F.col("many") > CROWD), "key", "left_semi"), "crowds")
         alive = {r.free for r in crowded.select("free").distinct().collect()}
-        todo = [(crowded.where(F.col("free") == k).select("key", "fp"), frees[k]) for k in sorted(alive)]
         level += 1
+        todo = [(_located(crowded.where(F.col("free") == k), frees[k], distance, level), frees[k]) for k in sorted(alive)]
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
