@@ -52,6 +52,15 @@ def freshness_kind(source: Column, estimated: Column) -> Column:
     return F.when(F.coalesce(estimated, F.lit(False)), "estimated").when(source == "greenhouse", "updated").otherwise("posted")
 
 
+def range_to_dates(name: str | None, first: str | None = None, last: str | None = None) -> tuple[date | None, date | None, str | None]:
+    """First day, last day and preset of a range's name; ISO days count for "custom" only, and an unknown name asks for nothing."""
+    if name in PRESETS:
+        return None, None, name
+    if name == "custom":
+        return date.fromisoformat(first) if first else None, date.fromisoformat(last) if last else None, None
+    return None, None, None
+
+
 def window_of(column: Column, as_of: datetime, preset: str | None, first: date | None, last: date | None) -> Column | None:
     """Strictly after a preset's start; else from the first day to the end of the last. An unknown preset counts as none."""
     if preset in PRESETS:

@@ -65,19 +65,18 @@ DEFENCE_WORDS = (
 DEFENCE_COMPANIES = ["northrop grumman", "lockheed martin", "raytheon", "rtx", "l3harris", "l3harris technologies", "leidos", "bae systems", "general dynamics", "general atomics", "anduril", "anduril industries", "ultra", "ultra intelligence and communications", "cubic", "the aerospace corporation", "aerospace corporation", "draper", "mitre", "booz allen hamilton", "caci", "saic", "peraton", "sierra nevada corporation", "spacex"]
 
 SENIORITY_RANK = {"intern": 0, "junior": 1, "mid": 2, "senior": 3, "staff": 4, "lead": 4, "principal": 5, "manager": 5, "director": 6, "vp": 7, "c_level": 8}
-_GRADE = r"\b(?:engineer|scientist|analyst|developer)\s+(?:{0})\b"
-#: From the most senior; of equal rank the first counts.
+#: From the most senior, as the first that fits counts; of equal rank the first counts.
 TITLE_SENIORITY = {
     "c_level": r"\b(?:chief|ceo|cto|cio|cdo|cfo|cpo)\b",
     "vp": r"\b(?:vice[ -]president|vp)\b",
     "director": r"\b(?:director|head of)\b",
     "principal": r"\bprincipal\b",
     "manager": r"\bmanager\b",
-    "staff": r"\b(?:staff|distinguished)\b|" + _GRADE.format("iv|4") + r"|\blevel\s+(?:iv|4)\b",
+    "staff": r"\b(?:staff|distinguished)\b|\b(?:engineer|scientist|analyst|developer)\s+(?:iv|4)\b|\blevel\s+(?:iv|4)\b",
     "lead": r"\b(?:lead|tech lead|technical lead)\b",
-    "senior": r"\b(?:senior|sr\.?)\b|" + _GRADE.format("iii|3") + r"|\blevel\s+(?:iii|3)\b",
-    "mid": r"\bmid[ -]level\b|" + _GRADE.format("ii|2") + r"|\blevel\s+(?:ii|2)\b",
-    "junior": r"\b(?:junior|jr\.?|entry[ -]level|new[ -]grad|associate)\b|" + _GRADE.format("i|1") + r"|\blevel\s+(?:i|1)\b",
+    "senior": r"\b(?:senior|sr\.?)\b|\b(?:engineer|scientist|analyst|developer)\s+(?:iii|3)\b|\blevel\s+(?:iii|3)\b",
+    "mid": r"\bmid[ -]level\b|\b(?:engineer|scientist|analyst|developer)\s+(?:ii|2)\b|\blevel\s+(?:ii|2)\b",
+    "junior": r"\b(?:junior|jr\.?|entry[ -]level|new[ -]grad|associate)\b|\b(?:engineer|scientist|analyst|developer)\s+(?:i|1)\b|\blevel\s+(?:i|1)\b",
     "intern": r"\b(?:intern|internship|co-op)\b",
 }
 ROLE_FAMILIES = {
@@ -109,7 +108,9 @@ SKILL_ALIASES = {
     "scikit learn": "scikit-learn", "ml": "machine learning", "dl": "deep learning", "nlp": "natural language processing", "cv": "computer vision", "ds": "data science", "ai": "artificial intelligence",
     "genai": "generative ai", "llm": "large language models", "llms": "large language models", "tf": "tensorflow", "gcp": "google cloud", "gcs": "google cloud", "aws": "amazon web services", "az": "azure",
     "k8": "kubernetes", "ci/cd": "cicd", "ci cd": "cicd", "node": "nodejs", "node.js": "nodejs", "react.js": "react", "reactjs": "react", "next.js": "nextjs", "golang": "go", "c++": "cpp", "c#": "csharp",
-    ".net": "dotnet", "rest api": "rest", "restful": "rest", "spark": "apache spark", "pyspark": "apache spark",
+    ".net": "dotnet", "rest api": "rest", "restful": "rest", "spark": "apache spark", "pyspark": "apache spark", "tf2": "tensorflow", "torch": "pytorch", "huggingface": "hugging face", "sb3": "stable-baselines3", "rl": "reinforcement learning",
+    "powerbi": "power bi", "power-bi": "power bi", "gen ai": "generative ai", "rag": "rag pipelines", "llmops": "large language models", "sklearn pipelines": "scikit-learn", "ms sql": "sql server",
+    "postgres sql": "postgresql", "etl pipelines": "etl", "data pipelines": "etl", "ci-cd": "cicd", "github actions": "cicd", "sagemaker": "amazon web services", "databricks": "apache spark",
 }
 SKILL_IMPLIED_BY = {
     "machine learning": ["pytorch", "tensorflow", "keras", "scikit-learn", "xgboost", "cnn", "deep learning", "computer vision", "natural language processing", "reinforcement learning", "stable-baselines3"],

@@ -12,6 +12,11 @@ def empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once: an expression that is named twice is computed twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def one_of(words: list[str]) -> str:
     """A pattern for any of the words, the longest first."""
     return "|".join(rf"\Q{w}\E" for w in sorted(words, key=len, reverse=True))
@@ -159,6 +164,37 @@ def numbered_names(name: Column, turn: Column) -> Column:
     return F.when(turn <= 1, name).otherwise(F.concat(base, F.lit(" ("), turn.cast("string"), F.lit(")"), extension))
 
 
+#: Words that a label writes in a way of their own, and those that it leaves small; signs that LaTeX reads as its own.
+LABEL_ACRONYMS = {
+    "ai": "AI", "ml": "ML", "genai": "GenAI", "llm": "LLM", "nlp": "NLP", "api": "API", "apis": "APIs", "ui": "UI", "ux": "UX", "sql": "SQL", "aws": "AWS", "gcp": "GCP", "devops": "DevOps", "mlops": "MLOps",
+    "ci": "CI", "cd": "CD", "it": "IT", "qa": "QA", "hr": "HR", "bi": "BI",
+}
+LABEL_SMALL_WORDS = ["and", "or", "of", "for", "the", "in", "to", "with", "&"]
+LATEX = {"&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}
+SENIOR_MARKS = r"(?i)\b(?:founding|senior|sr|staff|principal|lead|director|head|vp|chief|manager|architect|ii|iii|iv)\b"
+
+
+def junior_title(title: Column) -> Column:
+    """No mark of a senior role."""
+    return ~F.regexp_like(empty(title), F.lit(SENIOR_MARKS))
+
+
+def label(raw: Column) -> Column:
+    """``some_name`` as Some Name; a label that has capitals is left as it is."""
+    plain = squeeze(F.translate(empty(raw), "_-", "  "))
+    acronyms = F.create_map(*[F.lit(x) for pair in LABEL_ACRONYMS.items() for x in pair])
+    words = F.transform(F.split(plain, " "), lambda w, k: F.coalesce(F.try_element_at(acronyms, w), F.when((k > 0) & w.isin(LABEL_SMALL_WORDS), w), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))))
+    return F.when((plain == "") | (F.lower(plain) != plain) | (F.upper(plain) == plain), plain).otherwise(F.array_join(words, " "))
+
+
+def latex(raw: Column) -> Column:
+    """A text that LaTeX prints as it is; long dashes become shorter."""
+    out = F.replace(empty(raw), F.lit("\\"), F.lit("\x00"))
+    for sign, written in LATEX.items():
+        out = F.replace(out, F.lit(sign), F.lit(written))
+    return F.replace(F.replace(out, F.lit("\x00"), F.lit(r"\textbackslash{}")), F.lit("—"), F.lit("–"))
+
+
 def fingerprint(*parts: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws("\n", *parts).cast("binary"), 256), 1, length)
 

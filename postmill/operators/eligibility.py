@@ -10,6 +10,10 @@ from ..functions import lists, text
 EVIDENCE = 4
 
 
+def sentences(plain: Column) -> Column:
+    return F.split(plain, r"(?<=[.!?])\s+|\n+")
+
+
 def evidence(raw: Column, limit: int | None = 20_000) -> Column:
     """``visa_sponsorship, citizenship_required, security_clearance, evidence`` of a text. Sentences are cut only in texts that match as a whole.
 
@@ -19,14 +23,13 @@ def evidence(raw: Column, limit: int | None = 20_000) -> Column:
     plain = F.regexp_replace(plain if limit is None else F.left(plain, F.lit(limit)), r"(?i)\bu\.s\.", "US")
     has = lambda t, p: F.regexp_like(t, F.lit(p))
     every = [lists.NO_SPONSORSHIP, lists.CITIZENSHIP, lists.CLEARANCE]
-    sentences = F.split(plain, r"(?<=[.!?])\s+|\n+")
-    said = F.filter(sentences, lambda s: has(s, every[0]) | has(s, every[1]) | has(s, every[2]))
-    said = F.when(has(plain, every[0]) | has(plain, every[1]) | has(plain, every[2]), said).otherwise(F.array().cast("array<string>"))
-    snippets = F.array_distinct(F.filter(F.transform(said, lambda s: F.rtrim(F.left(text.squeeze(s), F.lit(240)))), lambda s: s != ""))
-    return F.struct(
-        F.when(F.exists(said, lambda s: has(s, every[0])), "no").alias("visa_sponsorship"), F.exists(said, lambda s: has(s, every[1])).alias("citizenship_required"),
-        F.when(F.exists(said, lambda s: has(s, every[2])), "required").alias("security_clearance"), F.slice(snippets, 1, EVIDENCE).alias("evidence"),
-    )
+    any_of = lambda s: has(s, every[0]) | has(s, every[1]) | has(s, every[2])
+    said = text.let(plain, lambda t: F.when(any_of(t), F.filter(sentences(t), any_of)).otherwise(F.array().cast("array<string>")))
+    snippets = lambda own: F.array_distinct(F.filter(F.transform(own, lambda s: F.rtrim(F.left(text.squeeze(s), F.lit(240)))), lambda s: s != ""))
+    return text.let(said, lambda own: F.struct(
+        F.when(F.exists(own, lambda s: has(s, every[0])), "no").alias("visa_sponsorship"), F.exists(own, lambda s: has(s, every[1])).alias("citizenship_required"),
+        F.when(F.exists(own, lambda s: has(s, every[2])), "required").alias("security_clearance"), F.slice(snippets(own), 1, EVIDENCE).alias("evidence"),
+    ))
 
 
 def defence(title: Column, description: Column, company: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, text
 
+#: Sources by kind, the kinds' authority and labels, and words of entry levels.
 PRIMARY = ["greenhouse", "lever", "ashby", "workable", "workday", "rippling", "recruitee", "smartrecruiters"]
 KINDS = {"primary": PRIMARY, "government": ["usajobs"], "curated": ["simplify"], "scraper": ["jobspy"]}
 AUTHORITY = {"primary": 0, "government": 0, "curated": 1, "aggregator": 2, "scraper": 3}

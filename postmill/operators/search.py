@@ -8,9 +8,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .provenance import authority
 
 K1, B = 1.2, 0.75
+#: Fixed value: the rows that pages reach.
+MOST_ROWS = 10_000
 WORDS = r"[^\p{L}\p{N}_]+"
 FACETS = ["source", "remote_mode", "visa_sponsorship", "company_size_bucket", "employer_type", "security_clearance", "category", "employment_type"]
 
@@ -26,19 +29,21 @@ def _is(word: str):
 def bm25(rows: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """``key, score`` of the rows that hold a word of the query.
 
-    Each row counts only the query's words, so nothing is exploded and the only shuffle is of one row of totals.
+    Each row counts its words and the query's, once: the counts are dealt out by ``key``, and both the totals and the scores
+    read that one shuffle of a few numbers a row. Nothing is exploded.
     """
     words = sorted({w for w in re.split(r"[^\w]+", query.lower()) if w})
-    own = tokens(F.col(text))
-    counted = rows.select(F.col(key), F.size(own).alias("_long"), *[F.size(F.filter(own, _is(w))).alias(f"_n{k}") for k, w in enumerate(words)])
-    totals = counted.agg(F.count("*").alias("_rows"), F.avg("_long").alias("_mean"), *[F.count_if(F.col(f"_n{k}") > 0).alias(f"_d{k}") for k in range(len(words))])
+    counts = let(tokens(F.col(text)), lambda own: F.struct(F.size(own).alias("long"), *[F.size(F.filter(own, _is(w))).alias(f"n{k}") for k, w in enumerate(words)]))
+    counted = rows.select(F.col(key).alias("_key"), counts.alias("_c")).select("_key", F.col("_c.long").alias("_long"), *[F.col(f"_c.n{k}").alias(f"_n{k}") for k in range(len(words))]).repartition("_key")
+    any_key = F.count(F.when(F.col("_key").isNull() | F.col("_key").isNotNull(), 1))  # names the key, so that both plans read the same columns
+    totals = counted.agg(any_key.alias("_rows"), F.avg("_long").alias("_mean"), *[F.count_if(F.col(f"_n{k}") > 0).alias(f"_d{k}") for k in range(len(words))])
     scored = counted.where(" or ".join(f"_n{k} > 0" for k in range(len(words))) or "false").crossJoin(F.broadcast(totals))  # one row of totals
     score = F.lit(0.0)
     for k in range(len(words)):
         n, d = F.col(f"_n{k}"), F.col(f"_d{k}")
         idf = F.ln(1 + (F.col("_rows") - d + 0.5) / (d + 0.5))
         score = score + idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col("_long") / F.col("_mean")))
-    return scored.select(key, score.alias("score"))
+    return scored.select(F.col("_key").alias(key), score.alias("score"))
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -65,11 +70,13 @@ def nearest(rows: DataFrame, key: str, vector: str, query: list[float], k: int)
 def hybrid(keyword: DataFrame, vector: DataFrame, key: str, alpha: float) -> DataFrame:
     """``key, score``: alpha of the vector leg and 1 - alpha of the keyword leg, each scaled by its least and largest score.
 
-    A row that one leg lacks gets 0 from it; a leg whose scores are all one counts as 1.
+    A row that one leg lacks gets 0 from it; a leg whose scores are all one counts as 1. The legs are dealt out by ``key``, and their ends are read from
+    that shuffle.
     """
 
     def scaled(leg: DataFrame, name: str) -> DataFrame:
-        ends = leg.agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
+        leg = leg.select(key, "score").repartition(key)
+        ends = leg.agg(F.min("score").alias("_low"), F.max("score").alias("_high"), F.max(key).alias("_last"))  # the key is named so that both plans read the same columns
         value = F.when(F.col("_high") > F.col("_low"), (F.col("score") - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(1.0)
         return leg.crossJoin(F.broadcast(ends)).select(key, value.alias(name))  # one row of ends
 
@@ -109,9 +116,9 @@ def order(name: str, key: str = "job_id") -> list[Column]:
 
 
 def page(rows: DataFrame, by: list[Column], number: int, size: int) -> DataFrame:
-    """Page ``number`` from 1, of 200 rows at most; only the rows up to its end are sorted."""
-    if number < 1 or not 1 <= size <= 200:
-        raise ValueError("pages begin at 1 and have 1 to 200 rows")
+    """Page ``number`` from 1, of 200 rows at most, within the first 10,000 rows; only the rows up to its end are sorted."""
+    if number < 1 or not 1 <= size <= 200 or number * size > MOST_ROWS:
+        raise ValueError(f"pages begin at 1, have 1 to 200 rows and end within {MOST_ROWS} rows")
     return rows.orderBy(*by).limit(number * size).offset((number - 1) * size)
 
 
@@ -122,22 +129,24 @@ def facets(rows: DataFrame, columns: list[str] = FACETS) -> DataFrame:
 
 
 def collapse_reposts(rows: DataFrame, keys: list[Column], source: str = "source", position: list[Column] | None = None) -> DataFrame:
-    """Keeps the most authoritative row of equal keys, the first of equals, with ``duplicate_count``, ``also_on`` and ``first_position``.
+    """Keeps the most authoritative row of equal keys, the first of equals, with ``duplicate_count``, ``also_on`` and ``first_position``. Null keys are equal.
 
-    ``position`` gives the order of rows. Keys are grouped with partial aggregates before the shuffle and
-    joined back, so a key of very many rows needs no window and its join can be split.
+    ``position`` gives the order of rows. Keys are 128 bits of hash, so that long ones aren't moved; they are grouped with partial aggregates before the
+    shuffle and joined back, so a key of very many rows needs no window and its join can be split.
     """
     position = position or [F.col("job_id")]
-    named = rows.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
-    own = [f"_k{i}" for i in range(len(keys))]
-    rank = F.struct(authority(F.col(source)).alias("a"), *[p.alias(f"p{i}") for i, p in enumerate(position)])
-    named = named.withColumn("_rank", rank)
-    best = named.groupBy(*own).agg(F.min("_rank").alias("_best"), F.count("*").alias("_many"), F.min(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(position)])).alias("first_position"))
-    per_source = named.groupBy(*own, source).agg(F.count("*").alias("_n"))
-    repeated = per_source.groupBy(*own).agg(F.collect_list(F.struct(F.col(source).alias("s"), F.col("_n").alias("n"))).alias("_counts"))
-    joined = named.join(best, own).join(repeated, own).where("_rank = _best")
+    null = [k.isNull() for k in keys]
+    own = ["_k0", "_k1"]
+    first = F.struct(*[p.alias(f"p{i}") for i, p in enumerate(position)])
+    named = rows.withColumns({"_k0": F.xxhash64(*keys, *null), "_k1": F.xxhash64(F.lit(1), *keys, *null), "_rank": F.struct(authority(F.col(source)).alias("a"), first.alias("first"))})
+    per_source = named.groupBy(*own, F.col(source).alias("_s")).agg(F.count("*").alias("_n"), F.min("_rank").alias("_best"), F.min("_rank.first").alias("_first"))
+    groups = per_source.groupBy(*own).agg(
+        F.min("_best").alias("_best"), F.sum("_n").alias("_many"), F.min("_first").alias("first_position"), F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_n").alias("n"))).alias("_counts")
+    )
+    best = groups.withColumnRenamed("_best", "_rank")
+    joined = named.join(best, [*own, "_rank"])
     others = F.array_sort(F.transform(F.filter("_counts", lambda x: x["s"].isNotNull() & ((x["s"] != F.col(source)) | (x["n"] > 1))), lambda x: x["s"]))
-    return joined.withColumns({"duplicate_count": F.col("_many") - 1, "also_on": others}).drop(*own, "_rank", "_best", "_many", "_counts")
+    return joined.select(*rows.columns, (F.col("_many") - 1).alias("duplicate_count"), others.alias("also_on"), "first_position")
 
 
 def ladder(rows: DataFrame, age_hours: Column, rungs: list[int], target: int, key: Column | None = None) -> DataFrame:
@@ -151,6 +160,22 @@ def ladder(rows: DataFrame, age_hours: Column, rungs: list[int], target: int, ke
     return counts.select(choice.alias("c")).select("c.rung", "c.total")
 
 
+def resume_to_jobs(postings: DataFrame, vector: str, query: list[float], k: int, p=None, excluded: DataFrame | None = None) -> DataFrame:
+    """The ``k`` nearest postings to a résumé's vector; under a profile the active ones that it may take, without those excluded, judged and in priority order."""
+    from .verdict import priority_order, with_verdict
+
+    rows = postings
+    if p is not None:
+        rows = rows.where(~F.col("is_active").eqNullSafe(False))
+        rows = rows.where(~F.col("citizenship_required")) if p.reject_citizenship_only else rows
+    near = nearest(rows, "job_id", vector, query, k)
+    found = rows.join(near.withColumnRenamed("score", "similarity"), "job_id")
+    if p is None:
+        return found.orderBy(F.col("similarity").desc(), "job_id")
+    found = found if excluded is None else found.join(excluded.select("job_id").distinct(), "job_id", "left_anti")
+    return with_verdict(found, p).orderBy(*priority_order(p.prefer_cap_exempt))
+
+
 def rows_of_each(rows: DataFrame, by: list[Column], top: int, *partition: str) -> DataFrame:
     """The first ``top`` rows of each group; Spark cuts the groups before the shuffle."""
     turn = F.row_number().over(Window.partitionBy(*partition).orderBy(*by))

@@ -66,6 +66,11 @@ def snapshot(presence: DataFrame, seen: DataFrame, complete: DataFrame, as_of: d
     )
 
 
+def listed_open(postings: DataFrame, presence: DataFrame) -> DataFrame:
+    """Postings that some board lists."""
+    return postings.join(presence.where("closed_at is null").select("job_id").distinct(), "job_id", "left_semi")
+
+
 def apply_lifecycle(postings: DataFrame, presence: DataFrame, as_of: datetime | Column) -> DataFrame:
     """A posting that some board lists is active; one that was listed and is no longer is closed; others stay as they are."""
     listed = presence.groupBy("job_id").agg(F.count_if(F.col("closed_at").isNull()).alias("_open"))

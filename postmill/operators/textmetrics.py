@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import one_of
+from ..functions.text import let, one_of
 
 #: Closed-class words, buzzwords, and the weights of the composite.
 FUNCTION_WORDS = "i me my myself we our ours ourselves you your yours yourself he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had do does did will would shall should may might must can could the a an and but if or because as until while of at by for with about against between through during before after above below to from in out on off over under again further then once here there when where why how all both each few more most other some such no not only own same so than too very".split()
@@ -39,11 +39,6 @@ def mean(a: Column) -> Column:
     return F.coalesce(total(a) / F.nullif(F.size(a), F.lit(0)), F.lit(0.0))
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once: an expression named in a lambda is computed for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def std(a: Column) -> Column:
     return let(mean(a), lambda m: F.sqrt(F.greatest(F.lit(0.0), mean(F.transform(a, lambda x: (x - m) * (x - m))))))
 

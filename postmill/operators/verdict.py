@@ -66,9 +66,9 @@ def title_seniority(title: Column) -> Column:
     return out
 
 
-def effective_seniority(title: Column, stored: Column) -> Column:
+def effective_seniority(shown: Column, stored: Column) -> Column:
     """The higher of the title's level and the stored one; of equals the title's."""
-    shown, known = title_seniority(title), F.when(stored.isin(list(RANK)), stored)
+    known = F.when(stored.isin(list(RANK)), stored)
     return F.when(shown.isNull(), F.coalesce(known, F.lit("unclear"))).when(known.isNull() | (rank_of(shown) >= rank_of(known)), shown).otherwise(known)
 
 
@@ -89,11 +89,12 @@ def _words(s: str) -> set[str]:
     return set(re.findall(r"[a-z0-9+#]+", s))
 
 
-def title_score(title: Column, p: Profile) -> Column:
+def title_score(title: Column, own: Column, p: Profile) -> Column:
+    """``own``: the families of the title."""
     if not p.target_titles:
         return F.lit(0.5)
     name = F.lower(F.trim(text.empty(title)))
-    words, own, scores, same = F.regexp_extract_all(name, F.lit(r"([a-z0-9+#]+)"), 1), families(name), [F.lit(0.0)], F.lit(False)
+    words, scores, same = F.regexp_extract_all(name, F.lit(r"([a-z0-9+#]+)"), 1), [F.lit(0.0)], F.lit(False)
     for target in (t.strip().lower() for t in p.target_titles):
         if target:
             same = same | F.contains(name, F.lit(target)) | F.contains(F.lit(target), name)
@@ -200,23 +201,39 @@ def skill_score(p: Profile) -> Column:
     return F.when(many == 0, 0.5).when(many < 3, 0.5 + (share - 0.5) * (many / 3)).otherwise(share)
 
 
+FACTS = ["_said", "_shown", "_families", "_us", "_defence"]
+
+
+def with_facts(postings: DataFrame) -> DataFrame:
+    """Adds what holds under every profile. Rows are dealt out by id, which the joins of skills ask for at scale, and spreads the rules over tasks where files are few."""
+    c = F.col
+    said = eligibility.evidence(F.concat_ws(" ", F.nullif("work_auth_required", F.lit("")), F.nullif("restrictions", F.lit("")), F.nullif("description", F.lit(""))))
+    return postings.repartition("job_id").withColumns({
+        "_said": said, "_shown": title_seniority(c("title")), "_families": families(c("title")), "_us": text.is_us(c("country"), c("location_raw"), c("remote_mode"), c("title")),
+        "_defence": F.when(~F.coalesce("citizenship_required", F.lit(False)), eligibility.defence(c("title"), c("description"), c("company"))),
+    })
+
+
 def with_verdict(postings: DataFrame, p: Profile, semantic: str | None = None) -> DataFrame:
     """Adds ``verdict, score, reasons, red_flags, matched, gaps, recommendable`` under a profile; ``semantic`` names a column of 0 to 1, null where unknown."""
+    return judged(with_facts(postings), p, semantic).drop(*FACTS)
+
+
+def judged(facts: DataFrame, p: Profile, semantic: str | None = None) -> DataFrame:
+    """``with_verdict`` of postings with their facts, which stay."""
     c, yes = F.col, lambda x: F.coalesce(x, F.lit(False))
-    given = postings.columns
-    rows = with_evidence(postings, p)
-    said = eligibility.evidence(F.concat_ws(" ", F.nullif("work_auth_required", F.lit("")), F.nullif("restrictions", F.lit("")), F.nullif("description", F.lit(""))))
+    given = facts.columns
     top = RANK.get(p.seniority_max)
     own = set().union(*(families_of(t) for t in p.target_titles)) if p.target_titles else set()
-    rows = rows.withColumns({
-        "_said": said, "_title": title_score(c("title"), p), "_level": effective_seniority(c("title"), c("seniority")), "_years": F.greatest("yoe_min", stated_years(c("description"), p.resume_text)),
-        "_defence": F.when(~yes(c("citizenship_required")), eligibility.defence(c("title"), c("description"), c("company"))), "_interest": interest_score(c("title"), c("description"), p), "_skill": skill_score(p),
+    rows = with_evidence(facts, p).withColumns({
+        "_title": title_score(c("title"), c("_families"), p), "_level": effective_seniority(c("_shown"), c("seniority")), "_years": F.greatest("yoe_min", stated_years(c("description"), p.resume_text)),
+        "_interest": interest_score(c("title"), c("description"), p), "_skill": skill_score(p), "_lacking": unsupported_specialties(c("title"), p),
     }).withColumn("_rank", rank_of(c("_level")))
     years, level, rank, title = c("_years"), c("_level"), c("_rank"), c("_title")
 
     allowed = {x.strip().lower() for x in p.countries if x}
     if allowed and allowed <= set(lists.US_NAMES):
-        abroad = F.when(~text.is_us(c("country"), c("location_raw"), c("remote_mode"), c("title")), F.concat(F.lit("Outside target countries ("), F.coalesce(F.nullif("location_raw", F.lit("")), F.nullif("country", F.lit("")), F.lit("unknown location")), F.lit(")")))
+        abroad = F.when(~c("_us"), F.concat(F.lit("Outside target countries ("), F.coalesce(F.nullif("location_raw", F.lit("")), F.nullif("country", F.lit("")), F.lit("unknown location")), F.lit(")")))
     elif allowed:
         abroad = F.when(yes(c("country") != "") & ~F.lower(F.trim("country")).isin(sorted(allowed)), F.concat(F.lit("Outside target countries ("), F.upper("country"), F.lit(")")))
     else:
@@ -241,7 +258,7 @@ def with_verdict(postings: DataFrame, p: Profile, semantic: str | None = None) -
     second = _compact(
         F.when(borderline & (years > p.yoe_max + 1), F.concat(F.lit("Requires "), years, F.lit(f"+ years (well above target {p.yoe_max})"))),
         F.when(yes(rank > top + 1), F.concat(F.initcap(F.replace(level, F.lit("_"), F.lit(" "))), F.lit(f" role is above the {p.seniority_max} target"))) if top is not None else F.lit(None),
-        F.when((F.size(families(c("title"))) > 0) & ~F.arrays_overlap(families(c("title")), F.array(*[F.lit(f) for f in sorted(own)])), "Role family is outside the profile's target roles") if own else F.lit(None),
+        F.when((F.size("_families") > 0) & ~F.arrays_overlap("_families", F.array(*[F.lit(f) for f in sorted(own)])), "Role family is outside the profile's target roles") if own else F.lit(None),
     )
     rows = rows.withColumn("_rejects", F.concat("_first", second)).withColumn("_near_years", borderline)
 
@@ -256,7 +273,7 @@ def with_verdict(postings: DataFrame, p: Profile, semantic: str | None = None) -
 
     n, gaps = F.size("_matched"), F.least(F.size("_gaps"), F.lit(8))
     seen = F.least(n, F.lit(12)) + gaps
-    described, entry = F.size("_job_skills") == 0, yes(c("new_grad_program")) | yes(title_seniority(c("title")).isin("intern", "junior")) | yes(c("seniority").isin("intern", "junior"))
+    described, entry = F.size("_job_skills") == 0, yes(c("new_grad_program")) | yes(c("_shown").isin("intern", "junior")) | yes(c("seniority").isin("intern", "junior"))
     exempt, quiet = yes(c("cap_exempt").isin("yes", "likely")), yes(c("visa_sponsorship").isin("not_mentioned", "unclear")) & F.lit(p.needs_sponsorship)
     positive = exempt | yes(c("known_h1b_sponsor"))
     unstated = years.isNull() & ~entry
@@ -265,7 +282,7 @@ def with_verdict(postings: DataFrame, p: Profile, semantic: str | None = None) -
     thin, weak = described & (n < 2), ~described & (n > 0) & ((F.least(n, F.lit(12)) / seen < 0.5) | ((seen >= 4) & (n < 2)))
     curated = thin & yes(c("new_grad_program")) & (title >= CLOSE)
     none = F.lit(not p.skills)
-    lacking = unsupported_specialties(c("title"), p)
+    lacking = c("_lacking")
     elsewhere = F.lit(liked != "any") & yes((c("remote_mode") != "unknown") & (c("remote_mode") != liked))
     unmatched = ~none & ~described & (n == 0)
     early = _compact(
@@ -331,12 +348,14 @@ def review_order() -> list[Column]:
 
 
 def profile_fits(posting: DataFrame, profiles: list[Profile]) -> DataFrame:
-    """Each posting under each of a user's profiles, which are few and known when the plan is made."""
-    out = None
-    for p in profiles:
-        one = with_verdict(posting, p).select("job_id", F.lit(p.id).alias("profile_id"), F.lit(p.label).alias("label"), "verdict", "score", "recommendable")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Each posting under each of a user's profiles, which are few and known when the plan is made. What holds under all of them is found once, in one pass."""
+    rows, fits = with_facts(posting), []
+    for k, p in enumerate(profiles):
+        given = rows.columns
+        fit = F.struct(F.lit(p.id).alias("profile_id"), F.lit(p.label).alias("label"), "verdict", "score", "recommendable")
+        rows = judged(rows, p).select(*given, fit.alias(f"_fit{k}"))
+        fits.append(f"_fit{k}")
+    return rows.select("job_id", F.explode(F.array(*fits)).alias("fit")).select("job_id", "fit.*")
 
 
 def fresh_ladder(postings: DataFrame, p: Profile, age_hours: Column, rungs: list[int], target: int, keys: list[Column]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
-from ..operators import analytics, eligibility, filters, provenance, search, skills, state, textmetrics, verdict
+from ..operators import analytics, eligibility, filters, provenance, search, state, textmetrics, verdict
 
 AS_OF = datetime(2024, 1, 31)
 QUERIES: dict = {}
@@ -62,10 +62,12 @@ def facet_counts(spark, d):
     return search.facets(rows, ["status", "priority"])
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderkey % 2 = 0 AND o_orderkey % 3 < 2 AND o_orderkey % 5 < 4 AND o_orderkey % 7 < 6 AND o_orderkey % 11 < 10 AND o_orderkey % 13 < 12")
 def filter_multi_select(spark, d):
-    rows = read(spark, d, "orders").withColumns({"source": F.col("o_orderstatus"), "category": F.col("o_orderpriority")})
-    f = filters.Filters(any_of={"source": ["F", "P", ""], "category": ["1-URGENT", "2-HIGH"]})
+    """All eight columns; empty values ask for nothing."""
+    digit = {"remote_mode": 2, "visa_sponsorship": 3, "company_size_bucket": 5, "employer_type": 7, "security_clearance": 11, "employment_type": 13}
+    rows = read(spark, d, "orders").withColumns({"source": F.col("o_orderstatus"), "category": F.col("o_orderpriority"), **{c: (F.col("o_orderkey") % n).cast("string") for c, n in digit.items()}})
+    f = filters.Filters(any_of={"source": ["F", "P", ""], "category": ["1-URGENT", "2-HIGH"], **{c: [str(k) for k in range(n - 1)] for c, n in digit.items()}})
     return filters.apply(rows, f, AS_OF).select("o_orderkey", "o_orderstatus", "o_orderpriority")
 
 
@@ -148,13 +150,15 @@ def ladder_qualified(spark, d):
 
 
 @query("""
-WITH k AS (SELECT *, lower(text) AS key, row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY lower(text)) AS n, min(doc_id) OVER (PARTITION BY lower(text)) AS first_id FROM documents),
+WITH d AS (SELECT doc_id, source, CASE WHEN doc_id % 97 > 0 THEN lower(text) END AS key FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY key) AS n, min(doc_id) OVER (PARTITION BY key) AS first_id FROM d),
 o AS (SELECT key, source, count(*) AS c FROM k GROUP BY key, source)
 SELECT doc_id, source, n - 1 AS duplicate_count, first_id,
- coalesce((SELECT string_agg(o.source, ',' ORDER BY o.source) FROM o WHERE o.key = k.key AND (o.source <> k.source OR o.c > 1)), '') AS also_on FROM k WHERE r = 1
+ coalesce((SELECT string_agg(o.source, ',' ORDER BY o.source) FROM o WHERE o.key IS NOT DISTINCT FROM k.key AND (o.source <> k.source OR o.c > 1)), '') AS also_on FROM k WHERE r = 1
 """)
 def repost_dedup(spark, d):
-    rows = read(spark, d, "documents").select("doc_id", "source", F.lower("text").alias("key"))
+    """Documents as reposts of equal texts; those of null keys are one group."""
+    rows = read(spark, d, "documents").select("doc_id", "source", F.when(F.col("doc_id") % 97 > 0, F.lower("text")).alias("key"))
     out = search.collapse_reposts(rows, [F.col("key")], position=[F.col("doc_id")])
     return out.select("doc_id", "source", F.col("duplicate_count"), F.col("first_position.p0").alias("first_id"), F.array_join("also_on", ",").alias("also_on"))
 
@@ -244,8 +248,8 @@ def excluded_anti_join(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def active_semi_join(spark, d):
-    open_orders = read(spark, d, "orders").where("o_orderstatus = 'O'")
-    return read(spark, d, "customer").join(open_orders, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
+    listed = read(spark, d, "orders").select(F.col("o_custkey").alias("job_id"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderdate").cast("timestamp")).alias("closed_at"))
+    return state.listed_open(read(spark, d, "customer").withColumn("job_id", F.col("c_custkey")), listed).select("c_custkey", "c_name")
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AS known FROM supplier")
@@ -309,20 +313,19 @@ def content_hash(spark, d):
     return read(spark, d, "customer").select("c_custkey", text.posting_id(F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey").cast("string")).alias("job_id"))
 
 
-@query(r"SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[\s]+', ' ', 'g'))) AS n FROM pages")
-def html_to_text(spark, d):
-    return read(spark, d, "pages").select("page_id", F.length(F.trim(F.regexp_replace(text.strip_tags(F.col("html")), r"\s+", " "))).alias("n"))
+_UNESCAPED = "html"
+for _reference, _sign in {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&apos;": "''", "&nbsp;": " ", "&rsquo;": "’", "&lsquo;": "‘", "&ndash;": "–", "&mdash;": "—", "&bull;": "•", "&hellip;": "…", "&copy;": "©", "&middot;": "·", "&amp;": "&"}.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_reference}', '{_sign}')"
 
 
-@query()
-def eligibility_scan(spark, d):
-    said = eligibility.evidence(F.col("text"), limit=None)
-    return read(spark, d, "documents").select("doc_id", said.alias("s")).select("doc_id", "s.visa_sponsorship", "s.citizenship_required", "s.security_clearance", "s.evidence")
+@query(rf"SELECT page_id, sha256(trim(regexp_replace(regexp_replace({_UNESCAPED}, '<[^>]+>', ' ', 'g'), '[ \t\n\r\f\v\x{{0085}}\x{{00A0}}\p{{Z}}]+', ' ', 'g'))) AS text FROM pages")
+def html_to_text(spark, d):
+    return read(spark, d, "pages").select("page_id", F.sha2(text.plain_text(F.col("html")).cast("binary"), 256).alias("text"))
 
 
 @query(r"SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]\s+|\n+'), lambda s: regexp_matches(lower(s), 'licen[cs]e'))) AS n FROM documents) WHERE n > 0")
 def sentence_evidence(spark, d):
-    parts = F.filter(F.split("text", r"[.!?]\s+|\n+"), lambda s: F.regexp_like(F.lower(s), F.lit("licen[cs]e")))
+    parts = F.filter(eligibility.sentences(F.col("text")), lambda s: F.regexp_like(F.lower(s), F.lit("licen[cs]e")))
     return read(spark, d, "documents").select("doc_id", F.size(parts).alias("n")).where("n > 0")
 
 
@@ -394,14 +397,18 @@ def text_metrics_all(spark, d):
     return out.select("doc_id", "lexical.*", *[F.col(f"repetition.{c}") for c in ("distinct_2", "trigram_rep_rate", "next_token_entropy", "sent_4gram_overlap")], "structure.structural_burstiness", "structure.sent_len_cv", "composite.ai_risk_score", "composite.band")
 
 
-@query("""
-WITH m AS (SELECT 'ttr' AS metric, avg(n_chars) FILTER (quality = 0) AS before, avg(n_chars) FILTER (quality = 1) AS after FROM documents JOIN labels USING (doc_id) UNION ALL SELECT 'yule_k', avg(n_chars) FILTER (toxic = 0), avg(n_chars) FILTER (toxic = 1) FROM documents JOIN labels USING (doc_id))
-SELECT metric, round(before, 4) AS before, round(after, 4) AS after, round(after - before, 2) AS delta, CASE WHEN before IS NULL OR after IS NULL OR abs(after - before) < 1e-6 THEN 'neutral' WHEN (after > before) = (metric = 'ttr') THEN 'better' ELSE 'worse' END AS direction FROM m""")
+@query(r"""
+WITH w AS (SELECT quality, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+')) AS t FROM documents JOIN labels USING (doc_id)), c AS (SELECT quality, len(t) AS n, map_values(list_aggregate(t, 'histogram')) AS f FROM w),
+k AS (SELECT quality, round(coalesce(len(f) / nullif(n, 0), 0), 4)::DECIMAL(18, 4) AS ttr, round(coalesce(10000 * (list_sum(list_transform(f, lambda x: x * x)) - n)::DOUBLE / nullif(n::DOUBLE * n, 0), 0), 4)::DECIMAL(18, 4) AS yule_k FROM c),
+m AS (SELECT 'ttr' AS metric, sum(ttr) FILTER (quality = 0)::DOUBLE / count(*) FILTER (quality = 0) AS before, sum(ttr) FILTER (quality = 1)::DOUBLE / count(*) FILTER (quality = 1) AS after FROM k UNION ALL SELECT 'yule_k', sum(yule_k) FILTER (quality = 0)::DOUBLE / count(*) FILTER (quality = 0), sum(yule_k) FILTER (quality = 1)::DOUBLE / count(*) FILTER (quality = 1) FROM k)
+SELECT metric, round(before, 3) AS before, round(after, 3) AS after, round(after - before, 2) AS delta, CASE WHEN before IS NULL OR after IS NULL OR abs(after - before) < 1e-6 THEN 'neutral' WHEN (after > before) = (metric = 'ttr') THEN 'better' ELSE 'worse' END AS direction FROM m""")
 def metric_delta(spark, d):
-    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id")
-    mean = lambda name, c: rows.agg(F.avg(F.when(F.col(c) == 0, F.col("n_chars"))).alias("before"), F.avg(F.when(F.col(c) == 1, F.col("n_chars"))).alias("after")).select(F.lit(name).alias("metric"), "before", "after")
-    out = textmetrics.delta(mean("ttr", "quality").unionByName(mean("yule_k", "toxic")), "before", "after")
-    return out.select("metric", F.round("before", 4).alias("before"), F.round("after", 4).alias("after"), F.round("delta", 2).alias("delta"), "direction")
+    """Means of two text metrics, from texts of low quality to those of high."""
+    rows = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select("quality", "text")
+    every = textmetrics.families(rows, "text").select("quality", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"lexical.{m}").cast("decimal(18,4)").alias("v")) for m in ("ttr", "yule_k")])).alias("x"))
+    mean = lambda q: F.sum(F.when(F.col("quality") == q, F.col("x.v"))).cast("double") / F.count_if(F.col("quality") == q)
+    out = textmetrics.delta(every.groupBy("x.metric").agg(mean(0).alias("before"), mean(1).alias("after")), "before", "after")
+    return out.select("metric", F.round("before", 3).alias("before"), F.round("after", 3).alias("after"), F.round("delta", 2).alias("delta"), "direction")
 
 
 @query("SELECT user_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -450,7 +457,7 @@ def title_classes(spark, d):
     return _titles(spark, d).select("p_partkey", text.category(t).alias("category"), text.employment_type(t, F.lit(None).cast("string")).alias("employment_type"), verdict.title_seniority(t).alias("level"))
 
 
-def _postings(spark, d) -> DataFrame:
+def postings(spark, d) -> DataFrame:
     """Parts as postings."""
     from ..schemas import as_postings
 
@@ -466,29 +473,3 @@ def _postings(spark, d) -> DataFrame:
 
 PROFILE = verdict.Profile(id="p1", label="data", target_titles=["Data Engineer", "Machine Learning Engineer"], skills=["python", "postgresql", "pytorch", "sql"], interests=["data pipelines"], seniority_max="mid", yoe_max=3)
 OTHER = verdict.Profile(id="p2", label="software", target_titles=["Software Engineer"], skills=["java", "kubernetes"], seniority_max="senior", yoe_max=5, needs_sponsorship=True)
-
-
-@query()
-def verdicts(spark, d):
-    """The flagship: every posting judged under a profile."""
-    return verdict.with_verdict(_postings(spark, d), PROFILE).select("job_id", "verdict", "score", "reasons", "red_flags", "matched", "gaps", "recommendable")
-
-
-@query()
-def cross_profile_fit(spark, d):
-    return verdict.profile_fits(_postings(spark, d), [PROFILE, OTHER])
-
-
-@query()
-def best_matches(spark, d):
-    scored = verdict.with_verdict(_postings(spark, d), PROFILE)
-    return scored.orderBy(*verdict.match_order()).limit(50).select("job_id", "verdict", "score", "recommendable")
-
-
-@query()
-def skill_overlap(spark, d):
-    return skills.overlap(_postings(spark, d), PROFILE.skills)
-
-
-def entry(spark: SparkSession, sf_dir: str = "/root/testdata/sf0.001") -> DataFrame:
-    return latest_per_group_with_totals(spark, sf_dir)

@@ -73,6 +73,42 @@ def ranked_csv(rows: DataFrame, order: list, path: str) -> None:
     rows.orderBy(*order).write.mode("overwrite").csv(path, header=True)
 
 
+#: The field of a vendor's section that lists its boards.
+BOARD_FIELDS = {"greenhouse": "companies", "lever": "companies", "ashby": "companies", "rippling": "companies", "workable": "accounts"}
+
+
+def discovered_yaml(boards: DataFrame, path: str) -> None:
+    """Writes discovered ``ats, slug`` as a configuration, a section a vendor; a registry of boards, so the driver holds it. JSON is YAML."""
+    found = boards.where(F.col("ats").isin(list(BOARD_FIELDS))).groupBy("ats").agg(F.sort_array(F.collect_set("slug")).alias("slugs")).orderBy("ats").collect()
+    sections = {r.ats: {BOARD_FIELDS[r.ats]: [{"token": s, "type": "for_profit"} for s in r.slugs]} for r in found}
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("# Written by discovery; safe to delete.\n" + json.dumps({"sources": sections}, indent=1) + "\n")
+
+
+def read_config(path: str) -> dict:
+    """A configuration file: JSON, with comment lines, or YAML where its library is installed."""
+    with open(path, encoding="utf-8") as f:
+        body = f.read()
+    try:
+        return json.loads("\n".join(line for line in body.split("\n") if not line.lstrip().startswith("#")))
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError(f"{path} is not JSON, and no YAML library is installed") from e
+        return yaml.safe_load(body) or {}
+
+
+def missing_rows(rows: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.join(existing.select(*keys), keys, "left_anti").dropDuplicates(keys).select(*rows.columns)
+
+
+def copy_table(rows: DataFrame, keys: list[str], url: str, table: str, properties: dict[str, str] | None = None) -> None:
+    """Appends over JDBC the rows whose keys a table lacks."""
+    existing = rows.sparkSession.read.jdbc(url, table, properties=properties or {})
+    missing_rows(rows, existing, keys).write.jdbc(url, table, mode="append", properties=properties or {})
+
+
 @F.pandas_udf(T.StringType())
 def decode_entities(raw: pd.Series) -> pd.Series:
     """All character references of HTML, for texts beyond ``functions.text.unescape``."""

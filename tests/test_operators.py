@@ -108,9 +108,9 @@ def test_metrics(spark):
 
 
 def test_eligibility_reads_whole_texts(spark, tmp_path):
-    from postmill.plans.queries import QUERIES
+    from postmill.plans.judgement import eligibility_scan
 
     said = "You must be a U.S. citizen. Active security clearance required."
-    spark.createDataFrame([(1, "word " * 5000 + ". " + said), (2, said)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    found = {r.doc_id: r for r in QUERIES["eligibility_scan"](spark, str(tmp_path)).collect()}
-    assert found[2].security_clearance == "required" and tuple(found[1])[1:4] == tuple(found[2])[1:4]
+    spark.createDataFrame([(4, "word " * 5000 + ". " + said), (8, said)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in eligibility_scan(spark, str(tmp_path)).collect()}
+    assert found[8].security_clearance == "required" and tuple(found[4])[1:4] == tuple(found[8])[1:4]
