@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, map_file, mapped, new_dir, put_file, slices, stash, texts
+from .common import LOWER, Held, mapped, new_dir, put_file, slices, stash, texts
 from .substring_dedup import mixed
 
 #: Tokens a task counts at a time, tokens for a shard, and word numbers in a range.
@@ -112,65 +112,67 @@ def _store(home: str, name: str):
     return store
 
 
-def _halves(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(map_file(uri), np.uint64)
+def _halves(data: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(data, np.uint64)
     return both[: len(both) // 2], both[len(both) // 2 :]
 
 
+def _numbers(data: memoryview) -> np.ndarray:
+    return np.frombuffer(data, np.int64)
+
+
+def _sums_of(data: memoryview) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(6, -1)
+
+
 @dataclass
 class Model:
-    """What workers need to open the files: few numbers, whatever the corpus."""
+    """What workers need to open the files: few numbers, whatever the corpus. The file ``first`` has the number of each word shard's first word."""
 
     home: str
-    word_bits: int
-    first: dict[int, int]  # by shard of words, the number of its first word
+    bits: int  # of shards of words and of pairs
     words: int
     tokens: int
-    pair_bits: int = 0
-    pairs: frozenset[int] = frozenset()  # shards that have any
     discounts: tuple[tuple[float, float, float], ...] = ()  # of continuation counts, of pair counts
     types: int = 0
     rest: float = 1.0
     span: int = RANGE
 
 
-
 class Reader:
-    """Maps a model's files as they are needed."""
+    """Maps a model's files as they are needed, and lets those go that were not used for long."""
 
     def __init__(self, model: Model):
-        self.model, self.maps = model, {}
+        self.model, self.files = model, Held()
 
-    def _map(self, kind: str, shard: int):
-        if (kind, shard) not in self.maps:
-            uri = f"{self.model.home}/{kind}-{shard}"
-            self.maps[kind, shard] = np.frombuffer(map_file(uri), np.float64).reshape(6, -1) if kind == "range" else _halves(uri)
-        return self.maps[kind, shard]
+    def _file(self, name: str, parse):
+        return self.files.get(f"{self.model.home}/{name}", parse)
 
-    def _by_shard(self, keys: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
-        shard = shard_of(keys, bits)
+    def _by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        shard = shard_of(keys, self.model.bits)
         order = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[order], np.arange((1 << bits) + 1))
-        for s in np.flatnonzero(np.diff(edges)).tolist():
-            yield s, order[edges[s] : edges[s + 1]]
+        shard = shard[order]
+        at = np.flatnonzero(np.diff(shard, prepend=-1))
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(shard)]):
+            yield int(shard[a]), order[a:b]
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Word numbers, -1 for words that training lacks."""
         own, back = np.unique(h, return_inverse=True)
         out = np.full(len(own), -1, np.int64)
-        for s, at in self._by_shard(own, self.model.word_bits):
-            if s in self.model.first:
-                keys, _ = self._map("word", s)
+        for s, at in self._by_shard(own):
+            keys, _ = self._file(f"word-{s}", _halves)
+            if len(keys):
                 slot = np.minimum(np.searchsorted(keys, own[at]), len(keys) - 1)
-                out[at] = np.where(keys[slot] == own[at], self.model.first[s] + slot, -1)
+                out[at] = np.where(keys[slot] == own[at], self._file("first", _numbers)[s] + slot, -1)
         return out[back]
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         own, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(own))
-        for s, at in self._by_shard(own, self.model.pair_bits):
-            if s in self.model.pairs:
-                found, counts = self._map("pair", s)
+        for s, at in self._by_shard(own):
+            found, counts = self._file(f"pair-{s}", _halves)
+            if len(found):
                 slot = np.minimum(np.searchsorted(found, own[at]), len(found) - 1)
                 out[at] = np.where(found[slot] == own[at], counts[slot], 0)
         return out[back]
@@ -181,7 +183,7 @@ class Reader:
         out = np.zeros((6, len(own)))
         for r in np.unique(own[own >= 0] // self.model.span).tolist():
             at = np.flatnonzero((own >= r * self.model.span) & (own < (r + 1) * self.model.span))
-            out[:, at] = self._map("range", r)[:, own[at] - r * self.model.span]
+            out[:, at] = self._file(f"range-{r}", _sums_of)[:, own[at] - r * self.model.span]
         return out[:, back]
 
 
@@ -238,18 +240,18 @@ def _store_pairs(model: Model):
 
 
 def _store_range(model: Model):
-    starts = sorted((first, shard) for shard, first in model.first.items())
-
     def store(part: pa.Table) -> pa.Table:
+        files = Held()
+        starts = files.get(f"{model.home}/first", _numbers)  # one more than there are shards; an empty shard begins where the next does
         r = part.column("range")[0].as_py()
         low = r * model.span
         size = min(model.span, model.words + 1 - low)
         out = np.zeros((6, size))
-        for k, (first, shard) in enumerate(starts):
-            last = starts[k + 1][0] if k + 1 < len(starts) else model.words
+        for shard in range(max(0, int(np.searchsorted(starts, low, "right")) - 1), int(np.searchsorted(starts, low + size))):
+            first, last = int(starts[shard]), int(starts[shard + 1]) if shard + 1 < len(starts) else model.words
             a, b = max(first, low), min(last, low + size)
             if a < b:
-                out[0, a - low : b - low] = _halves(f"{model.home}/word-{shard}")[1][a - first : b - first]
+                out[0, a - low : b - low] = files.get(f"{model.home}/word-{shard}", _halves)[1][a - first : b - first]
         for kind, keys, sums in zip(*(part.column(c).to_pylist() for c in ("kind", "keys", "sums"))):
             own = np.cumsum(unpack(keys), dtype=np.uint64).astype(np.int64)  # from the start of the range
             rows = [1] if kind else [2, 3, 4, 5]
@@ -270,31 +272,33 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def train(texts_of: DataFrame, span: int = RANGE) -> Model:
-    """Counts the column ``text`` of all rows; null is empty."""
+    """Counts the column ``text`` of all rows, whole texts of any length; null is empty, and counts its end. Rows that repeat are counted each time. An empty table gives a model
+    of no words, under which every text scores 0. Other columns are not read, whatever their names.
+    """
     spark = texts_of.sparkSession
     size = texts_of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / SHARD_TOKENS)))))
     home = new_dir(spark, "lm")
     rows = "shard long, keys binary, counts binary"
     source = texts_of.select("text")
-    words = mapped(source, _count(_word_keys, bits), rows).groupBy("shard").applyInArrow(_store(home, "word"), "shard long, many long, total long").collect()
-    first, at = {}, 0
-    for r in sorted(words, key=lambda r: r.shard):
-        first[r.shard], at = at, at + r.many
-    if at >= 1 << 32:
+    words = mapped(source, _count(_word_keys, bits), rows).groupBy("shard").applyInArrow(_store(home, "word"), "shard long, many long, total long").toArrow()
+    many = np.zeros(1 << bits, np.int64)  # three numbers a shard of 2^21 tokens come to the driver
+    many[np.asarray(words.column("shard"))] = np.asarray(words.column("many"))
+    first = np.append(0, np.cumsum(many))
+    if first[-1] >= 1 << 32:
         raise ValueError("the vocabulary is beyond 2^32 words: pairs of word numbers no longer fit in 64 bits")
-    model = Model(home, bits, first, at, sum(r.total for r in words), bits, span=span)
-    if not at:
+    model = Model(home, bits, int(first[-1]), int(np.asarray(words.column("total")).sum()), span=span)
+    if not model.words:
         return model
+    put_file(f"{home}/first", first.tobytes())
     out = "range long, kind int, keys binary, sums binary, shard long, of_counts array<long>"
     found = mapped(source, _count(_pair_keys(model), bits), rows).groupBy("shard").applyInArrow(_store_pairs(model), out)
     found = stash(found, "lm-sums")
-    shards = found.where("shard is not null").select("shard", "of_counts").collect()
-    ranges = found.where("range is not null").select("range", "kind", "keys", "sums").groupBy("range").applyInArrow(_store_range(model), "range long, types long, n array<long>").collect()
-    model.pairs = frozenset(r.shard for r in shards)
-    n_pair, n_type = (np.sum([r[k] for r in x], axis=0).tolist() for x, k in ((shards, "of_counts"), (ranges, "n")))
+    ranges = found.where("range is not null").select("range", "kind", "keys", "sums").groupBy("range").applyInArrow(_store_range(model), "range long, types long, n array<long>")
+    added = lambda name, many: [F.sum(F.get(name, F.lit(k))).alias(f"n{k}") for k in range(many)]
+    *n_type, model.types = (x or 0 for x in ranges.agg(*added("n", 5), F.sum("types")).first())
+    n_pair = [x or 0 for x in found.where("shard is not null").agg(*added("of_counts", 4)).first()]
     model.discounts = discounts(n_type), discounts(n_pair)
-    model.types = sum(r.types for r in ranges)
     d = model.discounts[0]
     model.rest = (d[0] * n_type[0] + d[1] * n_type[1] + d[2] * n_type[4]) / model.types
     return model
@@ -327,7 +331,11 @@ ADDED = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """Adds to the columns ``keep`` of every row the figures of its ``text``; scores are log10 probabilities, ends included."""
+    """Adds to the columns ``keep`` of every row the figures of its ``text``; scores are log10 probabilities, ends included.
+
+    A null text is empty: it has its end as its one token. Rows that repeat get equal figures; an empty table gives an empty result.
+    ``keep`` must not name the columns that are added; all others may have any name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_file, mapped, new_dir, put_file, release, remove, slices, stash, texts
+from .common import Held, fresh, mapped, new_dir, put_file, release, remove, slices, stash, texts
 
 #: Sketch rows, cells for each expected window, cells in a merged file. A table of fewer cells has one file, of a power of two.
 ROWS, CELLS_PER_WINDOW, SHARD_BITS = 2, 5, 24
@@ -167,11 +167,15 @@ def _merge(home: str, bits: int):
     return merge
 
 
+def _bytes(data: memoryview) -> np.ndarray:
+    return np.frombuffer(data, np.uint8)
+
+
 class Sketch:
-    """The merged bit files, mapped as they are needed."""
+    """The merged bit files, mapped as they are needed, and let go when they were not used for long."""
 
     def __init__(self, home: str, size: tuple[int, int]):
-        self.home, self.size, self.maps = home, size, {}
+        self.home, self.size, self.files = home, size, Held()
 
     def twice(self, key: np.ndarray) -> np.ndarray:
         """Positions in ``key`` whose cells are all counted twice or more."""
@@ -183,10 +187,9 @@ class Sketch:
             edges = _edges(cells, self.size)
             for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                 if a < b:
-                    if (row, shard) not in self.maps:
-                        self.maps[row, shard] = np.frombuffer(map_file(f"{self.home}/{row}-{shard}"), np.uint8)
+                    bits = self.files.get(f"{self.home}/{row}-{shard}", _bytes)
                     low = cells[a:b] & np.uint64((1 << self.size[1]) - 1)
-                    kept[order[a:b]] = self.maps[row, shard][low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1
+                    kept[order[a:b]] = bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8) & 1
             at = at[kept]
         return at
 

@@ -110,6 +110,25 @@ def test_lm(spark, docs):
     assert {r.score for r in ngram_lm.score(docs, empty, ["doc_id"]).collect()} == {0.0}
 
 
+def test_lm_of_null_ids_and_repeats(spark):
+    table = [(1, "a b a"), (1, "a b a"), (None, "a c"), (None, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumn("held_out", ngram_lm.held_out(F.col("doc_id")))
+    found = ngram_lm.score(docs, ngram_lm.train(docs), ["doc_id", "held_out"]).collect()
+    plain = ngram_lm.brute_force(list(enumerate(t for _, t in table)), set(range(4)))
+    assert sorted((tuple(r)[2:5], round(r.score, 9)) for r in found) == sorted((x[:3], round(x[4], 9)) for x in plain.values()) and not any(r.held_out for r in found if r.doc_id is None)
+    assert ngram_lm.score(docs.limit(0), ngram_lm.train(docs), ["doc_id"]).count() == 0
+
+
+def test_held_files_are_let_go(tmp_path):
+    from postmill.llm import common
+
+    for k in range(6):
+        common.put_file(f"file://{tmp_path}/{k}", bytes([k]) * 10)
+    files = common.Held(files=3)
+    assert [bytes(files.get(f"file://{tmp_path}/{k}", bytes))[:1] for k in (0, 1, 2, 3, 1, 4, 5, 0)] == [bytes([k]) for k in (0, 1, 2, 3, 1, 4, 5, 0)]
+    assert list(files.own) == [f"file://{tmp_path}/{k}" for k in (4, 5, 0)] and files.get(f"file://{tmp_path}/none", bytes) == b""
+
+
 def test_packing():
     for x in (np.empty(0, np.uint64), np.array([0, 1, 2**63], np.uint64)):
         assert (ngram_lm.unpack(ngram_lm.pack(x)) == x).all()
