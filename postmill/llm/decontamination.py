@@ -252,6 +252,27 @@ def op5_decontamination(spark, sf_dir):
     )
 
 
+_OWN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _runs(n: int, table: str) -> str:
+    """Runs of ``n`` words of a text, with their start."""
+    return f"SELECT id, i, {n} AS n, string_agg(word, ' ') OVER ahead AS own, count(*) OVER ahead AS many FROM {table} WINDOW ahead AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+
+
+#: The same rows by runs of 1 to 10 words of all texts.
+OP5_SQL = rf"""
+WITH b AS (SELECT item_id::VARCHAR AS id, {_OWN} AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL), d AS (SELECT doc_id AS id, {_OWN} AS t FROM documents),
+bw AS (SELECT id, least(len(t), 10) AS size, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM b), dw AS (SELECT id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM d),
+bs AS ({' UNION ALL '.join(f"SELECT id, n, own FROM ({_runs(n, f'(SELECT * FROM bw WHERE size = {n})')}) WHERE many = n" for n in range(1, 11))}),
+ds AS ({' UNION ALL '.join(f"SELECT id, i, n, own FROM ({_runs(n, f'(SELECT * FROM dw WHERE {n} IN (SELECT size FROM bw))')}) WHERE many = n" for n in range(1, 11))}),
+m AS (SELECT ds.id, ds.i, ds.n, bs.id AS item FROM ds JOIN bs USING (n, own)),
+h AS (SELECT id, count(DISTINCT place) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS place FROM m) GROUP BY id), x AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY id)
+SELECT d.id AS doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (id) LEFT JOIN x USING (id)
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], window: int = 10) -> list[tuple]:
     """The rows of op5 for small inputs, window by window."""
     windows = []

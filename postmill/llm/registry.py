@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from .chat import op10_chat
-from .decontamination import op5_decontamination
+from .decontamination import OP5_SQL, op5_decontamination
 from .html_text import op8_html
 from .language_id import op7_language_id
 from .merkle import op9_merkle
 from .mixing import OP4_SQL, op4_mixing
 from .ngram_lm import op2_lm
 from .simhash import op1_simhash
-from .substring_dedup import op6_substring_dedup
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .url_filter import op3_url_filter
 
 QUERIES = {
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_chat": op10_chat,
 }
 #: The others have none: SQL can't express them or is too slow on whole tables; tests hold them against brute force.
-SQL = {"op4_mixing": OP4_SQL}
+SQL = {"op4_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_substring_dedup": OP6_SQL}

@@ -310,6 +310,18 @@ def op6_substring_dedup(spark, sf_dir):
     return dedup_substrings(docs, keep=["doc_id"], as_digest=True).withColumnRenamed("kept", "kept_sha256")
 
 
+#: The same rows by windows over all words: equal windows, the first of them by document and start, and the words that later ones cover.
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+p AS (SELECT doc_id, unnest(t) AS word, generate_subscripts(t, 1) AS i FROM w),
+k AS (SELECT *, string_agg(word, ' ') OVER ahead AS own, count(*) OVER ahead AS many FROM p WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY own ORDER BY doc_id, i) > 1 AS later FROM k WHERE many = 20),
+c AS (SELECT doc_id, i, word, coalesce(bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN r USING (doc_id, i)),
+g AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, len(t)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN g USING (doc_id)
+"""
+
+
 def brute_force(docs: list[tuple[int, str | None]], window: int = 20) -> list[tuple]:
     """The rows of op6 for small inputs with distinct ids."""
     seen, out = set(), []
