@@ -2,7 +2,7 @@
 
 Lines are paragraphs, runs of them between blank lines are sections, and a paragraph is cut into pieces, the leaves, where its own bytes say so,
 so that an insertion changes the leaf that it is in and no other. A node's digest is over its children's. A fingerprint holds the tree: the root's digest, then of each
-node, in order, how many children it has and its digest. Equal roots mean equal texts; going down only into branches whose digests
+node above the leaves, in order, how many children it has and its digest, and of each leaf its digest. Equal roots mean equal texts; going down only into branches whose digests
 differ finds what was edited and how alike two texts are, from their fingerprints alone.
 """
 
@@ -92,24 +92,22 @@ def _number(n: int) -> bytes:
 
 
 def encode(root: tuple[bytes, list]) -> bytes:
-    parts: list[bytes] = []
-
-    def add(node: Node) -> None:
-        if isinstance(node, bytes):
-            parts.append(b"\0" + node)
-        else:
-            parts.append(_number(len(node[1])) + node[0])
-            for child in node[1]:
-                add(child)
-
-    add(root)
+    """Digests in order, each after the number of its children, but for the leaves of a paragraph, whose number is known."""
+    parts = [_number(len(root[1])), root[0]]
+    for digest, paragraphs in root[1]:
+        parts += (_number(len(paragraphs)), digest)
+        for node in paragraphs:
+            if isinstance(node, bytes):
+                parts += (b"\0", node)
+            else:
+                parts += (_number(len(node[1])), node[0], *node[1])
     return b"".join(parts)
 
 
 def decode(fingerprint: bytes) -> tuple[bytes, list]:
     at = 0
 
-    def node(size: int) -> Node:
+    def number() -> int:
         nonlocal at
         many = shift = 0
         while True:
@@ -118,13 +116,23 @@ def decode(fingerprint: bytes) -> tuple[bytes, list]:
             many |= (byte & 127) << shift
             shift += 7
             if byte < 128:
-                break
-        size = size if many else LEAF
-        digest = fingerprint[at : at + size]
+                return many
+
+    def digest(size: int) -> bytes:
+        nonlocal at
         at += size
-        return (digest, [node(INNER) for _ in range(many)]) if many else digest
+        return fingerprint[at - size : at]
+
+    def paragraph() -> Node:
+        many = number()
+        return (digest(INNER), [digest(LEAF) for _ in range(many)]) if many else digest(LEAF)
+
+    def section() -> Node:
+        many = number()
+        return digest(INNER), [paragraph() for _ in range(many)]
 
-    return node(ROOT)
+    many = number()
+    return digest(ROOT), [section() for _ in range(many)]
 
 
 def fingerprint(text: bytes) -> bytes:
