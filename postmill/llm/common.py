@@ -150,14 +150,16 @@ class Held:
     def __init__(self, limit: int = 256 << 20, files: int = 1 << 12):
         self.limit, self.files, self.own, self.bytes = limit, files, OrderedDict(), 0
 
-    def get(self, uri: str, parse: Callable[[memoryview], object]):
-        """The parsed file, or what ``parse`` makes of no bytes where there is none."""
+    def get(self, uri: str, parse: Callable[[memoryview], object], optional: bool = False):
+        """The parsed file; where there is none, an error, or for an ``optional`` one what ``parse`` makes of no bytes."""
         if uri in self.own:
             self.own.move_to_end(uri)
             return self.own[uri][0]
         try:
             data = map_file(uri)
         except FileNotFoundError:
+            if not optional:
+                raise
             data = memoryview(b"")
         size = 0 if local_path(uri) else len(data)
         self.own[uri] = parse(data), size

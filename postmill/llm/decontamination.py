@@ -159,7 +159,7 @@ def _counter(uri: str, parts: int, lengths: list[int]):
             for n in lengths:
                 _, keys = shingles(h, room, n)
                 for part, own in by_part(keys, parts):
-                    known, own = files.get(f"{uri}/keys-{part}", lambda x: np.frombuffer(x, np.int64)), keys[own]
+                    known, own = files.get(f"{uri}/keys-{part}", lambda x: np.frombuffer(x, np.int64), True), keys[own]
                     if len(known):
                         held.append(own[known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own])
                         many += len(held[-1])
@@ -223,7 +223,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, shing
             for n in lengths:
                 at, keys = shingles(h, room, n)
                 for part, own in by_part(keys, parts):
-                    index = files.get(f"{uri}/index-{part}", lambda x: Index(x, window))
+                    index = files.get(f"{uri}/index-{part}", lambda x: Index(x, window), True)
                     start, w = index.hits(keys[own], at[own], h, room, begin)
                     if len(w):
                         np.add.at(edge, start, 1)

@@ -145,8 +145,8 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.files = model, Held()
 
-    def _file(self, name: str, parse):
-        return self.files.get(f"{self.model.home}/{name}", parse)
+    def _file(self, name: str, parse, optional: bool = False):
+        return self.files.get(f"{self.model.home}/{name}", parse, optional)
 
     def _by_shard(self, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         shard = shard_of(keys, self.model.bits)
@@ -161,7 +161,7 @@ class Reader:
         own, back = np.unique(h, return_inverse=True)
         out = np.full(len(own), -1, np.int64)
         for s, at in self._by_shard(own):
-            keys, _ = self._file(f"word-{s}", _halves)
+            keys, _ = self._file(f"word-{s}", _halves, True)
             if len(keys):
                 slot = np.minimum(np.searchsorted(keys, own[at]), len(keys) - 1)
                 out[at] = np.where(keys[slot] == own[at], self._file("first", _numbers)[s] + slot, -1)
@@ -171,7 +171,7 @@ class Reader:
         own, back = np.unique(keys, return_inverse=True)
         out = np.zeros(len(own))
         for s, at in self._by_shard(own):
-            found, counts = self._file(f"pair-{s}", _halves)
+            found, counts = self._file(f"pair-{s}", _halves, True)
             if len(found):
                 slot = np.minimum(np.searchsorted(found, own[at]), len(found) - 1)
                 out[at] = np.where(found[slot] == own[at], counts[slot], 0)

@@ -126,7 +126,9 @@ def test_held_files_are_let_go(tmp_path):
         common.put_file(f"file://{tmp_path}/{k}", bytes([k]) * 10)
     files = common.Held(files=3)
     assert [bytes(files.get(f"file://{tmp_path}/{k}", bytes))[:1] for k in (0, 1, 2, 3, 1, 4, 5, 0)] == [bytes([k]) for k in (0, 1, 2, 3, 1, 4, 5, 0)]
-    assert list(files.own) == [f"file://{tmp_path}/{k}" for k in (4, 5, 0)] and files.get(f"file://{tmp_path}/none", bytes) == b""
+    assert list(files.own) == [f"file://{tmp_path}/{k}" for k in (4, 5, 0)] and files.get(f"file://{tmp_path}/none", bytes, True) == b""
+    with pytest.raises(FileNotFoundError):
+        files.get(f"file://{tmp_path}/lost", bytes)
 
 
 def test_packing():
