@@ -202,7 +202,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), l
 
 @query(rf"""
 WITH w AS (SELECT doc_id, text, {_TOKENS} AS t FROM documents), c AS (SELECT *, len(t) AS n, map_values(list_aggregate(t, 'histogram')) AS f FROM w),
-g AS (SELECT *, len(f) AS v, list_zip(t[1:n - 1], t[2:n]) AS two, list_zip(t[1:n - 2], t[2:n - 1], t[3:n]) AS three FROM c)
+g AS (SELECT *, len(f) AS v, list_zip(t[1:greatest(n - 1, 0)], t[2:n]) AS two, list_zip(t[1:greatest(n - 2, 0)], t[2:greatest(n - 1, 0)], t[3:n]) AS three FROM c)
 SELECT doc_id, n AS token_count, coalesce(v, 0) AS type_count, round(coalesce(len(list_filter(f, lambda x: x = 1)) / nullif(v, 0), 0), 4) AS hapax_rate, round(coalesce(len(list_filter(f, lambda x: x = 2)) / nullif(v, 0), 0), 4) AS dis_legomena_rate,
  round(coalesce(v / sqrt(nullif(n, 0)), 0), 4) AS richness_index, round(coalesce(10000 * (list_sum(list_transform(f, lambda x: x * x)) - n)::DOUBLE / nullif(n::DOUBLE * n, 0), 0), 4) AS yule_k,
  round(coalesce(list_sum(list_transform(f, lambda x: -(x::DOUBLE / n) * log2(x::DOUBLE / n))), 0), 4) AS next_token_entropy, round(len(list_distinct(two)) / greatest(len(two), 1), 4) AS distinct_2, round(len(list_distinct(three)) / greatest(len(three), 1), 4) AS distinct_3,
