@@ -462,4 +462,4 @@ def test_url_trees_on_held_out_urls(spark):
 
 
 def test_registry():
-    assert {f"op{k}" for k in range(1, 11)} == {q.split("_")[0] for q in QUERIES} and set(SQL) <= set(QUERIES)
+    assert {f"op{k}" for k in range(1, 14)} == {q.split("_")[0] for q in QUERIES} and set(SQL) <= set(QUERIES)
