@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import lists, text
+from ..functions import automaton, lists, text
 
 EVIDENCE = 4
+RULES = {"no sponsorship": lists.NO_SPONSORSHIP.removeprefix("(?i)"), "citizenship": lists.CITIZENSHIP.removeprefix("(?i)"), "clearance": lists.CLEARANCE.removeprefix("(?i)")}
 
 
 def sentences(plain: Column) -> Column:
     return F.split(plain, r"(?<=[.!?])\s+|\n+")
 
 
+def readable(raw: Column) -> Column:
+    return F.regexp_replace(text.strip_tags(raw), r"(?i)\bu\.s\.", "US")
+
+
+def scanned(rows: DataFrame, raw: Column, name: str = "said", limit: int | None = None) -> DataFrame:
+    """Adds ``evidence`` as ``name``: one pass of an automaton tells which texts say anything at all, and only these are read by sentence."""
+    named = rows.withColumn("_raw", raw)
+    seen = named.withColumn("_seen", automaton.first_matches((readable(F.col("_raw")) if limit is None else F.left(readable(F.col("_raw")), F.lit(limit)), RULES)))
+    none = F.struct(F.lit(None).cast("string").alias("visa_sponsorship"), F.lit(False).alias("citizenship_required"), F.lit(None).cast("string").alias("security_clearance"), F.array().cast("array<string>").alias("evidence"))
+    return seen.withColumn(name, F.when(F.size("_seen") > 0, evidence(F.col("_raw"), limit)).otherwise(none)).drop("_raw", "_seen")
+
+
 def evidence(raw: Column, limit: int | None = 20_000) -> Column:
     """``visa_sponsorship, citizenship_required, security_clearance, evidence`` of a text. Sentences are cut only in texts that match as a whole.
 
@@ -32,9 +45,13 @@ def evidence(raw: Column, limit: int | None = 20_000) -> Column:
     ))
 
 
+def contractor(company: Column) -> Column:
+    """What tells that a company is a listed defence contractor; else null."""
+    name = text.squeeze(F.lower(text.empty(company)))
+    return F.when(name.isin(lists.DEFENCE_COMPANIES), F.concat(F.lit("defense contractor ("), company, F.lit(")")))
+
+
 def defence(title: Column, description: Column, company: Column) -> Column:
     """What tells of defence work: a listed company, or the words that match; else null."""
-    name = text.squeeze(F.lower(text.empty(company)))
     hay = F.left(F.concat(text.empty(title), F.lit(" "), text.strip_tags(description)), F.lit(20_000))
-    listed = F.when(name.isin(lists.DEFENCE_COMPANIES), F.concat(F.lit("defense contractor ("), company, F.lit(")")))
-    return F.coalesce(listed, F.nullif(F.regexp_extract(hay, lists.DEFENCE_WORDS, 0), F.lit("")))
+    return F.coalesce(contractor(company), F.nullif(F.regexp_extract(hay, lists.DEFENCE_WORDS, 0), F.lit("")))
