@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 #: Strings that a part of a pattern may stand for before it is left open.
 MOST = 512
 TOKEN = re.compile(r"[a-z0-9+#]+")
+SENTENCE = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+|\n+")
 
 
 def _spelled(op, arg) -> set[str] | None:
@@ -92,11 +93,13 @@ class Scanner:
         if owners:
             self.words.make_automaton()
 
+    def likely(self, text: str) -> set[str]:
+        """The patterns of which a word occurs."""
+        return set().union(*(names for _, names in self.words.iter(text.lower()))) if self.patterns else set()
+
     def hits(self, text: str | None) -> dict[str, str]:
         """The first match of each pattern that matches."""
-        if not text or not self.patterns:
-            return {}
-        likely = set().union(*(names for _, names in self.words.iter(text.lower())))
+        likely = self.likely(text) if text else ()
         return {name: m[0] for name, p in self.patterns.items() if name in likely and (m := p.search(text))}
 
 
@@ -148,6 +151,21 @@ def first_matches(*fields: tuple[Column, dict[str, str]]) -> Column:
     return found(*(c for c, _ in fields))
 
 
+def matching_sentences(text: Column, rules: dict[str, str]) -> Column:
+    """The sentences of a text in which a pattern matches, with the names of those that do."""
+    own = tuple(rules.items())
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("s", T.StringType()), T.StructField("rules", T.ArrayType(T.StringType()))])))
+    def found(column: pa.Array) -> pa.Array:
+        scan, out = scanner(own), []
+        for text in column.to_pylist():
+            parts = SENTENCE.split(text) if text and scan.likely(text) else []
+            out.append([{"s": s, "rules": list(hit)} for s in parts if (hit := scan.hits(s))])
+        return pa.array(out, pa.list_(pa.struct([("s", pa.string()), ("rules", pa.list_(pa.string()))])))
+
+    return found(text)
+
+
 def mentions(text: Column, words: Iterable[str], edged: bool = False) -> Column:
     """The words of a fixed list that a lower-cased text holds, in order."""
     own = tuple(sorted(words))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import automaton, lists, text
@@ -19,12 +19,20 @@ def readable(raw: Column) -> Column:
     return F.regexp_replace(text.strip_tags(raw), r"(?i)\bu\.s\.", "US")
 
 
-def scanned(rows: DataFrame, raw: Column, name: str = "said", limit: int | None = None) -> DataFrame:
-    """Adds ``evidence`` as ``name``: one pass of an automaton tells which texts say anything at all, and only these are read by sentence."""
-    named = rows.withColumn("_raw", raw)
-    seen = named.withColumn("_seen", automaton.first_matches((readable(F.col("_raw")) if limit is None else F.left(readable(F.col("_raw")), F.lit(limit)), RULES)))
-    none = F.struct(F.lit(None).cast("string").alias("visa_sponsorship"), F.lit(False).alias("citizenship_required"), F.lit(None).cast("string").alias("security_clearance"), F.array().cast("array<string>").alias("evidence"))
-    return seen.withColumn(name, F.when(F.size("_seen") > 0, evidence(F.col("_raw"), limit)).otherwise(none)).drop("_raw", "_seen")
+def told(raw: Column, limit: int | None = None) -> Column:
+    """``evidence`` by one pass of an automaton; only sentences of texts that hold a word of some rule are looked at."""
+    plain = readable(raw) if limit is None else F.left(readable(raw), F.lit(limit))
+    return text.let(automaton.matching_sentences(plain, RULES), _summary)
+
+
+def _summary(own: Column) -> Column:
+    says = lambda rule: F.exists(own, lambda x: F.array_contains(x["rules"], rule))
+    no, citizenship, clearance = RULES
+    return F.struct(F.when(says(no), "no").alias("visa_sponsorship"), says(citizenship).alias("citizenship_required"), F.when(says(clearance), "required").alias("security_clearance"), F.slice(_snippets(F.transform(own, lambda x: x["s"])), 1, EVIDENCE).alias("evidence"))
+
+
+def _snippets(own: Column) -> Column:
+    return F.array_distinct(F.filter(F.transform(own, lambda s: F.rtrim(F.left(text.squeeze(s), F.lit(240)))), lambda s: s != ""))
 
 
 def evidence(raw: Column, limit: int | None = 20_000) -> Column:
@@ -38,10 +46,9 @@ def evidence(raw: Column, limit: int | None = 20_000) -> Column:
     every = [lists.NO_SPONSORSHIP, lists.CITIZENSHIP, lists.CLEARANCE]
     any_of = lambda s: has(s, every[0]) | has(s, every[1]) | has(s, every[2])
     said = text.let(plain, lambda t: F.when(any_of(t), F.filter(sentences(t), any_of)).otherwise(F.array().cast("array<string>")))
-    snippets = lambda own: F.array_distinct(F.filter(F.transform(own, lambda s: F.rtrim(F.left(text.squeeze(s), F.lit(240)))), lambda s: s != ""))
     return text.let(said, lambda own: F.struct(
         F.when(F.exists(own, lambda s: has(s, every[0])), "no").alias("visa_sponsorship"), F.exists(own, lambda s: has(s, every[1])).alias("citizenship_required"),
-        F.when(F.exists(own, lambda s: has(s, every[2])), "required").alias("security_clearance"), F.slice(snippets(own), 1, EVIDENCE).alias("evidence"),
+        F.when(F.exists(own, lambda s: has(s, every[2])), "required").alias("security_clearance"), F.slice(_snippets(own), 1, EVIDENCE).alias("evidence"),
     ))
 
 

@@ -226,19 +226,18 @@ def with_facts(postings: DataFrame, wanted: Wanted, limit: int | None = None) ->
     raw = F.concat_ws(" ", F.nullif("work_auth_required", F.lit("")), F.nullif("restrictions", F.lit("")), F.nullif("description", F.lit("")))
     hay = F.concat(text.empty(c("title")), F.lit(" "), text.empty(c("description")))
     rows = postings.withColumns({
-        "_name": F.lower(F.trim(text.empty(c("title")))), "_country": trimmed("country"), "_place": trimmed("location_raw"), "_raw": raw,
-        "_hits": automaton.first_matches((c("title"), TITLE_RULES), (trimmed("location_raw"), PLACE_RULES), (cut(eligibility.readable(raw)), eligibility.RULES), (cut(F.concat(text.empty(c("title")), F.lit(" "), text.strip_tags(c("description")))), DEFENCE_RULE)),
+        "_name": F.lower(F.trim(text.empty(c("title")))), "_country": trimmed("country"), "_place": trimmed("location_raw"), "_said": eligibility.told(raw, limit),
+        "_hits": automaton.first_matches((c("title"), TITLE_RULES), (trimmed("location_raw"), PLACE_RULES), (cut(F.concat(text.empty(c("title")), F.lit(" "), text.strip_tags(c("description")))), DEFENCE_RULE)),
         "_interests": automaton.mentions(F.trim(F.lower(hay)), wanted.interests), "_interest_words": automaton.tokens_among(F.lower(hay), wanted.words), "_named": automaton.mentions(F.lower(text.empty(c("description"))), wanted.names, True),
         "_listed": F.transform(F.filter(F.coalesce("skills", F.array().cast("array<string>")), lambda s: s != ""), lambda s: F.struct(F.trim(s).alias("raw"), text.canonical_skill(s).alias("skill"), F.lower(F.trim(s)).alias("low"))),
     })
     years = F.when(F.contains(F.lower(text.empty(c("description"))), F.lit("year")), years_asked(c("description")))
-    said = F.when(F.expr(" OR ".join(f"map_contains_key(_hits, '{r}')" for r in eligibility.RULES)), eligibility.evidence(c("_raw"), limit))
     rows = rows.withColumns({
         "_words": F.expr("regexp_extract_all(_name, '([a-z0-9+#]+)', 1)"), "_shown": F.expr(f"get({_among('level', list(lists.TITLE_SENIORITY))}, 0)"), "_families": F.expr(_among("family", list(lists.ROLE_FAMILIES))), "_us": F.expr(_us()),
-        "_said": said, "_asked": years, "_firsts": F.expr("filter(_listed, (s, k) -> s.skill <> '' AND array_position(transform(_listed, x -> x.skill), s.skill) = k + 1)"),
+        "_asked": years, "_firsts": F.expr("filter(_listed, (s, k) -> s.skill <> '' AND array_position(transform(_listed, x -> x.skill), s.skill) = k + 1)"),
         "_defence": F.when(~F.coalesce("citizenship_required", F.lit(False)), F.coalesce(eligibility.contractor(c("company")), F.expr("try_element_at(_hits, 'defence')"))),
     })
-    return rows.drop("_country", "_place", "_raw")
+    return rows.drop("_country", "_place")
 
 
 def _array(*parts: str) -> str:

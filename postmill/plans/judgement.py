@@ -84,7 +84,7 @@ def eligibility_scan(spark, d):
     """Whole texts, to some of which a statement is added."""
     k = F.col("doc_id") % 4
     added = F.when(k == 1, "Note. We cannot offer visa sponsorship here. ").when(k == 2, "Must be a U.S. citizen. Active security clearance required!").when(k == 3, "Export control rules apply.").otherwise("")
-    return eligibility.scanned(read(spark, d, "documents"), F.concat_ws(" ", "text", added), "s").select("doc_id", "s.visa_sponsorship", "s.citizenship_required", "s.security_clearance", F.size("s.evidence").alias("sentences"))
+    return read(spark, d, "documents").select("doc_id", eligibility.told(F.concat_ws(" ", "text", added)).alias("s")).select("doc_id", "s.visa_sponsorship", "s.citizenship_required", "s.security_clearance", F.size("s.evidence").alias("sentences"))
 
 
 @query("""

@@ -56,8 +56,8 @@ ENUMS = {
 }
 
 
-def as_postings(rows: DataFrame) -> DataFrame:
-    """The canonical columns with their types: missing ones are null, empty strings null, nulls read as their defaults."""
+def as_postings(rows: DataFrame, *more: str) -> DataFrame:
+    """The canonical columns with their types, and ``more`` as they are: missing ones are null, empty strings null, nulls read as their defaults."""
     out: list[Column] = []
     for field in POSTING.fields:
         c = F.col(field.name).cast(field.dataType) if field.name in rows.columns else F.lit(None).cast(field.dataType)
@@ -72,4 +72,4 @@ def as_postings(rows: DataFrame) -> DataFrame:
         elif field.name in ("skills", "eligibility_evidence"):
             c = F.coalesce(c, F.array().cast("array<string>"))
         out.append(c.alias(field.name))
-    return rows.select(*out)
+    return rows.select(*out, *more)
