@@ -45,19 +45,22 @@ def _arrow(kind) -> pa.DataType:
 
 def _wanted(rows: DataFrame) -> Wanted:
     """The words that these profiles look for, once each."""
-    found = {}
-    for name, words in (("interests", F.explode("interests.name")), ("words", F.explode(F.flatten("interests.words"))), ("names", F.explode(F.flatten("mentions.names")))):
-        got = rows.select(words.alias("w")).distinct().limit(MOST_WORDS + 1).collect()
-        if len(got) > MOST_WORDS:
-            raise ValueError(f"these profiles look for over {MOST_WORDS} distinct {name}: judge them in parts")
-        found[name] = {r.w for r in got}
-    return Wanted(**found)
+    kinds = {"interests": F.col("interests.name"), "words": F.flatten("interests.words"), "names": F.flatten("mentions.names")}
+    every = F.explode(F.concat(*[F.transform(words, _kind(kind)) for kind, words in kinds.items()])).alias("x")
+    got = rows.select(every).distinct().limit(MOST_WORDS + 1).collect()
+    if len(got) > MOST_WORDS:
+        raise ValueError(f"these profiles look for over {MOST_WORDS} distinct words: judge them in parts")
+    return Wanted(**{kind: {r.x.w for r in got if r.x.kind == kind} for kind in kinds})
+
+
+def _kind(kind: str):
+    return lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("w"))
 
 
 def _runs(value: Column) -> Column:
     """All runs of one to four characters."""
-    every = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(value) - (n - 1), F.lit(1))), lambda k, n=n: F.substring(value, k, F.lit(n))) for n in range(1, 5)]
-    return F.array_distinct(F.filter(F.concat(*every), lambda x: x != ""))
+    pieces = lambda k: F.array(*[F.substring(value, k, F.lit(n)) for n in range(1, 5)])
+    return F.array_distinct(F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(value), F.lit(1))), pieces)), lambda x: x != ""))
 
 
 def _tellers(value: Column) -> Column:
@@ -99,7 +102,7 @@ def feeds(postings: DataFrame, profiles: DataFrame, least: float = 0.75, semanti
     """
     rows = compile_table(profiles).where("has_titles")
     roles = rows.select("id", F.explode("titles").alias("t")).select("id", F.col("t.name").alias("target"), F.col("t.words").alias("words"), F.col("t.families").alias("families"))
-    shown = spread(postings).select("title").distinct().withColumn("_hits", automaton.first_matches((F.col("title"), {f"family:{k}": v for k, v in lists.ROLE_FAMILIES.items()})))
+    shown = postings.select("title").distinct().withColumn("_hits", automaton.first_matches((F.col("title"), {f"family:{k}": v for k, v in lists.ROLE_FAMILIES.items()})))
     titles = shown.select(F.lower(F.trim(text.empty(F.col("title")))).alias("_name"), F.expr(_among("family", list(lists.ROLE_FAMILIES))).alias("_families")).distinct().withColumn("_words", F.expr("regexp_extract_all(_name, '([a-z0-9+#]+)', 1)"))
     fitting = titles_that_fit(titles, roles.drop("id").distinct(), least).join(roles.select("id", "target").distinct(), "target").select("_name", "id").distinct()
 

@@ -94,9 +94,12 @@ def years_asked(description: Column) -> Column:
     ]
 
     def found(plain: Column) -> Column:
-        by_degree = [F.transform(F.filter(F.transform(F.regexp_extract_all(plain, F.lit(rf"(?i)(?:{pattern})((?:(?!{any_degree})[\s\S]){{0,180}})"), 1), years), lambda n: n <= 30), lambda n, rank=rank: F.struct(F.lit(rank).alias("rank"), n.alias("years"))) for rank, pattern in DEGREES.items()]
+        def beside(rank: int, pattern: str) -> Column:
+            blocks = F.regexp_extract_all(plain, F.lit(rf"(?i)(?:{pattern})((?:(?!{any_degree})[\s\S]){{0,180}})"), 1)
+            return F.transform(F.filter(F.transform(blocks, years), lambda n: n <= 30), lambda n: F.struct(F.lit(rank).alias("rank"), n.alias("years")))
+
         said = F.filter(F.transform(F.flatten(F.array(*[F.regexp_extract_all(plain, F.lit("(?i)" + x), 1) for x in phrases])), lambda n: n.try_cast("int")), lambda n: n <= 30)
-        return F.when(_like(plain, r"\d\s*(?:\+|[-–—]\s*\d{1,2})?\s*years?\b"), F.struct(F.flatten(F.array(*by_degree)).alias("degrees"), F.array_max(said).alias("most")))
+        return F.when(_like(plain, r"\d\s*(?:\+|[-–—]\s*\d{1,2})?\s*years?\b"), F.struct(F.flatten(F.array(*[beside(*x) for x in DEGREES.items()])).alias("degrees"), F.array_max(said).alias("most")))
 
     return text.let(text.plain_text(description), found)
 
@@ -330,7 +333,8 @@ def judged(pairs: DataFrame, semantic: str | None = None) -> DataFrame:
         rows = rows.selectExpr("*", *[f"{v} AS {k}" for k, v in stage.items()])
     known = sum(w for k, w in WEIGHTS.items() if k != "semantic")
     near = f"{WEIGHTS['semantic']}D * greatest(0D, least(1D, _similar))"
-    rows = rows.withColumn("_fit", F.expr(f"CASE WHEN _similar IS NULL THEN _fit / {known}D ELSE (_fit + {near}) / ({known}D + {WEIGHTS['semantic']}D) END"))
+    fit = f"CASE WHEN _similar IS NULL THEN _fit / {known}D ELSE (_fit + {near}) / ({known}D + {WEIGHTS['semantic']}D) END"
+    rows = rows.withColumn("_fit", F.expr(f"round({fit}, 9)"))  # so that no bound hangs on the last bits of a sum
     for stage in RESULT:
         rows = rows.selectExpr("*", *[f"{v} AS {k}" for k, v in stage.items()])
     return rows.select(*[c for c in given if c not in VERDICT], *VERDICT)

@@ -157,10 +157,10 @@ c AS (SELECT *, CASE WHEN len(skills) = 0 THEN len(named) WHEN len(pskills) > 0
  CASE WHEN len(interests) = 0 THEN 0.5 WHEN len(list_filter(interests, lambda i: contains(hay, i))) > 0 THEN 1 ELSE list_max(list_transform(interests, lambda i: len(list_intersect(string_split(i, ' '), regexp_extract_all(hay, '[a-z0-9+#]+')))::DOUBLE / len(string_split(i, ' ')))) END AS ins,
  CASE WHEN rank IS NULL OR top IS NULL THEN 0.6 WHEN rank <= top THEN 1 WHEN rank = top + 1 THEN 0.5 ELSE 0 END AS sens, CASE WHEN remote_preference = 'any' THEN 1 WHEN remote_mode = 'unknown' THEN 0.5 WHEN remote_mode = remote_preference THEN 1 ELSE 0 END AS rems FROM m),
 w AS (SELECT *, len(skills) = 0 AND n < 2 AS thin, CASE WHEN (len(pskills) = 0 AND resume_text IS NULL) OR many = 0 THEN 0.5 WHEN many < 3 THEN 0.5 + (n::DOUBLE / many - 0.5) * (many / 3.0) ELSE n::DOUBLE / many END AS sks FROM c),
-z AS (SELECT *, (0.35 * sks + 0.25 * ts + 0.05 * ins + 0.10 * sens + 0.05 * rems + coalesce(0.20 * semantic, 0)) / (0.80 + CASE WHEN semantic IS NULL THEN 0 ELSE 0.20 END) AS fit, len(pskills) > 0 AND len(skills) > 0 AND n = 0 AS unmatched FROM w),
+z AS (SELECT *, round((0.35 * sks + 0.25 * ts + 0.05 * ins + 0.10 * sens + 0.05 * rems + coalesce(0.20 * semantic, 0)) / (0.80 + CASE WHEN semantic IS NULL THEN 0 ELSE 0.20 END), 9) AS fit, len(pskills) > 0 AND len(skills) > 0 AND n = 0 AS unmatched FROM w),
 v AS (SELECT *, {' OR '.join(f'({when})' for when, force, _ in _FLAG.values() if force)} AS forced, {' OR '.join(f'(({when}) AND {block})' for when, _, block in _FLAG.values() if block != 'false')} AS blocked, {' || '.join(f"CASE WHEN {when} THEN '{k} ' ELSE '' END" for k, (when, _, _) in _FLAG.items())} AS flags FROM z)
 """
-_OUT = "profile_id, job_id, CASE WHEN unmatched THEN 'reject' WHEN fit >= 0.6 AND NOT forced THEN 'apply' ELSE 'flag' END AS verdict, round(fit, 3) AS score, NOT unmatched AND fit >= 0.6 AND NOT blocked AS recommendable"
+_OUT = "profile_id, job_id, CASE WHEN unmatched THEN 'reject' WHEN fit >= 0.6 AND NOT forced THEN 'apply' ELSE 'flag' END AS verdict, round(fit::DECIMAL(18, 9), 3)::DOUBLE AS score, NOT unmatched AND fit >= 0.6 AND NOT blocked AS recommendable"
 
 
 @query(FEEDS_SQL + f"SELECT {_OUT}, CASE WHEN unmatched THEN 0 ELSE least(12, n) END::INT AS matched, least(8, g)::INT AS gaps, CASE WHEN unmatched THEN 1 ELSE len(string_split(trim(flags), ' ')) - (trim(flags) = '')::INT END::INT AS red_flags FROM v")
