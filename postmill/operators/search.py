@@ -59,7 +59,8 @@ def cosine(vector: Column, query: list[float]) -> Column:
 
 def similarity(vector: Column, query: list[float]) -> Column:
     """1 - distance / 2, between 0 and 1; a missing distance counts as 0.5."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (1 + cosine(vector, query)) / 2)), F.lit(0.5))
+    near = (1 + cosine(vector, query)) / 2
+    return let(near, lambda x: F.when(x.isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))))  # least and greatest pass over nulls
 
 
 def nearest(rows: DataFrame, key: str, vector: str, query: list[float], k: int) -> DataFrame:
@@ -129,7 +130,7 @@ def facets(rows: DataFrame, columns: list[str] = FACETS) -> DataFrame:
 
 
 def collapse_reposts(rows: DataFrame, keys: list[Column], source: str = "source", position: list[Column] | None = None) -> DataFrame:
-    """Keeps the most authoritative row of equal keys, the first of equals, with ``duplicate_count``, ``also_on`` and ``first_position``. Null keys are equal.
+    """Keeps the most authoritative row of equal keys, the first of equals, one of those equal in that too, with ``duplicate_count``, ``also_on`` and ``first_position``. Null keys are equal.
 
     ``position`` gives the order of rows. Keys are 128 bits of hash, so that long ones aren't moved; they are grouped with partial aggregates before the
     shuffle and joined back, so a key of very many rows needs no window and its join can be split.
@@ -144,7 +145,7 @@ def collapse_reposts(rows: DataFrame, keys: list[Column], source: str = "source"
         F.min("_best").alias("_best"), F.sum("_n").alias("_many"), F.min("_first").alias("first_position"), F.collect_list(F.struct(F.col("_s").alias("s"), F.col("_n").alias("n"))).alias("_counts")
     )
     best = groups.withColumnRenamed("_best", "_rank")
-    joined = named.join(best, [*own, "_rank"])
+    joined = named.join(best, [*own, "_rank"]).dropDuplicates(own)  # rows that are equal in rank and position, of which any one stays
     others = F.array_sort(F.transform(F.filter("_counts", lambda x: x["s"].isNotNull() & ((x["s"] != F.col(source)) | (x["n"] > 1))), lambda x: x["s"]))
     return joined.select(*rows.columns, (F.col("_many") - 1).alias("duplicate_count"), others.alias("also_on"), "first_position")
 

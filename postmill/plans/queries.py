@@ -341,7 +341,7 @@ def knn_topk(spark, d):
 
 @query("""
 WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 1)
-SELECT doc_id, coalesce(round(greatest(0, least(1, (1 + list_cosine_similarity(embedding::DOUBLE[], v)) / 2)), 6), 0.5) AS score FROM documents LEFT JOIN embeddings ON doc_id = vec_id, q""")
+SELECT doc_id, CASE WHEN embedding IS NULL THEN 0.5 ELSE round(greatest(0, least(1, (1 + list_cosine_similarity(embedding::DOUBLE[], v)) / 2)), 6) END AS score FROM documents LEFT JOIN embeddings ON doc_id = vec_id, q""")
 def similarity_scores(spark, d):
     vectors = read(spark, d, "embeddings")
     query = [float(x) for x in vectors.where("vec_id = 1").first().embedding]
@@ -391,12 +391,6 @@ def text_metrics_basic(spark, d):
     return out.select("doc_id", "readability.word_count", "lexical.type_count", "lexical.ttr")
 
 
-@query()
-def text_metrics_all(spark, d):
-    out = textmetrics.families(read(spark, d, "documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", "lexical.*", *[F.col(f"repetition.{c}") for c in ("distinct_2", "trigram_rep_rate", "next_token_entropy", "sent_4gram_overlap")], "structure.structural_burstiness", "structure.sent_len_cv", "composite.ai_risk_score", "composite.band")
-
-
 @query(r"""
 WITH w AS (SELECT quality, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+')) AS t FROM documents JOIN labels USING (doc_id)), c AS (SELECT quality, len(t) AS n, map_values(list_aggregate(t, 'histogram')) AS f FROM w),
 k AS (SELECT quality, round(coalesce(len(f) / nullif(n, 0), 0), 4)::DECIMAL(18, 4) AS ttr, round(coalesce(10000 * (list_sum(list_transform(f, lambda x: x * x)) - n)::DOUBLE / nullif(n::DOUBLE * n, 0), 0), 4)::DECIMAL(18, 4) AS yule_k FROM c),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -34,3 +36,23 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(target)
         _shipped.add(context.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path that driver and executors share, below ``spark.checkpoint.dir``; a local session without that setting gets a folder of its own."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="postmill-")
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended: nothing more can be done from here
+        return

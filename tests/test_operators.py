@@ -114,3 +114,8 @@ def test_eligibility_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([(4, "word " * 5000 + ". " + said), (8, said)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {r.doc_id: r for r in eligibility_scan(spark, str(tmp_path)).collect()}
     assert found[8].security_clearance == "required" and tuple(found[4])[1:4] == tuple(found[8])[1:4]
+
+
+def test_similarity_of_nothing(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [0.0, 0.0])], "k int, v array<float>")
+    assert [r[0] for r in rows.orderBy("k").select(search.similarity(F.col("v"), [2.0, 0.0])).collect()] == [1.0, 0.0, 0.5, 0.5]
