@@ -1,7 +1,7 @@
 """Main text of HTML pages by two-pass block rules.
 
-Pass 1 judges each block by itself: stop-word density, length and link density, and the elements it is in. Pass 2 gives blocks that were left
-open the label of their nearest decided neighbours.
+Pass 1 judges each block by itself: stop-word density, length and link density; the names of elements and classes around it weigh in, and few decide alone. Pass 2 gives
+blocks that were left open the label of their nearest decided neighbours, first of those in the same part of the page.
 """
 
 from __future__ import annotations
@@ -36,9 +36,15 @@ HOLDERS = BLOCKS - {"p", "hr", "h1", "h2", "h3", "h4", "h5", "h6"} | {"span"}
 ASIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words in a class or id that tell of something beside the article; of the second kind only outside an article, inside one they leave the block to its densities.
+#: Elements that are a part of a page.
+ROOMS = frozenset("html body article main section div header footer aside nav form dialog fieldset blockquote td th".split())
+#: Words in a class or id that tell of something beside the article; of the second kind only outside an article, inside one they leave the block to its densities. So do those of the first kind inside an article, unless nothing but such words
+#: and names of boxes make up a class: ``social-history`` may be a chapter.
 BESIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|navi?|navbar|navigation|sidebar|footer|masthead|topbar|breadcrumbs?|cookies?|consent|gdpr|notices?|popup|newsletter|subscribe|shar(?:e|ing)|social|comments?|respond|replies|disqus|pag(?:er|ination)|hidden)(?:$|[\s_-])", re.I)
 MAYBE = re.compile(r"(?:^|[\s_-])(?:side|alert|modal|overlay|signup|login|related|recommend\w*|widget|toolbar|copyright|disclaimer|teasers?|skip)(?:$|[\s_-])", re.I)
+BOXES = frozenset("box list section container wrapper wrap block area bar item inner outer content top bottom left right main header body link links button buttons nav global site page post unit slot".split())
+#: Of which the first kind's own may also name a chapter.
+CHAPTERS = frozenset("comment notice notices".split())
 ATTRIBUTE = re.compile(r"""\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -52,12 +58,13 @@ class Block:
     beside: bool
     maybe: bool
     inside: bool
+    room: int
     heading: bool
     label: bool | None = None
 
 
-def _beside(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is beside the article for sure, or maybe, by its name and attributes."""
+def _beside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element, ``inside`` an article or not, is beside the article for sure, or maybe, by its name and attributes."""
     if tag in ASIDE:
         return True, True
     maybe = False
@@ -71,23 +78,32 @@ def _beside(tag: str, attributes: str) -> tuple[bool, bool]:
         if name in ("class", "id"):
             value = CAMEL.sub("-", value)
             if BESIDE.search(value):
-                return True, True
+                maybe = True
+                if not inside or any(_plainly(x) for x in value.split()):
+                    return True, True
             maybe = maybe or MAYBE.search(value) is not None
     return False, maybe
 
 
+def _plainly(name: str) -> bool:
+    """Whether a class is made up of words that tell of something beside the article, and of boxes."""
+    parts = [x.lower() for x in re.split("[-_]+", name) if x]
+    told = [BESIDE.search(x) is not None for x in parts]
+    return any(told) and all(t or x in BOXES or MAYBE.search(x) or x.isdigit() for t, x in zip(told, parts)) and not CHAPTERS.issuperset(parts)
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, beside, maybe beside, inside an article
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # element, beside, maybe beside, inside an article, number of its part of the page
     parts: list[str] = []
-    linked, link, heading, at, seek = 0, 0, False, 0, 0
+    linked, link, heading, at, seek, rooms = 0, 0, False, 0, 0, 0
     unended: set[str] = set()  # elements of which no end tag follows
 
     def close() -> None:
         nonlocal linked, parts
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, min(linked, len(text)), *(stack[-1][1:] if stack else (False, False, False)), heading))
+            out.append(Block(text, min(linked, len(text)), *(stack[-1][1:] if stack else (False, False, False, 0)), heading))
         parts, linked = [], 0
 
     def say(raw: str) -> None:
@@ -135,13 +151,16 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
         else:
-            beside, maybe, inside = stack[-1][1:] if stack else (False, False, False)
+            beside, maybe, inside, room = stack[-1][1:] if stack else (False, False, False, 0)
+            if tag in ROOMS:
+                rooms += 1
+                room = rooms
             if tag not in ("html", "body", "article", "main", "head"):
-                own = _beside(tag, attributes)
+                own = _beside(tag, attributes, inside)
                 beside, maybe = beside or own[0] or tag == "header" and not inside or own[1] and not inside, maybe or own[1]
             if tag == "span" and beside and not (stack and stack[-1][1]):
                 close()
-            stack.append((tag, beside, maybe, inside or tag in ("article", "main")))
+            stack.append((tag, beside, maybe, inside or tag in ("article", "main"), room))
     say(page[at:])
     close()
     return out
@@ -160,14 +179,19 @@ def _foreign(text: str) -> bool:
 
 
 def judge(found: list[Block]) -> None:
-    """Pass 1. Where a page marks its article, what is outside is none of it. Where stop words can't tell, since the page has hardly any, or a
-    block's script has none, length and link density decide."""
-    marked = any(b.inside and not b.beside for b in found)
+    """Pass 1. An article that a page marks is trusted if it holds most of the page's prose; then what is outside is none of it. Where stop words can't tell, since the
+    page has hardly any, or a block's script has none, length and link density decide. Few stop words in a long block leave it open, in an article too.
+    """
     prose = [b for b in found if len(b.text) >= SHORT and not b.beside and b.linked <= LINKS * len(b.text)]
     unknown = sum(_density(b.text) * len(b.text) for b in prose) < UNKNOWN * sum(len(b.text) for b in prose)
+    tells = lambda b: unknown or _foreign(b.text) or _density(b.text) >= STOPS_LOW
+    within = sum(len(b.text) for b in prose if b.inside and tells(b))
+    marked = any(b.inside and not b.beside for b in found) and 2 * within >= sum(len(b.text) for b in prose if tells(b))
     for b in found:
         size = len(b.text)
-        if b.beside or marked and not b.inside or b.linked > LINKS * size or b.text.startswith("©") and size < SHORT:
+        if not marked:
+            b.inside = False
+        if b.beside or marked and not b.inside or b.linked > LINKS * size or b.text.startswith("©") and size < (SHORT if b.inside else LONG):
             b.label = False
         elif b.maybe:  # named as if beside, in an article: prose by its densities stays
             b.label = size >= SHORT and (unknown or _foreign(b.text) or _density(b.text) >= STOPS_HIGH)
@@ -175,37 +199,54 @@ def judge(found: list[Block]) -> None:
             b.label = None if not b.linked or b.inside else False
         else:
             density = _density(b.text)
-            if density >= STOPS_HIGH or b.inside or density >= STOPS_LOW and size >= LONG:
+            if density >= STOPS_HIGH or density >= STOPS_LOW and (b.inside or size >= LONG):
                 b.label = True
             else:  # few stop words: lists, tables and the like, which their neighbours decide
                 b.label = True if density < STOPS_LOW and (unknown or _foreign(b.text)) else None
 
 
+def _sides(found: list[Block], kind) -> tuple[list[int | None], list[int | None]]:
+    """The nearest decided block of the same kind before and after each block."""
+    out = []
+    for order in (range(len(found)), range(len(found) - 1, -1, -1)):
+        side, last = [None] * len(found), {}
+        for k in order:
+            side[k] = last.get(kind(found[k]))
+            if found[k].label is not None:
+                last[kind(found[k])] = k
+        out.append(side)
+    return out[0], out[1]
+
+
 def settle(found: list[Block]) -> None:
-    """Pass 2: an open block takes the label of its nearest decided neighbours; where they differ, a heading takes the next one's, and others are in if they are in an article."""
-    decided = [k for k, b in enumerate(found) if b.label is not None]
-    if not any(found[k].label for k in decided):  # nothing but short blocks beside boilerplate: they are all there is
+    """Pass 2: an open block takes the label of its nearest decided neighbours in its part of the page, else in or outside the article as it is, else anywhere. Where they differ, a heading takes the next one's, others the
+    nearer one's; of equally near ones in the same part the one before counts, elsewhere it is out. Open blocks of an article without decided ones are all there is of it.
+    """
+    if not any(b.label for b in found) and not any(b.inside for b in found):  # nothing but short blocks beside boilerplate: they are all there is
         for b in found:
             b.label = bool(b.label is None)
         return
-    before, after, last = [None] * len(found), [None] * len(found), None
-    for k, b in enumerate(found):
-        before[k] = last
-        last = k if b.label is not None else last
-    last = None
-    for k in range(len(found) - 1, -1, -1):
-        after[k] = last
-        last = k if found[k].label is not None else last
+    ways = [_sides(found, kind) for kind in (lambda b: (b.room, b.inside), lambda b: b.inside, lambda b: None)]
     labels = [b.label for b in found]
     for k, b in enumerate(found):
-        if labels[k] is None:
+        if labels[k] is not None:
+            continue
+        for way, (before, after) in enumerate(ways):
             i, j = before[k], after[k]
-            if b.inside or i is None or j is None or labels[i] == labels[j]:
-                b.label = b.inside or labels[j if i is None else i]
+            if i is None and j is None:
+                if way == 1 and b.inside:
+                    b.label = True
+                    break
+                continue
+            if i is None or j is None or labels[i] == labels[j]:
+                b.label = labels[j if i is None else i]
             elif b.heading:
                 b.label = labels[j]
             else:
-                b.label = labels[i] if k - i < j - k else labels[j] if j - k < k - i else False
+                b.label = labels[i] if k - i < j - k or k - i == j - k and way == 0 else labels[j] if j - k < k - i else False
+            break
+        else:
+            b.label = False
 
 
 def main_text(page: str) -> str:
