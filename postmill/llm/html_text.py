@@ -182,11 +182,12 @@ def judge(found: list[Block]) -> None:
     """Pass 1. An article that a page marks is trusted if it holds most of the page's prose; then what is outside is none of it. Where stop words can't tell, since the
     page has hardly any, or a block's script has none, length and link density decide. Few stop words in a long block leave it open, in an article too.
     """
-    prose = [b for b in found if len(b.text) >= SHORT and not b.beside and b.linked <= LINKS * len(b.text)]
-    unknown = sum(_density(b.text) * len(b.text) for b in prose) < UNKNOWN * sum(len(b.text) for b in prose)
-    tells = lambda b: unknown or _foreign(b.text) or _density(b.text) >= STOPS_LOW
-    within = sum(len(b.text) for b in prose if b.inside and tells(b))
-    marked = any(b.inside and not b.beside for b in found) and 2 * within >= sum(len(b.text) for b in prose if tells(b))
+    density = {id(b): _density(b.text) for b in found if len(b.text) >= SHORT and not b.beside and b.linked <= LINKS * len(b.text)}
+    prose = [b for b in found if id(b) in density]
+    unknown = sum(density[id(b)] * len(b.text) for b in prose) < UNKNOWN * sum(len(b.text) for b in prose)
+    tells = {id(b): unknown or density[id(b)] >= STOPS_LOW or _foreign(b.text) for b in prose}
+    within = sum(len(b.text) for b in prose if b.inside and tells[id(b)])
+    marked = any(b.inside and not b.beside for b in found) and 2 * within >= sum(len(b.text) for b in prose if tells[id(b)])
     for b in found:
         size = len(b.text)
         if not marked:
@@ -194,15 +195,15 @@ def judge(found: list[Block]) -> None:
         if b.beside or marked and not b.inside or b.linked > LINKS * size or b.text.startswith("©") and size < (SHORT if b.inside else LONG):
             b.label = False
         elif b.maybe:  # named as if beside, in an article: prose by its densities stays
-            b.label = size >= SHORT and (unknown or _foreign(b.text) or _density(b.text) >= STOPS_HIGH)
+            b.label = size >= SHORT and (unknown or density[id(b)] >= STOPS_HIGH or _foreign(b.text))
         elif size < SHORT:
             b.label = None if not b.linked or b.inside else False
         else:
-            density = _density(b.text)
-            if density >= STOPS_HIGH or density >= STOPS_LOW and (b.inside or size >= LONG):
+            own = density[id(b)]
+            if own >= STOPS_HIGH or own >= STOPS_LOW and (b.inside or size >= LONG):
                 b.label = True
             else:  # few stop words: lists, tables and the like, which their neighbours decide
-                b.label = True if density < STOPS_LOW and (unknown or _foreign(b.text)) else None
+                b.label = True if own < STOPS_LOW and tells[id(b)] else None
 
 
 def _sides(found: list[Block], kind) -> tuple[list[int | None], list[int | None]]:
