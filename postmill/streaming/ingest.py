@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.state import merge_replace
 from ..sources import vendors
+from ..sources.bucketed import BucketedTable
 
 
 def landed(spark: SparkSession, path: str, most_files: int = 1000) -> DataFrame:
@@ -28,6 +29,15 @@ def ingest(payloads: DataFrame, vendor: str, read: Callable[[], DataFrame], writ
     return payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_into(payloads: DataFrame, vendor: str, table: BucketedTable, checkpoint: str, as_of: datetime) -> StreamingQuery:
+    """Merges each batch's postings into a stored table by ``job_id``: a batch writes only the folders that it changes, and a repeated one none."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(vendors.canonical(vendors.parse(vendor, batch), as_of), F.struct("posted_date", "url"))
+
+    return payloads.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rate_limits(events: DataFrame, client: str, ts: str, most: int, late: str = "2 minutes", seconds: int = 60) -> DataFrame:
     """Clients over their limit in tumbling windows; windows end when the watermark passes them."""
     counted = events.withWatermark(ts, late).groupBy(F.window(ts, f"{seconds} seconds").alias("w"), client).agg(F.count("*").alias("n"))
