@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import automaton, lists, text
 from . import skills
-from .verdict import COMPILED, VERDICT, Profile, Wanted, _among, compiled, judged, rank_of, spread, with_facts
+from .verdict import COMPILED, MAY_FIT, VERDICT, Profile, Wanted, _among, compiled, judged, spread, with_facts
 
 #: Distinct words of all profiles that a pass over the postings looks for; more profiles than those are judged in several passes.
 MOST_WORDS = 1_000_000
@@ -112,6 +112,5 @@ def feeds(postings: DataFrame, profiles: DataFrame, least: float = 0.75, semanti
     ready = rows.join(backed, "id", "left").select("id", F.struct(*rows.columns).alias("p"), F.coalesce("backed", F.array().cast("array<string>")).alias("_has"))
 
     pairs = with_facts(spread(postings), _wanted(rows), limit).join(fitting, "_name").join(ready, "id")
-    could = F.expr("(NOT p.us_only OR _us) AND (size(p.families) = 0 OR size(_families) = 0 OR arrays_overlap(_families, p.families))") & F.coalesce(rank_of(F.col("_shown")) <= F.col("p.top") + 1, F.lit(True))
-    pairs = pairs.where(could).withColumn("_backed", F.expr("transform(_firsts, s -> array_contains(_has, s.skill))")).withColumnRenamed("id", "profile_id").drop("_has")
+    pairs = pairs.where(MAY_FIT).withColumn("_backed", F.expr("transform(_firsts, s -> array_contains(_has, s.skill))")).withColumnRenamed("id", "profile_id").drop("_has")
     return judged(pairs, semantic).where("NOT (verdict = 'reject' AND score = 0)").select("profile_id", "job_id", *VERDICT)
