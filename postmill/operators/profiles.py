@@ -113,4 +113,6 @@ def feeds(postings: DataFrame, profiles: DataFrame, least: float = 0.75, semanti
 
     pairs = with_facts(spread(postings), _wanted(rows), limit).join(fitting, "_name").join(ready, "id")
     pairs = pairs.where(MAY_FIT).withColumn("_backed", F.expr("transform(_firsts, s -> array_contains(_has, s.skill))")).withColumnRenamed("id", "profile_id").drop("_has")
+    tasks = max(postings.sparkSession.sparkContext.defaultParallelism, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.repartition(tasks, "profile_id", "job_id")  # else a common title has all its pairs scored in one task
     return judged(pairs, semantic).where("NOT (verdict = 'reject' AND score = 0)").select("profile_id", "job_id", *VERDICT)
