@@ -125,6 +125,8 @@ def counts(postings: DataFrame, searches: DataFrame, as_of: datetime) -> DataFra
     least = filed.groupBy("search_id").agg(F.min_by(F.struct("kind", "values"), F.struct("_many", "kind")).alias("k"))
     index = rules.join(least, "search_id").withColumn("_value", F.explode("k.values")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
     index = index.withColumn("_key", F.struct(F.col("k.kind").alias("kind"), F.col("_value").alias("value"))).drop("k", "_value", "_any")
+    tasks = max(postings.sparkSession.sparkContext.defaultParallelism, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    index = index.repartition(tasks, "_key", "_share")  # a number of its own: a small index would else be matched in one task
 
     holds = [F.col(f"_in_{c}").isNull() | F.array_contains(f"_in_{c}", F.col(c)) for c in MULTI]
     holds += [F.col("_flags").bitwiseAND(F.col("_need")) == F.col("_need"), (F.col("_bands") == 0) | (F.col("_in_bands").bitwiseAND(F.col("_bands")) != 0)]
