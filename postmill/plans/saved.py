@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import saved_searches
+from ..sources.bucketed import BucketedTable
+from ..streaming import lifecycle
 from .queries import AS_OF, query, read
+from .session import scratch
 
 
 @query("""
@@ -43,3 +46,22 @@ def saved_search_index(spark, d):
         F.when(k % 11 > 0, F.lit("2024-01-05").cast("timestamp") + F.make_dt_interval(hours=(k % 600).cast("int"))).alias("last_seen"),
     )
     return saved_searches.counts(postings, searches, AS_OF)
+
+
+@query("""
+WITH e AS (SELECT 'ats ' || (user_id % 3) AS ats, 'board ' || (user_id % 30) AS board_slug, user_id || '-' || (event_id % 4) AS job_id, date_trunc('day', ts) AS day, event_type = 'error' AS whole FROM events),
+s AS (SELECT ats, board_slug, job_id, min(day) AS first_day, max(day) AS last_day FROM e WHERE NOT whole GROUP BY ALL), m AS (SELECT DISTINCT ats, board_slug, day FROM e WHERE whole)
+SELECT ats, board_slug, job_id, strftime(first_day, '%Y-%m-%d') AS first_seen, strftime(last_day, '%Y-%m-%d') AS last_seen, (SELECT strftime(min(day), '%Y-%m-%d') FROM m WHERE m.ats = s.ats AND m.board_slug = s.board_slug AND day > last_day) AS closed_at FROM s""")
+def board_lifecycle(spark, d):
+    """Events as a stream of crawls in three batches: errors are complete crawls of a board, the others sightings."""
+    user, path = F.col("user_id"), scratch(spark, "crawls")
+    crawls = read(spark, d, "events").select(
+        F.concat(F.lit("ats "), user % 3).alias("ats"), F.concat(F.lit("board "), user % 30).alias("board_slug"), F.concat_ws("-", user, F.col("event_id") % 4).alias("job_id"),
+        F.date_trunc("day", F.col("ts").cast("timestamp")).alias("crawled_at"), (F.col("event_type") == "error").alias("complete"),
+    )
+    crawls.repartition(12, "crawled_at").write.parquet(f"{path}/landed")
+    stream = spark.readStream.schema(lifecycle.CRAWL).option("maxFilesPerTrigger", 4).parquet(f"{path}/landed")
+    table = BucketedTable(spark, f"{path}/presence", spark.createDataFrame([], lifecycle.PRESENCE).schema, ["ats", "board_slug", "job_id"], 16)
+    lifecycle.follow_into(stream, table, f"{path}/checkpoint", 4).awaitTermination()
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return table.read().select("ats", "board_slug", "job_id", day("first_seen"), day("last_seen"), day("closed_at"))
