@@ -36,9 +36,15 @@ def verdicts(spark, d):
     return verdict.with_verdict(postings(spark, d), PROFILE).select("job_id", "verdict", "score", *text, "recommendable")
 
 
-@query(_VERDICTS + f""", o AS (SELECT *, {_rejects('2, 3, 4, 5, 7', '0, 3, 4, 5, 6', 'senior')} AS rejects FROM f)
+FITS = (
+    _VERDICTS
+    + f""", o AS (SELECT *, {_rejects('2, 3, 4, 5, 7', '0, 3, 4, 5, 6', 'senior')} AS rejects FROM f)
 SELECT job_id, 'p1' AS profile_id, 'data' AS label, verdict, score, recommendable FROM v
-UNION ALL SELECT k::VARCHAR, 'p2', 'software', CASE WHEN len(rejects) > 0 THEN 'reject' ELSE 'flag' END, (CASE WHEN len(rejects) > 0 THEN 0 ELSE 0.823 END)::DOUBLE, len(rejects) = 0 FROM o""")
+UNION ALL SELECT k::VARCHAR, 'p2', 'software', CASE WHEN len(rejects) > 0 THEN 'reject' ELSE 'flag' END, (CASE WHEN len(rejects) > 0 THEN 0 ELSE 0.823 END)::DOUBLE, len(rejects) = 0 FROM o"""
+)
+
+
+@query(FITS)
 def cross_profile_fit(spark, d):
     return verdict.profile_fits(postings(spark, d), [PROFILE, OTHER])
 

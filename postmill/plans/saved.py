@@ -1,13 +1,15 @@
-"""Queries of very many saved searches, and of boards that are followed as a stream."""
+"""Queries of what is kept between runs: very many saved searches, boards that are followed as a stream, verdicts that are scored again only where something changed."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import saved_searches
+from ..operators import saved_searches, verdict
+from ..operators.verdict_store import VerdictStore
 from ..sources.bucketed import BucketedTable
 from ..streaming import lifecycle
-from .queries import AS_OF, query, read
+from .judgement import FITS
+from .queries import AS_OF, OTHER, PROFILE, postings, query, read
 from .session import scratch
 
 
@@ -65,3 +67,14 @@ def board_lifecycle(spark, d):
     lifecycle.follow_into(stream, table, f"{path}/checkpoint", 4).awaitTermination()
     day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     return table.read().select("ats", "board_slug", "job_id", day("first_seen"), day("last_seen"), day("closed_at"))
+
+
+@query(FITS)
+def incremental_fits(spark, d):
+    """The fits of ``cross_profile_fit`` by an update: verdicts of an older state, in which one posting in 100 had another title and one in 90 wasn't there, are kept where nothing changed."""
+    rows, mine, k = postings(spark, d), {p.id: p for p in (PROFILE, OTHER)}, F.col("job_id").cast("long")
+    people = spark.createDataFrame([(p.id, repr(p)) for p in mine.values()], "id string, rules string")
+    store = VerdictStore(spark, scratch(spark, "verdicts"), lambda some, who: verdict.profile_fits(some, [mine[r.id] for r in who.select("id").collect()]))
+    store.refresh(rows.where(k % 90 != 3).withColumn("title", F.when(k % 100 == 7, "Intern").otherwise(F.col("title"))), people)
+    store.refresh(rows, people)
+    return store.read()
