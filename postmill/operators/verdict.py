@@ -87,10 +87,11 @@ def years_asked(description: Column) -> Column:
     """What a description says of years of experience: ``degrees``, the years beside each degree's rank; ``most``, the most that explicit phrases ask for. Null if it names no years."""
     any_degree = "|".join(DEGREES.values())
     years = lambda block: F.regexp_extract(block, r"(?i)\b(\d{1,2})\s*\+?\s*years?\b", 1).try_cast("int")
-    number, context = r"(?<!\d)(\d{1,2})", rf"(?<=(?:{CUES})[\s\S]{{0,230}})"
+    number, cued = r"(?<!\d)(\d{1,2})", rf"(?<=(?:{CUES})[\s\S]{{0,230}})"
+    after_cue = lambda phrase: rf"(?={phrase}){cued}{phrase}"  # noqa: E731  looks back only where the phrase stands, not from every letter
     phrases = [
-        rf"(?:{PREFIX}){number}(?:{QUALIFIER})?{OF_EXPERIENCE}", rf"{number}{QUALIFIER}{OF_EXPERIENCE}", rf"{context}{number}{OF_EXPERIENCE}", rf"{number}{OF_EXPERIENCE}(?=[\s\S]{{0,90}}?(?:{CUES}))",
-        rf"{EXPERIENCE_OF}{number}{QUALIFIER}\s*years?\b", rf"{context}{EXPERIENCE_OF}{number}\s*years?\b", rf"{EXPERIENCE_OF}{number}\s*years?\b(?=[\s\S]{{0,90}}?(?:{CUES}))",
+        rf"(?:{PREFIX}){number}(?:{QUALIFIER})?{OF_EXPERIENCE}", rf"{number}{QUALIFIER}{OF_EXPERIENCE}", after_cue(rf"{number}{OF_EXPERIENCE}"), rf"{number}{OF_EXPERIENCE}(?=[\s\S]{{0,90}}?(?:{CUES}))",
+        rf"{EXPERIENCE_OF}{number}{QUALIFIER}\s*years?\b", after_cue(rf"{EXPERIENCE_OF}{number}\s*years?\b"), rf"{EXPERIENCE_OF}{number}\s*years?\b(?=[\s\S]{{0,90}}?(?:{CUES}))",
     ]
 
     def found(plain: Column) -> Column:

@@ -119,3 +119,23 @@ def test_one_plan_for_any_number_of_profiles(spark):
 def test_years_by_degree(spark):
     rows = spark.createDataFrame([("MS and 2 years or BS and 4 years needed.",)], "d string")
     assert [rows.select(verdict.stated_years(F.col("d"), r)).first()[0] for r in ("PhD", "Master of science", "Bachelor", None)] == [2, 2, 4, 2]
+
+
+def test_years_after_a_cue_equal_every_look_behind(spark):
+    """The most years of random statements, cues near and far before and after, against plain patterns of a second engine."""
+    import regex
+
+    number, before, after = r"(?<!\d)(\d{1,2})", rf"(?<=(?:{verdict.CUES})[\s\S]{{0,230}})", rf"(?=[\s\S]{{0,90}}?(?:{verdict.CUES}))"
+    plain = [
+        rf"(?:{verdict.PREFIX}){number}(?:{verdict.QUALIFIER})?{verdict.OF_EXPERIENCE}", rf"{number}{verdict.QUALIFIER}{verdict.OF_EXPERIENCE}", rf"{before}{number}{verdict.OF_EXPERIENCE}", rf"{number}{verdict.OF_EXPERIENCE}{after}",
+        rf"{verdict.EXPERIENCE_OF}{number}{verdict.QUALIFIER}\s*years?\b", rf"{before}{verdict.EXPERIENCE_OF}{number}\s*years?\b", rf"{verdict.EXPERIENCE_OF}{number}\s*years?\b{after}",
+    ]
+    patterns, rng = [regex.compile(p, regex.I) for p in plain], random.Random(5)
+    parts = ["You have", "Requirements", "degree", "proven track record", "qualification", "3 years of experience", "at least 4 years python experience", "7+ years of experience", "Experience of: 6 years", "experience 12 - 14 years", "2 years hands-on c++ data experience", "31 years of experience", "9 years", "x", "word " * 9, "word " * 17, "word " * 46]
+    texts = [" ".join(rng.choices(parts, k=rng.randrange(1, 8))) for _ in range(1500)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", verdict.years_asked(F.col("t"))["most"].alias("most")).collect()
+    gated = regex.compile(r"\d\s*(?:\+|[-–—]\s*\d{1,2})?\s*years?\b", regex.I)
+    for r in rows:
+        said = [int(m[1]) for p in patterns for m in p.finditer(r.t) if int(m[1]) <= 30]
+        assert r.most == (max(said, default=None) if gated.search(r.t) else None), r.t
+    assert sum(r.most is not None for r in rows) > 500 and sum(r.most is None for r in rows) > 100
