@@ -27,6 +27,6 @@ def landed_source(spark, d):
         stream.trigger(availableNow=True).start(f"{path}/followed").awaitTermination()
     way = {"by_batch": spark.read.format("landed").load(f"{path}/in"), "by_stream": spark.read.parquet(f"{path}/followed")}
     told = [vendors.parse("lever", rows).select("*", *[F.lit(int(w == n)).alias(n) for n in way]) for w, rows in way.items()]
-    kept = [F.col("_board_slug").alias("board"), "source_job_id", "title", "url", F.length("description").cast("long").alias("n_chars"), F.sha2("description", 256).alias("digest")]
+    kept = [F.col("company").alias("board"), "source_job_id", "title", "url", F.length("description").cast("long").alias("n_chars"), F.sha2("description", 256).alias("digest")]
     each = told[0].unionByName(told[1]).select(*kept, *way)
     return each.groupBy("board", "source_job_id", "title", "url", "n_chars", "digest").agg(*[F.sum(n).cast("long").alias(n) for n in way])
