@@ -19,6 +19,8 @@ from .verdict import COMPILED, MAY_FIT, VERDICT, Profile, Wanted, _among, compil
 
 #: Distinct words of all profiles that a pass over the postings looks for; more profiles than those are judged in several passes.
 MOST_WORDS = 1_000_000
+#: Shares into which each title's postings are dealt before they meet profiles, so that a common title isn't scored in one task.
+SHARES = 16
 
 
 def compile_table(profiles: DataFrame) -> DataFrame:
@@ -111,8 +113,8 @@ def feeds(postings: DataFrame, profiles: DataFrame, least: float = 0.75, semanti
     backed = own.join(skills.supports(wanted, own.select(F.col("own").alias("skill")).distinct()), "own").groupBy("id").agg(F.collect_set("skill").alias("backed"))
     ready = rows.join(backed, "id", "left").select("id", F.struct(*rows.columns).alias("p"), F.coalesce("backed", F.array().cast("array<string>")).alias("_has"))
 
-    pairs = with_facts(spread(postings), _wanted(rows), limit).join(fitting, "_name").join(ready, "id")
-    pairs = pairs.where(MAY_FIT).withColumn("_backed", F.expr("transform(_firsts, s -> array_contains(_has, s.skill))")).withColumnRenamed("id", "profile_id").drop("_has")
     tasks = max(postings.sparkSession.sparkContext.defaultParallelism, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = pairs.repartition(tasks, "profile_id", "job_id")  # else a common title has all its pairs scored in one task
+    dealt = with_facts(spread(postings), _wanted(rows), limit).withColumn("_share", F.pmod(F.xxhash64("job_id"), F.lit(SHARES))).repartition(tasks, "_name", "_share")  # a number of its own: else few tasks make all pairs
+    pairs = dealt.join(fitting.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<bigint>"))), ["_name", "_share"]).join(ready, "id")
+    pairs = pairs.where(MAY_FIT).withColumn("_backed", F.expr("transform(_firsts, s -> array_contains(_has, s.skill))")).withColumnRenamed("id", "profile_id").drop("_has", "_share")
     return judged(pairs, semantic).where("NOT (verdict = 'reject' AND score = 0)").select("profile_id", "job_id", *VERDICT)
