@@ -158,9 +158,14 @@ def bounded_context(text: Column, limit: int, marker: str = "\n[...]\n") -> Colu
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(head)), F.lit(marker), F.right(text, F.lit(limit - head))))
 
 
+def name_parts(name: Column) -> tuple[Column, Column]:
+    """A name before its file extension, and that."""
+    return tuple(F.regexp_extract(name, r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", k) for k in (1, 2))
+
+
 def numbered_names(name: Column, turn: Column) -> Column:
     """``name (2)`` for the second of a name, before a file extension."""
-    base, extension = F.regexp_extract(name, r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", 1), F.regexp_extract(name, r"^(.*?)(\.[A-Za-z0-9]{1,5})?$", 2)
+    base, extension = name_parts(name)
     return F.when(turn <= 1, name).otherwise(F.concat(base, F.lit(" ("), turn.cast("string"), F.lit(")"), extension))
 
 

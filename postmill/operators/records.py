@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, text
@@ -70,6 +70,33 @@ def free_name(name: Column, taken: Column) -> Column:
     return F.element_at(F.filter(tries, lambda x: ~F.array_contains(taken, x)), 1)
 
 
+def _free_labels(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Edits with their ``_user_id`` and ``_label``: a changed ``label`` that another profile of the owner has gets the first number that none has.
+
+    Labels are counted by owner and name, and of each name's numbers the first gap is found once, so nothing grows with an owner's profiles but what is shuffled.
+    """
+    held = stored.where("label IS NOT NULL").groupBy(F.col("user_id").alias("_owner"), F.col("label").alias("_held")).agg(F.count("*").alias("_many"))
+    own = held.select(F.col("_owner").alias("_of"), F.col("_held").alias("_mine"), F.col("_many").alias("_own_many"))
+    numbered = held.select("_owner", *_numbered("_held", "_its_")).where("_its_turn >= 2")
+    run = numbered.withColumn("_at", F.row_number().over(Window.partitionBy("_owner", "_its_base", "_its_extension").orderBy("_its_turn")) + 1)
+    gaps = run.groupBy("_owner", "_its_base", "_its_extension").agg((F.max(F.when(F.col("_its_turn") == F.col("_at"), F.col("_at"))) + 1).alias("_gap")).withColumnRenamed("_owner", "_whose")
+
+    base, extension = text.name_parts(F.col("label"))
+    rows = rows.withColumns({"_base": base, "_extension": extension}).select("*", *_numbered("_label", "_had_"))
+    rows = rows.join(held, F.col("_user_id").eqNullSafe(F.col("_owner")) & (F.col("label") == F.col("_held")), "left").join(own, F.col("_user_id").eqNullSafe(F.col("_of")) & (F.col("_label") == F.col("_mine")), "left")
+    rows = rows.join(gaps, F.col("_user_id").eqNullSafe(F.col("_whose")) & (F.col("_base") == F.col("_its_base")) & (F.col("_extension") == F.col("_its_extension")), "left")
+    left = F.when((F.col("_own_many") == 1) & (F.col("_had_base") == F.col("_base")) & (F.col("_had_extension") == F.col("_extension")) & (F.col("_had_turn") >= 2), F.col("_had_turn"))  # its own number is free again
+    free = F.when(F.col("_many") > 0, text.numbered_names(F.col("label"), F.least(F.coalesce("_gap", F.lit(2)), left))).otherwise(F.col("label"))
+    rows = rows.withColumn("label", F.when(F.col("label").eqNullSafe(F.col("_label")), F.col("label")).otherwise(free))
+    return rows.drop("_base", "_extension", "_had_base", "_had_turn", "_had_extension", "_owner", "_held", "_many", "_of", "_mine", "_own_many", "_whose", "_its_base", "_its_extension", "_gap")
+
+
+def _numbered(name: str, prefix: str) -> list[Column]:
+    """What ``text.numbered_names`` made a name of: base, turn and extension; the turn is null if it made none."""
+    part = lambda k: F.regexp_extract(name, r"(?s)\A(.*) \(([1-9][0-9]{0,8})\)(\.[A-Za-z0-9]{1,5})?\z", k)
+    return [part(1).alias(f"{prefix}base"), F.nullif(part(2), F.lit("")).cast("int").alias(f"{prefix}turn"), part(3).alias(f"{prefix}extension")]
+
+
 def update_profiles(stored: DataFrame, edits: DataFrame, derive, compose_structured, compose_sections) -> DataFrame:
     """Stored profiles after edits of equal ``id``; both have ``id, user_id, label, resume_text, structured_resume, resume_sections, structured_stale, resume_filename, resume_content_type, resume_uploaded_at``.
 
@@ -78,11 +105,8 @@ def update_profiles(stored: DataFrame, edits: DataFrame, derive, compose_structu
     has gets a number. ``derive`` makes sections of a text, ``compose_*`` a text of either kind of sections; all take and give columns.
     """
     same = lambda a, b: a.eqNullSafe(b)
-    labels = stored.groupBy(F.col("user_id").alias("_owner")).agg(F.collect_list(F.struct("id", "label")).alias("_labels"))  # as many as a user has profiles
     old = stored.select(F.col("id"), *[F.col(c).alias(f"_{c}") for c in stored.columns if c != "id"])
-    rows = edits.drop("user_id").join(old, "id").join(labels, F.col("_user_id").eqNullSafe(F.col("_owner")), "left")
-    others = F.transform(F.filter("_labels", lambda x: x["id"] != F.col("id")), lambda x: x["label"])
-    rows = rows.withColumn("label", F.when(same(F.col("label"), F.col("_label")), F.col("label")).otherwise(free_name(F.col("label"), others)))
+    rows = _free_labels(edits.drop("user_id").join(old, "id").withColumn("label", F.coalesce("label", "_label")), stored)
     rows = rows.withColumn("_new", F.coalesce("resume_text", "_resume_text")).withColumn("_derived", derive(text.empty(F.col("_resume_text"))))
     structured = F.col("structured_resume").isNotNull() & ~same(F.col("structured_resume"), F.col("_structured_resume"))
     given = F.col("resume_sections").isNotNull() & ~same(F.col("resume_sections"), F.col("_resume_sections")) & ~same(F.col("resume_sections"), F.col("_derived"))

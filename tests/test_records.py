@@ -1,5 +1,6 @@
 """Users' records, and what the registered queries don't reach: nulls, ties, empty tables, sinks."""
 
+import random
 from datetime import datetime
 
 from postmill.functions import dates, text
@@ -77,3 +78,28 @@ def test_empty_deployment(spark):
     users, counters = spark.createDataFrame([], "id string"), spark.createDataFrame([("u", "m", "2024-01-01", 2)], "user_id string, metric string, period string, count int")
     assert [tuple(r) for r in records.deployment(users, counters, "2024-01-01").collect()] == [("users", 0)]
     assert analytics.discovery_rank(spark.createDataFrame([], "junior int, relevant int, total int")) is not None
+
+
+def _profiles(spark, rows):
+    empty = {c: F.lit(None).cast("string") for c in ("resume_text", "structured_resume", "resume_sections", "resume_filename", "resume_content_type", "resume_uploaded_at")}
+    return spark.createDataFrame(rows, "id long, user_id long, label string").withColumns({**empty, "structured_stale": F.lit(None).cast("boolean")})
+
+
+def test_labels_of_profiles(spark):
+    """Numbers as a plain version gives them, without an array of an owner's labels; profiles without a label are in nobody's way."""
+    r = random.Random(3)
+    names = ["cv", "cv.pdf", "cv (2)", "cv (2).pdf", "cv (3).pdf", "cv (02)", "cv (1)", "cv (3)", "cv (4)", "a.b (2)", "a.b", "a (2).b", "", " (2)", "x\n", "cv (9999999999)", None]
+    stored = [(k, r.choice([1, 2, None]), r.choice(names)) for k in range(90)]
+    edits = [(k, -1, r.choice(names)) for k in range(0, 90, 2)]
+    forms = [F.struct(F.lit(n).alias("name"), F.array(*[text.numbered_names(F.lit(n), F.lit(k)) for k in range(1, 40)]).alias("forms")) for n in names if n is not None]
+    tries = {x.name: x.forms for x in spark.range(1).select(F.array(*forms)).first()[0]}
+    wanted = {k: label for k, _, label in stored}
+    for k, _, label in edits:
+        owner = stored[k][1]
+        taken = {other for j, o, other in stored if o == owner and j != k}
+        if label is not None and label != stored[k][2]:
+            wanted[k] = next(x for x in tries[label] if x not in taken)
+    plain = lambda c: c
+    out = records.update_profiles(_profiles(spark, stored), _profiles(spark, edits), plain, plain, plain)
+    assert {x.id: x.label for x in out.collect()} == wanted and out.count() == 90 and sum(wanted[k] != stored[k][2] for k in wanted) > 20
+    assert "collect_list" not in out._jdf.queryExecution().toString()
