@@ -1,15 +1,22 @@
-"""Saved searches as rows: very many of them are counted in one join with the postings, and no plan grows with their number.
+"""Saved searches as rows: very many of them are counted at once, and no plan grows with their number.
 
 Postings are first counted by signature: what their filter columns hold, which flags they pass, and between which of the searches' moments they were posted and ingested.
-Each search is filed under one key, that of its filters which the fewest postings meet: values of a column, or a time range as nodes of a binary tree over those moments.
-A signature has one value a column and one node a level, so it meets a search once at most; the search's other filters are then checked.
+Searches that differ in nothing but what they ask of the time of ingestion are one kind. Signatures are dealt into chunks, kinds into parts, and each chunk meets each part once: there a
+filter is a bit for each signature, a kind the conjunction of its filters' bits, and with signatures in order of ingestion all its searches are counted from one running sum of bits.
+So no row is made for a pair of a search and a signature that it matches.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
 from datetime import datetime
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +39,8 @@ READ = {
 }
 #: Distinct moments of all searches, which the driver sorts (8 bytes each); more searches than have those are counted in parts.
 MOST_MOMENTS = 1_000_000
-#: Shares into which each key is dealt, so that a common one isn't joined in one task.
-SHARES = 16
+#: Signatures that a chunk holds about, searches whose kinds make a part, and filters of which a task keeps the bits.
+CHUNK, PART, MOST_KEPT = 500_000, 1_000_000, 1_000
 
 
 def _bits(tests: list[Column]) -> Column:
@@ -91,48 +98,94 @@ def signatures(postings: DataFrame, as_of: datetime, posted: list[float], ingest
     return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
-def _nodes(levels: int) -> Column:
-    """The fewest nodes of the tree that make up the ranks from ``_posted_from`` to before ``_posted_to``."""
-    end = f"coalesce(_posted_to, {1 << levels})"
-    return F.expr(
-        f"flatten(transform(sequence(0, {levels}), l -> transform(filter(array(named_struct('at', cast(ceil(coalesce(_posted_from, 0) / shiftleft(1L, l)) AS bigint), 'odd', 1), named_struct('at', shiftright(cast({end} AS bigint), l) - 1, 'odd', 0)),"
-        f" x -> x.at % 2 = x.odd AND ceil(coalesce(_posted_from, 0) / shiftleft(1L, l)) < shiftright(cast({end} AS bigint), l)), x -> concat(l, ':', x.at))))"
-    )
+def _packed(held: np.ndarray) -> np.ndarray:
+    """A bit for each of the signatures, in words of 64, with one word of none at the end."""
+    bits = np.zeros((len(held) // 64 + 1) * 8, np.uint8)
+    own = np.packbits(held, bitorder="little")
+    bits[: len(own)] = own
+    return bits.view(np.uint64)
+
+
+def _filters(kind: dict) -> list[tuple]:
+    """The filters of a kind, each as the key under which its bits are kept."""
+    out = [("in", c, tuple(kind[f"_in_{c}"])) for c in MULTI if f"_in_{c}" in kind]
+    out += [("flag", 1 << k) for k in range(len(FLAGS)) if kind["_need"] >> k & 1]
+    if kind["_bands"]:
+        out.append(("bands", kind["_bands"]))
+    if kind["_caps"] or kind["_sponsor"]:
+        out.append(("sponsor", tuple(kind["_caps"]), kind["_sponsor"]))
+    if "_posted_from" in kind or "_posted_to" in kind:
+        out.append(("posted", kind.get("_posted_from", 0), kind.get("_posted_to", math.inf)))
+    return out
+
+
+def _bits_of(told: pa.Table) -> Callable[[tuple], np.ndarray]:
+    """Gives a filter's bits over the signatures; those of the filters asked for last are kept."""
+    number = {c: told.column(c).fill_null(-1).to_numpy() for c in ("_flags", "_in_bands", "_sponsored", "_posted")}
+    among = lambda c, values: pc.is_in(told.column(c), pa.array(values, pa.string())).to_numpy(zero_copy_only=False)
+    kept: dict[tuple, np.ndarray] = {}
+
+    def held(kind: str, *of) -> np.ndarray:
+        if kind == "in":
+            return among(*of)
+        if kind == "sponsor":
+            return among("_cap", of[0]) | (number["_sponsored"] & of[1] != 0)
+        if kind == "posted":
+            return (number["_posted"] >= of[0]) & (number["_posted"] < of[1])
+        return number["_flags" if kind == "flag" else "_in_bands"] & of[0] != 0
+
+    def bits(name: tuple) -> np.ndarray:
+        if name not in kept:
+            if len(kept) >= MOST_KEPT:
+                kept.clear()
+            kept[name] = _packed(held(*name))
+        return kept[name]
+
+    return bits
+
+
+def _met(told: pa.Table, asked: pa.Table) -> pa.Table:
+    """Of each kind (``_kind``, with the moments ``since`` of its searches) how many postings of these signatures were ingested at or after each of them; all for -1."""
+    told = told.set_column(told.schema.get_field_index("_ingested"), "_ingested", told.column("_ingested").fill_null(-1)).sort_by("_ingested")
+    ingested, n, bits = told.column("_ingested").to_numpy(), told.column("n").to_numpy(), _bits_of(told)
+    planes = [(1 << k, _packed(n >> k & 1 == 1)) for k in range(int(n.max(initial=0)).bit_length())]
+    planes = [(weight, plane) for weight, plane in planes if plane.any()]
+    many = []
+    for kind, since in zip(asked.column("_kind"), asked.column("since")):
+        at = np.searchsorted(ingested, since.values.to_numpy())
+        word, before, found = at >> 6, (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1), np.zeros(len(at), np.int64)
+        own = [bits(name) for name in _filters(json.loads(kind.as_py()))]
+        for weight, plane in planes:
+            both = reduce(np.bitwise_and, own, plane)
+            ends = np.cumsum(np.bitwise_count(both), dtype=np.int64)
+            found += weight * (ends[-1] - ends[word] + np.bitwise_count(both[word]) - np.bitwise_count(both[word] & before))
+        many.append(found)
+    return pa.table({"_kind": asked.column("_kind"), "since": asked.column("since").cast(pa.list_(pa.int32())), "many": pa.array(many, pa.list_(pa.int64()))})
 
 
 def counts(postings: DataFrame, searches: DataFrame, as_of: datetime) -> DataFrame:
     """``search_id, total, new_count`` of every search (``SEARCH``), as ``records.saved_counts`` gives them; ids are distinct.
 
-    New are postings ingested after the search was last seen, all if it never was. Postings are scanned once. Equal to building each search's filter (tests).
+    New are postings ingested after the search was last seen, all if it never was. Postings are scanned once, and counted. Equal to building each search's filter (tests).
     """
     rules = compile_searches(searches, as_of)
     posted, ingested = _moments(rules, "_posted_from", "_posted_to"), _moments(rules, "_ingested_from", "_new_from")
     rules = _ranked(_ranked(rules, posted, "_posted_from", "_posted_to"), ingested, "_ingested_from", "_new_from")
-    levels = len(posted).bit_length()
-
+    lists = [*[f"_in_{c}" for c in MULTI], "_caps"]
+    rules = rules.withColumns({c: F.sort_array(F.array_distinct(c)) for c in lists})  # columns of their own: to_json forgets the names of arrays that array_sort gives
+    kind = F.to_json(F.struct(*lists, "_need", "_bands", "_sponsor", "_posted_from", "_posted_to"))
+    since, fresh = F.coalesce("_ingested_from", F.lit(-1)), F.coalesce("_new_from", F.lit(-1))
+    wanted = rules.select("search_id", kind.alias("_kind"), F.explode(F.array(F.struct(F.lit(False).alias("new"), since.alias("since")), F.struct(F.lit(True).alias("new"), F.greatest(since, fresh).alias("since")))).alias("w")).select("search_id", "_kind", "w.*")
+
+    tasks, size = 2 * postings.sparkSession.sparkContext.defaultParallelism, lambda rows, each: math.ceil(rows.count() / each)
+    chunks, parts = max(tasks, size(postings, CHUNK)), max(1, size(searches, PART))
+    deal = lambda rows: rows.repartition(4 * chunks * parts, "_chunk", "_part")  # noqa: E731  more than there are pairs of the two, so that few share a task
+    each = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     told = signatures(postings, as_of, posted, ingested)
-    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-    node = F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda at: pair("posted", F.concat(at, F.lit(":"), F.call_function("shiftright", F.col("_posted"), at))))
-    own = F.concat(F.array(pair("", F.lit("")), *[pair(c, F.col(c)) for c in MULTI]), F.coalesce(node, F.array().cast("array<struct<kind string, value string>>")))
-    keyed = told.withColumn("_key", F.explode(own)).where("_key.value IS NOT NULL").withColumn("_share", F.pmod(F.xxhash64(*told.columns), F.lit(SHARES)).cast("int"))
-    met = keyed.groupBy("_key").agg(F.sum("n").alias("_many"))
-
-    timed = F.when(F.coalesce("_posted_from", "_posted_to").isNotNull(), _nodes(levels))
-    groups = [pair("", F.array(F.lit(""))), *[pair(c, F.col(f"_in_{c}")) for c in MULTI], pair("posted", timed)]
-    asked = rules.select("search_id", F.explode(F.array(*groups)).alias("g")).where("g.value IS NOT NULL").select("search_id", "g.kind", F.array_distinct("g.value").alias("values"))
-    sized = asked.select("search_id", "kind", F.explode_outer("values").alias("value")).select("search_id", F.struct("kind", "value").alias("_key")).join(met, "_key", "left")
-    filed = sized.groupBy("search_id", "_key.kind").agg(F.sum(F.coalesce("_many", F.lit(0))).alias("_many"), F.collect_set("_key.value").alias("values"))
-    least = filed.groupBy("search_id").agg(F.min_by(F.struct("kind", "values"), F.struct("_many", "kind")).alias("k"))
-    index = rules.join(least, "search_id").withColumn("_value", F.explode("k.values")).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    index = index.withColumn("_key", F.struct(F.col("k.kind").alias("kind"), F.col("_value").alias("value"))).drop("k", "_value", "_any")
-    tasks = max(postings.sparkSession.sparkContext.defaultParallelism, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    index = index.repartition(tasks, "_key", "_share")  # a number of its own: a small index would else be matched in one task
-
-    holds = [F.col(f"_in_{c}").isNull() | F.array_contains(f"_in_{c}", F.col(c)) for c in MULTI]
-    holds += [F.col("_flags").bitwiseAND(F.col("_need")) == F.col("_need"), (F.col("_bands") == 0) | (F.col("_in_bands").bitwiseAND(F.col("_bands")) != 0)]
-    holds += [((F.size("_caps") == 0) & (F.col("_sponsor") == 0)) | F.coalesce(F.array_contains("_caps", F.col("_cap")), F.lit(False)) | (F.col("_sponsored").bitwiseAND(F.col("_sponsor")) != 0)]
-    holds += [F.col("_posted_from").isNull() | (F.col("_posted") >= F.col("_posted_from")), F.col("_posted_to").isNull() | (F.col("_posted") < F.col("_posted_to"))]
-    holds += [F.col("_ingested_from").isNull() | (F.col("_ingested") >= F.col("_ingested_from"))]
-    fresh = F.col("_new_from").isNull() | (F.col("_ingested") >= F.col("_new_from"))
-    found = keyed.join(index, ["_key", "_share"]).where(reduce(Column.__and__, holds)).groupBy("search_id").agg(F.sum("n").alias("total"), F.sum(F.when(fresh, F.col("n"))).alias("new_count"))
-    return rules.select("search_id").join(found, "search_id", "left").select("search_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("new_count", F.lit(0)).alias("new_count"))
+    told = told.withColumn("_chunk", F.pmod(F.xxhash64(*told.columns), F.lit(chunks)).cast("int")).withColumn("_part", each(parts))
+    asked = wanted.select("_kind", "since").distinct().groupBy("_kind").agg(F.array_sort(F.collect_list("since")).alias("since"))  # as many as moments at most
+    asked = asked.withColumn("_part", F.pmod(F.xxhash64("_kind"), F.lit(parts)).cast("int")).withColumn("_chunk", each(chunks))
+    met = deal(told).groupBy("_chunk", "_part").cogroup(deal(asked).groupBy("_chunk", "_part")).applyInArrow(lambda t, a: _met(t, a), "_kind string, since array<int>, many array<long>")
+    found = met.repartition("_kind").select("_kind", F.explode(F.arrays_zip("since", "many")).alias("x")).groupBy("_kind", "x.since").agg(F.sum("x.many").alias("many"))
+    of = lambda new: F.coalesce(F.sum(F.when(F.col("new") == new, F.col("many"))), F.lit(0))
+    return wanted.join(found, ["_kind", "since"], "left").groupBy("search_id").agg(of(False).alias("total"), of(True).alias("new_count"))

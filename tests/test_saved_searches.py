@@ -61,3 +61,17 @@ def test_a_filter_of_no_column_is_an_error(spark):
     searches = spark.createDataFrame([("a", {"price": ["1"]})], "search_id string, any_of map<string, array<string>>")
     with pytest.raises(Exception, match="no such filter: price"):
         saved_searches.counts(_postings(spark, 5), searches, AS_OF).collect()
+
+
+def test_no_pair_of_a_search_and_a_posting_is_a_row(spark, monkeypatch):
+    """Chunks and parts of a few rows, equal postings, few filters kept: the counts stay, and nothing is joined with the postings."""
+    for name, value in {"CHUNK": 70, "PART": 9, "MOST_KEPT": 3}.items():
+        monkeypatch.setattr(saved_searches, name, value)
+    few, (searches, seen) = _postings(spark, 400), _searches()
+    postings = few.unionByName(few.limit(150)).unionByName(few.limit(80)).unionByName(few.limit(80))
+    rows = spark.createDataFrame([{"search_id": name, **asdict(f), "last_seen": seen[name]} for name, f in searches.items()], ", ".join(f"{c} {kind}" for c, kind in saved_searches.SEARCH.items()))
+    out = saved_searches.counts(postings, rows, AS_OF)
+    found = {r.search_id: (r.total, r.new_count) for r in out.collect()}
+    assert found == {r.search_id: (r.total, r.new_count) for r in records.saved_counts(postings, searches, seen, AS_OF).collect()}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join Inner" not in plan and plan.count("Join ") == 1
