@@ -34,6 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the least id of each group of near-duplicates: five-word shingles, a similarity of 0.8.
 
+    SimHash with pivot tables links first, each link verified by the similarity; an exact set join finds the rest.
     Documents of a null id stay. Rows that repeat an id are one document, which stays or goes. Columns may have any name; an empty table stays empty.
     """
     name = fresh("_gone", docs)

@@ -1,4 +1,7 @@
-"""Near-duplicates by similarity of word shingles: an exact set join with prefix, length and position filters.
+"""Near-duplicates by similarity of word shingles: SimHash with pivot distance tables, then an exact set join with prefix, length and position filters.
+
+SimHash fingerprints meet through the pivot tables of ``simhash``. Texts that link there at two bits are verified by the similarity itself, and those that have it are one
+component from then on. Fingerprints of texts just over the similarity differ in more bits, so the set join finds the links between what is left.
 
 Shingles are ordered by how many texts hold them, the rarest first. Two sets of the similarity asked for share a shingle in the first
 part of both, and at their first common one enough of both is left; so only texts that meet there are compared, and no pair is lost. Counts
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Held, mapped, new_dir, put_file, release, remove, slices, stash, texts
 from .components import components
-from .simhash import shingles
+from .simhash import links, shingles, with_fingerprint
 
 #: Text bytes for each file of repeated shingles; rounds in which texts meet leaders; pairs of a text that the first round of the rest verifies.
 PART_BYTES, STARS, NEAREST = 8 << 20, 3, 4
@@ -160,6 +163,16 @@ def crossing(named: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, meet).select(*_pair("x.node", "y.node")).groupBy("u", "v").agg(F.count("*").alias("shared"))
 
 
+def pivot_pairs(docs: DataFrame, nodes: DataFrame, shingle: int, home: str) -> DataFrame:
+    """``u, v``: texts (``node``: the document that stands for each) of linked SimHash fingerprints, each fingerprint by its least document, and that with the others of its fingerprint."""
+    prints = stash(with_fingerprint(docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle, ["doc_id"]), "prints", home)
+    firsts = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "firsts", home)
+    same = prints.join(firsts, "fp").where("doc_id <> node").select(*_pair("doc_id", "node"))
+    x, y = (firsts.select(F.col("fp").alias(fp), F.col("node").alias(node)) for fp, node in (("u", "a"), ("v", "b")))
+    near = links(firsts.select("fp")).join(x, "u").join(y, "v").where("a <> b").select(*_pair("a", "b"))
+    return same.unionByName(near).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, text`` to ``doc_id, component_id``: the least id of the documents that are linked by a similarity of ``similarity`` or more.
 
@@ -192,11 +205,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         x, y = (few.select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("u", "x"), ("v", "y")))
         return mapped(pairs.select("u", "v").join(x, "u").join(y, "v").select("u", "v", "x", "y"), _similar(similarity), "u long, v long")
 
-    done = None
+    done = keep(pivot_pairs(docs, texts_of, shingle, home), "pivoted")
+    edges = keep(edges.unionByName(similar(done)), "near")
+    release(spark)
     for turn in range(STARS):
         named = keep(between(index, components(edges)), "between")
         pairs = keep(led(named, turn), "led")
-        done = pairs if done is None else done.unionByName(pairs)
+        done = done.unionByName(pairs)
         edges = keep(edges.unionByName(similar(pairs)), "near")
         release(spark)
     named = keep(between(index, components(edges)), "between")

@@ -48,3 +48,16 @@ def test_near_duplicates_of_all_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     wanted = neardup.brute_force([tuple(r) for r in docs.collect()])
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()} == wanted and len(set(wanted.values())) < len(wanted)
+
+
+def test_pivots_link_before_the_set_join(spark, monkeypatch):
+    """The pipeline's near-duplicates come from SimHash pivots first; what they link is verified, and the set join finds what they don't."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words), " ".join([*words, "tail"]), " ".join(words[:365]), " ".join(f"x{k}" for k in range(50)), " ".join(f"x{k}" for k in range(50)) + " ", "", None]
+    docs, found, own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], neardup.pivot_pairs
+    monkeypatch.setattr(neardup, "pivot_pairs", lambda *of: found.append(own(*of)) or found[-1])
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {d for d, root in neardup.brute_force(list(enumerate(texts))).items() if d == root} == {0, 3, 5}
+    assert len(found) == 1
+    pairs = {tuple(r) for r in neardup.pivot_pairs(docs, docs.select(F.col("doc_id").alias("node")), 5, neardup.new_dir(spark, "pairs")).collect()}
+    assert {(0, 1), (3, 4), (5, 6)} <= pairs and (0, 3) not in pairs
