@@ -139,3 +139,12 @@ def test_years_after_a_cue_equal_every_look_behind(spark):
         said = [int(m[1]) for p in patterns for m in p.finditer(r.t) if int(m[1]) <= 30]
         assert r.most == (max(said, default=None) if gated.search(r.t) else None), r.t
     assert sum(r.most is not None for r in rows) > 500 and sum(r.most is None for r in rows) > 100
+
+
+def test_a_short_list_of_profiles_meets_postings_without_a_join(spark):
+    rows = as_postings(spark.createDataFrame([(str(k), "Data Engineer", "Python", ["Python"]) for k in range(20)], "job_id string, title string, description string, skills array<string>"))
+    quoted = verdict.Profile(id="p'\"2\\", label="Zoë\n", target_titles=["Nurse"], resume_text='says "so" \\ too')
+    fits = verdict.profile_fits(rows, [verdict.Profile(id="p1", target_titles=["Data Engineer"], skills=["python"]), quoted])
+    assert "Join" not in fits._jdf.queryExecution().optimizedPlan().toString()  # by a profile's number all postings would meet in one task
+    assert {tuple(r) for r in fits.groupBy("profile_id", "label").count().collect()} == {("p1", "", 20), ("p'\"2\\", "Zoë\n", 20)}
+    assert verdict.profile_fits(rows, []).count() == 0
