@@ -387,8 +387,8 @@ def weighted_fit(spark, d):
 WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]+')) AS t FROM documents)
 SELECT doc_id, len(t) AS word_count, len(list_distinct(t)) AS type_count, round(coalesce(len(list_distinct(t)) / nullif(len(t), 0), 0), 4) AS ttr FROM w""")
 def text_metrics_basic(spark, d):
-    out = textmetrics.families(read(spark, d, "documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", "readability.word_count", "lexical.type_count", "lexical.ttr")
+    fields = ["readability.word_count", "lexical.type_count", "lexical.ttr"]
+    return textmetrics.families(read(spark, d, "documents").select("doc_id", "text"), "text", fields).select("doc_id", *fields)
 
 
 @query(r"""

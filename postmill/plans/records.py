@@ -210,18 +210,16 @@ SELECT doc_id, n AS token_count, coalesce(v, 0) AS type_count, round(coalesce(le
  round((length(text) - length(regexp_replace(text, '\p{{Lu}}+', '', 'g'))) / greatest(length(text) - length(regexp_replace(text, '\p{{L}}+', '', 'g')), 1), 4) AS capitalization_ratio,
  len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: regexp_matches(p, '[^ \t\n\r\f]'))) AS paragraph_count FROM g""")
 def text_metrics_all(spark, d):
-    out = textmetrics.families(read(spark, d, "documents").select("doc_id", "text"), "text")
-    return out.select(
-        "doc_id", *[f"lexical.{c}" for c in ("token_count", "type_count", "hapax_rate", "dis_legomena_rate", "richness_index", "yule_k")], *[f"repetition.{c}" for c in ("next_token_entropy", "distinct_2", "distinct_3")], "readability.char_count",
-        "character.digit_ratio", "character.capitalization_ratio", "structure.paragraph_count",
-    )
+    fields = [*[f"lexical.{c}" for c in ("token_count", "type_count", "hapax_rate", "dis_legomena_rate", "richness_index", "yule_k")], *[f"repetition.{c}" for c in ("next_token_entropy", "distinct_2", "distinct_3")], "readability.char_count", "character.digit_ratio", "character.capitalization_ratio", "structure.paragraph_count"]
+    return textmetrics.families(read(spark, d, "documents").select("doc_id", "text"), "text", fields).select("doc_id", *fields)
 
 
 @query()
 def text_risk(spark, d):
     """The parts that walk a text in order, and the composite over all of them."""
-    out = textmetrics.families(read(spark, d, "documents").select("doc_id", "text"), "text")
-    return out.select("doc_id", "lexical.mtld", "lexical.maas_a2", "repetition.sent_4gram_overlap", "structure.structural_burstiness", "structure.sent_len_cv", "composite.ai_risk_score", "composite.band")
+    fields = ["lexical.mtld", "lexical.maas_a2", "repetition.sent_4gram_overlap", "structure.structural_burstiness", "structure.sent_len_cv"]
+    out = textmetrics.families(read(spark, d, "documents").select("doc_id", "text"), "text", [*fields, "composite"])
+    return out.select("doc_id", *fields, "composite.ai_risk_score", "composite.band")
 
 
 @query("""SELECT c_custkey AS id, count(o_orderkey) AS profiles FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey""")

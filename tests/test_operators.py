@@ -119,3 +119,12 @@ def test_eligibility_reads_whole_texts(spark, tmp_path):
 def test_similarity_of_nothing(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, None), (4, [0.0, 0.0])], "k int, v array<float>")
     assert [r[0] for r in rows.orderBy("k").select(search.similarity(F.col("v"), [2.0, 0.0])).collect()] == [1.0, 0.0, 0.5, 0.5]
+
+
+def test_only_the_metrics_asked_for_are_computed_over_many_tasks(spark):
+    rows = spark.createDataFrame([(k, "The team built reliable tools. They shipped the work on time! " * (k % 3 + 1)) for k in range(40)], "k int, t string").coalesce(1)
+    fields = ["lexical.ttr", "repetition.distinct_2", "structure.sent_len_cv"]
+    some, every = (textmetrics.families(rows, "t", wanted).select("k", *fields, "composite.ai_risk_score") for wanted in ([*fields, "composite"], None))
+    assert sorted(some.collect()) == sorted(every.collect())
+    few = textmetrics.families(rows, "t", fields[:1])
+    assert "LOG2" not in few._jdf.queryExecution().optimizedPlan().toString() and few.rdd.getNumPartitions() > 1
