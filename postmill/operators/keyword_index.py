@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .search import K1, B, tokens
 
-#: Rows of a shard; folders of terms; shards whose numbers are pushed down to the scan, more are joined.
-SHARD, BUCKETS, PUSHED = 1024, 64, 1000
+#: Rows of a shard; folders of terms; shards whose numbers are pushed down to the scan, more are joined; shards of a task that builds blocks at most, about.
+SHARD, BUCKETS, PUSHED, SHARDS = 1024, 64, 1000, 32
 
 
 def _weight(n: Column, long: Column, mean: Column) -> Column:
@@ -34,12 +34,15 @@ def build(rows: DataFrame, key: str, text: str, path: str, shard: int = SHARD, b
     totals = rows.select(F.size(own).alias("long")).agg(F.count("*").alias("rows"), F.avg("long").alias("mean")).withColumns({"shards": F.greatest(F.lit(1), F.ceil(F.col("rows") / shard)).cast("int"), "buckets": F.lit(buckets)})
     totals.write.mode("overwrite").parquet(f"{path}/totals")
     t = rows.sparkSession.read.parquet(f"{path}/totals").first()  # one row
-    said = rows.select(F.col(key).alias("key"), own.alias("t")).select("key", F.size("t").alias("long"), F.explode("t").alias("term"))
-    counted = said.groupBy("key", "term", "long").agg(F.count("*").cast("int").alias("n"))
-    placed = counted.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(t.shards)).cast("int"))
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), t.shards // SHARDS)
+    # rows go to their shards once, as texts; terms are counted and blocks made there, so no posting moves by itself
+    sharded = rows.select(F.col(key).alias("key"), F.pmod(F.xxhash64(key), F.lit(t.shards)).cast("int").alias("shard"), F.col(text).alias("text")).repartition(tasks, "shard")
+    said = sharded.select("shard", "key", tokens(F.col("text")).alias("t")).select("shard", "key", F.size("t").alias("long"), F.explode("t").alias("term"))
+    placed = said.groupBy("shard", "key", "term", "long").agg(F.count("*").cast("int").alias("n"))
     w = _weight(F.col("n"), F.col("long"), F.lit(t.mean))
-    blocks = placed.groupBy("term", "shard").agg(F.count("*").alias("rows"), F.max(w).alias("best"), F.array_sort(F.collect_list(F.struct("key", "n", "long"))).alias("postings"))
-    dealt = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartitionByRange("bucket", "term", "shard").sortWithinPartitions("bucket", "term", "shard")
+    blocks = placed.groupBy("shard", "term").agg(F.count("*").alias("rows"), F.max(w).alias("best"), F.array_sort(F.collect_list(F.struct("key", "n", "long"))).alias("postings")).select("term", "shard", "rows", "best", "postings")
+    share = F.pmod(F.xxhash64("term", "shard"), F.lit(max(1, tasks // buckets)))  # so that more tasks than folders can write
+    dealt = blocks.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition(tasks, "bucket", share).sortWithinPartitions("bucket", "term", "shard")
     rows.sparkSession.createDataFrame([], dealt.schema).write.mode("overwrite").parquet(f"{path}/schema")  # an index of no rows has no other file that tells it
     dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/blocks")
 

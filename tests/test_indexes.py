@@ -88,3 +88,17 @@ def test_equal_reposts_leave_one(spark):
     rows = spark.createDataFrame([("1", "lever", "k"), ("1", "lever", "k"), ("2", "adzuna", "k")], "job_id string, source string, key string")
     found = search.collapse_reposts(rows, [F.col("key")]).collect()
     assert [(r.job_id, r.duplicate_count, r.also_on) for r in found] == [("1", 2, ["adzuna", "lever"])]
+
+
+def test_building_a_keyword_index_moves_no_posting_by_itself(spark, tmp_path):
+    """Texts go to their shards and blocks to their folders: the rows shuffled are those two, not one a word of a text."""
+    rows = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 40}" for j in range(30))) for k in range(600)], "id long, t string").coalesce(1)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("keyword-build", "build")
+    keyword_index.build(rows, "id", "t", str(tmp_path / "i"), shard=100)
+    stages = {s for j in tracker.getJobIdsForGroup("keyword-build") for s in tracker.getJobInfo(j).stageIds}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+    blocks = spark.read.parquet(str(tmp_path / "i/blocks"))
+    postings = blocks.selectExpr("sum(rows)").first()[0]
+    assert moved <= 600 + blocks.count() + 20 < postings
