@@ -17,6 +17,8 @@ from .search import similarity
 
 #: Rows that centroids are trained on at most, drawn by hash of the key.
 SAMPLE = 100_000
+#: Rows that a task sorts by cell and writes, about.
+TASK_ROWS = 50_000
 
 
 def _scaled(vector: Column) -> Column:
@@ -52,8 +54,9 @@ def build(rows: DataFrame, key: str, vector: str, path: str, cells: int | None =
         placed = scaled.limit(0).withColumn("cell", F.lit(-1))
     every = placed.drop("_unit").unionByName(scaled.where("_unit is null").drop("_unit").withColumn("cell", F.lit(-1)))
     spark.createDataFrame([], every.schema).write.mode("overwrite").parquet(f"{path}/schema")  # an index of no rows has no other file that tells it
-    every.repartition("cell", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
-    stored = _rows(spark, path).where("cell >= 0").join(center, "cell")
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), n // TASK_ROWS)
+    every.repartition(tasks, "cell", F.pmod(F.xxhash64(key), F.lit(max(8, n // TASK_ROWS // 8)))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
+    stored = _rows(spark, path).where("cell >= 0").join(F.broadcast(center), "cell")  # a row a cell; of rows made by the driver Spark knows no size, and moves the vectors to them
     reach = stored.groupBy("cell").agg(F.max(_distance(_scaled(F.col(vector)), F.col("center"))).alias("reach"), F.count("*").alias("rows"))
     center.join(reach, "cell", "left").select("cell", "center", F.coalesce("reach", F.lit(0.0)).alias("reach"), F.coalesce("rows", F.lit(0)).alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}/centers")
 
