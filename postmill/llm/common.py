@@ -7,6 +7,7 @@ import gc
 import mmap
 import os
 import tempfile
+import time
 import uuid
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
@@ -93,9 +94,14 @@ def fresh(name: str, df: DataFrame) -> str:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects garbage.
+
+    Twice, as the scheduler may still hold the job that has just ended.
+    """
+    for pause in (0.2, 0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(pause)
 
 
 def local_path(uri: str) -> str | None:

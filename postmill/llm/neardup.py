@@ -165,7 +165,9 @@ def crossing(named: DataFrame, similarity: float) -> DataFrame:
 
 def pivot_pairs(docs: DataFrame, nodes: DataFrame, shingle: int, home: str) -> DataFrame:
     """``u, v``: texts (``node``: the document that stands for each) of linked SimHash fingerprints, each fingerprint by its least document, and that with the others of its fingerprint."""
-    prints = stash(with_fingerprint(docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), shingle, ["doc_id"]), "prints", home)
+    # texts stay where they are: fingerprints are joined, not what they are made of
+    prints = with_fingerprint(docs, shingle, ["doc_id"]).join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    prints = stash(prints, "prints", home)
     firsts = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "firsts", home)
     same = prints.join(firsts, "fp").where("doc_id <> node").select(*_pair("doc_id", "node"))
     x, y = (firsts.select(F.col("fp").alias(fp), F.col("node").alias(node)) for fp, node in (("u", "a"), ("v", "b")))
@@ -192,27 +194,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     counted.groupBy("part").applyInArrow(_merged(uri), "part long").count()
     release(spark)
     schema = "node long, digest binary, size long, keys array<long>, places array<long>, set binary"
-    sets = keep(mapped(docs, _keys(shingle, similarity, uri, bits), schema), "sets")
+    every = new_dir(spark, "sets")
+    sets = stash(mapped(docs, _keys(shingle, similarity, uri, bits), schema), "sets", every)
     own = sets.drop("set").join(texts_of, ["node", "digest"], "left_semi")
     rows = own.select("node", "size", F.explode(F.arrays_zip("keys", "places")).alias("k")).select(F.col("k.keys").alias("key"), "node", "size", F.col("k.places").alias("place"))
     repeated = rows.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     index = keep(rows.join(repeated, "key", "left_semi"), "index")
     release(spark)
 
-    def similar(pairs: DataFrame) -> DataFrame:
+    def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         involved = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
         few = sets.select("node", "set").join(involved, "node", "left_semi")
         x, y = (few.select(F.col("node").alias(c), F.col("set").alias(s)) for c, s in (("u", "x"), ("v", "y")))
         return mapped(pairs.select("u", "v").join(x, "u").join(y, "v").select("u", "v", "x", "y"), _similar(similarity), "u long, v long")
 
     done = keep(pivot_pairs(docs, texts_of, shingle, home), "pivoted")
-    edges = keep(edges.unionByName(similar(done)), "near")
+    edges = keep(edges.unionByName(similar(done, sets)), "near")
     release(spark)
     for turn in range(STARS):
         named = keep(between(index, components(edges)), "between")
+        if not turn:  # components only grow, so no text outside these is compared any more; the few sets left are what later rounds shuffle
+            open_sets = keep(sets.select("node", "set").join(named.select("node").distinct(), "node", "left_semi"), "open-sets")
+            remove(spark, every)
+            release(spark)
         pairs = keep(led(named, turn), "led")
         done = done.unionByName(pairs)
-        edges = keep(edges.unionByName(similar(pairs)), "near")
+        edges = keep(edges.unionByName(similar(pairs, open_sets)), "near")
         release(spark)
     named = keep(between(index, components(edges)), "between")
     todo = keep(crossing(named, similarity).join(done.distinct(), ["u", "v"], "left_anti"), "candidates")
@@ -229,7 +236,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         left = keep(left.withColumn("turn", F.least(turn("u"), turn("v"))), "unverified")
         if not left.limit(1).count():
             break
-        edges = keep(edges.unionByName(similar(left.where(F.col("turn") <= nearest))), "near")
+        edges = keep(edges.unionByName(similar(left.where(F.col("turn") <= nearest), open_sets)), "near")
         todo = left.where(F.col("turn") > nearest).select("u", "v", "shared")
         nearest *= 4
         release(spark)

@@ -61,3 +61,21 @@ def test_pivots_link_before_the_set_join(spark, monkeypatch):
     assert len(found) == 1
     pairs = {tuple(r) for r in neardup.pivot_pairs(docs, docs.select(F.col("doc_id").alias("node")), 5, neardup.new_dir(spark, "pairs")).collect()}
     assert {(0, 1), (3, 4), (5, 6)} <= pairs and (0, 3) not in pairs
+
+
+def test_near_dedup_shuffles_few_bytes(spark, monkeypatch):
+    """Where nothing is broadcast, no text is shuffled for its fingerprint, and of the sets only those that later rounds may compare are kept; the result stays."""
+    texts = [" ".join(f"{'abcdef'[k % 6]}{i}" for i in range(80)) + (f" tail{k}" if k > 5 else "") for k in range(18)] + [" ".join(f"only{k} w{i}" for i in range(40)) for k in range(40)] + [None]
+    docs, plans, own = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}, neardup.stash
+    explained = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString
+    monkeypatch.setattr(neardup, "stash", lambda df, name, home=None: plans.setdefault(name, []).append(explained(df._jdf.queryExecution(), "formatted")) or own(df, name, home))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == neardup.brute_force(list(enumerate(texts))) and len(set(found.values())) == 47
+    shuffled = [line for part in plans["prints"][0].split("\n\n") if ") Exchange" in part for line in part.split("\n") if line.startswith("Input")]
+    assert shuffled and not any("text#" in line for line in shuffled)
+    assert len(plans["open-sets"]) == 1 and not any("/sets-" in plan for plan in plans["near"][1:])
