@@ -167,4 +167,4 @@ _OUT = "profile_id, job_id, CASE WHEN unmatched THEN 'reject' WHEN fit >= 0.6 AN
 @query(FEEDS_SQL + f"SELECT {_OUT}, CASE WHEN unmatched THEN 0 ELSE least(12, n) END::INT AS matched, least(8, g)::INT AS gaps, CASE WHEN unmatched THEN 1 ELSE len(string_split(trim(flags), ' ')) - (trim(flags) = '')::INT END::INT AS red_flags FROM v")
 def profile_feeds(spark, d):
     """Every pair of a posting and a profile that may fit, with its verdict: suppliers as profiles over documents as postings, with a semantic score for two of three."""
-    return profiles.feeds(rich_postings(spark, d), profile_table(spark, d), semantic="semantic", home=scratch(spark, "feeds")).select("profile_id", "job_id", "verdict", "score", "recommendable", F.size("matched").alias("matched"), F.size("gaps").alias("gaps"), F.size("red_flags").alias("red_flags"))
+    return profiles.feeds(rich_postings(spark, d), profile_table(spark, d), semantic="semantic", home=scratch(spark, "feeds"), texts=False).select("profile_id", "job_id", "verdict", "score", "recommendable", "matched", "gaps", "red_flags")
