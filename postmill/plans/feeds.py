@@ -6,8 +6,6 @@ the rules with their weights to each pair; nothing in it knows an outcome.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..functions import lists
 from ..operators import profiles, verdict
 from ..schemas import as_postings
